@@ -10,7 +10,7 @@ All return NULL for NULL input unless stated otherwise, never raise and never ca
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Texts that stand for a missing cell.
@@ -40,13 +40,13 @@ CELL_INT = r"^[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)$"
 CELL_NUMBER = rf"^[+-]?{_UNSIGNED}$"
 CELL_CURRENCY = rf"^(?:\([+-]?(?:{_MONEY} ?)?{_UNSIGNED}(?: ?{_MONEY})?\)|[+-]?(?:{_MONEY} ?)?{_UNSIGNED}(?: ?{_MONEY})?)$"
 CELL_PERCENT = r"^[+-]?\d+(?:\.\d+)? ?%$"
-#: White space as Python's ``str.strip`` knows it, in Java's notation.
-_SPACE = r"[\s\u0085 \u001c-\u001f  -     　]"
+#: White space as Python's ``str.strip`` knows it.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
     """Outer white space of any kind removed."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_null_like(c: Column) -> Column:
@@ -88,12 +88,42 @@ def date_shape(token: str) -> str:
     return "^" + ("\\" + sep).join(part[x] for x in order) + "$"
 
 
+def _calendar(y: Column, m: Column, d: Column) -> Column:
+    """The date of three numbers, NULL where no such day exists; no exception is raised and caught per row."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    return F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last), F.make_date(y, m, d))
+
+
 def parse_date_as(c: Column, token: str) -> Column:
     """The date under one layout, NULL where the text has another shape or the day doesn't exist."""
-    if token == "dmy-mon":
-        text = F.concat(F.regexp_extract(c, r"^(\d{1,2}-)", 1), F.initcap(F.lower(F.regexp_extract(c, r"-([A-Za-z]{3})", 1))), F.regexp_extract(c, r"(-\d{4})$", 1))
-        return F.when(c.rlike(date_shape(token)), F.try_to_date(text, DATE_PATTERNS[token]))
-    return F.when(c.rlike(date_shape(token)), F.try_to_date(c, DATE_PATTERNS[token]))
+    part = F.split(c, "[" + "\\" + token[3] + "]")
+    at = {x: F.get(part, i) for i, x in enumerate(token[:3])}
+    number = lambda x: at[x].try_cast("int")
+    month = F.when(F.length(at["m"]) >= 3, F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(at["m"], 1, 3))).cast("int")) if token.endswith("-mon") else number("m")
+    return F.when(c.rlike(date_shape(token)), _calendar(number("y"), month, number("d")))
+
+
+_ANY_DATE = r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-[A-Za-z]{3,}-\d{4})$"
+
+
+def with_is_date(df: DataFrame, cell: str, out: str, only: Column) -> DataFrame:
+    """Adds whether a trimmed cell is a date under any layout of the intake grammar, NULL where ``only`` doesn't hold.
+
+    The parts are columns of their own, so that each is computed once per row.
+    """
+    c = F.col(cell)
+    df = df.withColumn("_part", F.when(only & c.rlike(_ANY_DATE), F.split(c, "[-/.]")))
+    df = df.withColumn("_a", F.get("_part", F.lit(0)).try_cast("int")).withColumn("_c", F.get("_part", F.lit(2)).try_cast("int"))
+    df = df.withColumn("_b", F.coalesce(F.get("_part", F.lit(1)).try_cast("int"), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.get("_part", F.lit(1)), 1, 3))).cast("int")))
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 29).otherwise(28)).otherwise(31)
+        return (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last)
+
+    a, b, z = F.col("_a"), F.col("_b"), F.col("_c")
+    valid = F.when(F.length(F.get("_part", F.lit(0))) == 4, day(a, b, z)).when(F.substring(c, -5, 1) == "/", day(z, a, b) | day(z, b, a)).otherwise(day(z, b, a))
+    return df.withColumn(out, F.when(only, F.col("_part").isNotNull() & F.coalesce(valid, F.lit(False)))).drop("_part", "_a", "_b", "_c")
 
 
 # --- the survey's profiling functions ---------------------------------------------------------------------------------

@@ -47,12 +47,13 @@ def mask_profile(rows: DataFrame, key: str = "source_object_id", columns: list[s
     cols = columns or TEXT_COLUMNS
     long = rows.select(key, *cols).unpivot([key], cols, "source_column", "cell").withColumn("cell", V.present(F.col("cell")))
     name, cell = F.col("source_column"), F.col("cell")
-    number = F.when(name.isin(NUMBER_COLUMNS), V.cell_number(cell))
-    long = long.withColumn("number", number)
-    parsed = F.when(name.isin(NUMBER_COLUMNS), F.col("number").isNotNull()).when(name.isin(DATE_COLUMNS), V.cell_date(cell).isNotNull())
+    long = long.withColumn("number", F.when(name.isin(NUMBER_COLUMNS), V.cell_number(cell)))
+    long = V.with_is_date(long, "cell", "is_date", name.isin(DATE_COLUMNS))
+    long = long.withColumn("mask", mask(cell))
+    parsed = F.col("number").isNotNull() | F.col("is_date")
     conform = F.when(name == "po_number", cell.rlike(PO_PATTERN)).when(name == "currency", cell.isin(CURRENCIES))
     outside = F.when(name.isin(RANGE_COLUMNS), (F.col("number") < 0.01) | (F.col("number") > 1_000_000))
-    return long.groupBy(key, "source_column", mask(cell).alias("mask")).agg(
+    return long.groupBy(key, "source_column", "mask").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(parsed).alias("parsed"),
         F.count_if(conform).alias("conform"),
