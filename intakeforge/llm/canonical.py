@@ -42,19 +42,20 @@ DOMINANCE = 8
 MIN_SCORE = 0.72
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _DIGIT = re.compile(r"(?<=[A-Za-z])[01]|[01](?=[A-Za-z])")
-_TOKEN = re.compile(r"[a-z0-9]+")
+_PIECE = re.compile(r"[A-Za-z0-9]+")
 
 
 def tokens_of(value: str | None) -> list[str]:
     """Lower-case words of a typed value: accents, camel case, digits read for letters and decoration undone."""
-    text = fold(value or "")
-    if text.upper() == text:
-        text = text.lower()
-    previous = None
-    while previous != text:
-        previous = text
-        text = _DIGIT.sub(lambda m: "o" if m.group() == "0" else "l", text)
-    found = _TOKEN.findall(_CAMEL.sub(" ", text).lower())
+    found: list[str] = []
+    for piece in _PIECE.findall(fold(value or "")):
+        if piece.upper() == piece:
+            piece = piece.lower()
+        previous = None
+        while previous != piece:
+            previous = piece
+            piece = _DIGIT.sub(lambda m: "o" if m.group() == "0" else "l", piece)
+        found += _CAMEL.sub(" ", piece).lower().split()
     kept = [t for t in found if t not in DECORATION]
     return kept or found
 

@@ -33,12 +33,12 @@ RIGHT = ["utf-8", "cp1252", "iso8859-2", "cp1250"]
 WRONG = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-2", "iso8859-15", "cp852"]
 #: Bytes that a step of a chain costs: by UTF-8, whose validity is proof by itself, less than between one-byte encodings.
 STEP_COST = {"utf-8": 1.0}
-BYTE_STEP_COST = 1.5
+BYTE_STEP_COST = 1.0
 #: Bytes that a character costs that no language and no typed text uses, and a capital inside a small word.
 STRANGE_COST, CAPITAL_COST = 3.5, 1.5
 LEAST_GAIN = 0.5
 #: Bytes that each doubling of a word's count saves: zstandard alone charges all words of a dictionary about alike.
-COUNT_GAIN = 0.4
+COUNT_GAIN = 0.5
 #: Words and bytes of the dictionaries, which go to every task.
 MAX_WORDS, MAX_DICTIONARY_BYTES = 200_000, 1_000_000
 

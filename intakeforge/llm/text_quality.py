@@ -153,6 +153,8 @@ def is_junk_text(text: str, common: frozenset[str], least_words: int = 12) -> bo
             return True
         if len(words) >= 20 and known < 0.08 and distinct < 0.75 and len(re.findall(r"[.!?](?:\s|$)", text)) <= len(words) / 40:
             return True
+    elif len(words) >= 6 and text.count(" | ") >= 0.5 * len(words):
+        return True
     elif len(dense) >= 40 and words and sum(w in common for w in words) == 0 and symbols / len(dense) > 0.2:
         return True
     return False
