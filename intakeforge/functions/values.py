@@ -45,8 +45,9 @@ SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *r
 
 
 def strip(c: Column) -> Column:
-    """Outer white space of any kind removed."""
-    return F.btrim(c, F.lit(SPACES))
+    """Outer white space of any kind removed. Most cells begin and end with a visible ASCII sign and pass as they are."""
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return F.when(visible(c) & visible(F.right(c, F.lit(1))), c).otherwise(F.btrim(c, F.lit(SPACES)))
 
 
 def is_null_like(c: Column) -> Column:
@@ -55,9 +56,9 @@ def is_null_like(c: Column) -> Column:
 
 
 def present(c: Column) -> Column:
-    """The trimmed cell, or NULL where it is null-like."""
+    """The trimmed cell, or NULL where it is null-like (no null token has more than four bytes)."""
     s = strip(c)
-    return F.when(~F.lower(s).isin(NULL_TOKENS), s)
+    return F.when((F.octet_length(s) > 4) | ~F.lower(s).isin(NULL_TOKENS), s)
 
 
 def _plain(c: Column) -> Column:
@@ -90,9 +91,7 @@ def date_shape(token: str) -> str:
 
 def _calendar(y: Column, m: Column, d: Column) -> Column:
     """The date of three numbers, NULL where no such day exists; no exception is raised and caught per row."""
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    return F.when((y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last), F.make_date(y, m, d))
+    return F.when(_exists(y, m, d), F.make_date(y, m, d))
 
 
 def parse_date_as(c: Column, token: str) -> Column:
@@ -107,23 +106,45 @@ def parse_date_as(c: Column, token: str) -> Column:
 _ANY_DATE = r"^(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-[A-Za-z]{3,}-\d{4})$"
 
 
-def with_is_date(df: DataFrame, cell: str, out: str, only: Column) -> DataFrame:
-    """Adds whether a trimmed cell is a date under any layout of the intake grammar, NULL where ``only`` doesn't hold.
+#: The same with the layouts that only profiling knows.
+_ANY_DATE_WIDE = _ANY_DATE[:-2] + r"|\d{4}\.\d{1,2}\.\d{1,2}|\d{1,2}-\d{1,2}-\d{4})$"
+
+
+def with_is_date(df: DataFrame, cell: str, out: str, only: Column | None = None, wide: bool = False) -> DataFrame:
+    """Adds whether a trimmed cell is a date under any layout, NULL where ``only`` doesn't hold.
+
+    ``wide`` takes all layouts of `DATE_TOKENS` and timestamps; else the layouts of the intake grammar.
 
     The parts are columns of their own, so that each is computed once per row.
     """
-    c = F.col(cell)
-    df = df.withColumn("_part", F.when(only & c.rlike(_ANY_DATE), F.split(c, "[-/.]")))
+    only = F.lit(True) if only is None else only
+    df = df.withColumn("_text", strip_time(F.col(cell)) if wide else F.col(cell))
+    c = F.col("_text")
+    df = df.withColumn("_part", F.when(only & c.rlike(_ANY_DATE_WIDE if wide else _ANY_DATE), F.split(c, "[-/.]")))
     df = df.withColumn("_a", F.get("_part", F.lit(0)).try_cast("int")).withColumn("_c", F.get("_part", F.lit(2)).try_cast("int"))
     df = df.withColumn("_b", F.coalesce(F.get("_part", F.lit(1)).try_cast("int"), F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.get("_part", F.lit(1)), 1, 3))).cast("int")))
 
-    def day(y: Column, m: Column, d: Column) -> Column:
-        last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 29).otherwise(28)).otherwise(31)
-        return (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last)
-
     a, b, z = F.col("_a"), F.col("_b"), F.col("_c")
-    valid = F.when(F.length(F.get("_part", F.lit(0))) == 4, day(a, b, z)).when(F.substring(c, -5, 1) == "/", day(z, a, b) | day(z, b, a)).otherwise(day(z, b, a))
-    return df.withColumn(out, F.when(only, F.col("_part").isNotNull() & F.coalesce(valid, F.lit(False)))).drop("_part", "_a", "_b", "_c")
+    valid = F.when(F.length(F.get("_part", F.lit(0))) == 4, _exists(a, b, z)).when((F.substring(c, -5, 1) == ".") | F.get("_part", F.lit(1)).rlike("[A-Za-z]"), _exists(z, b, a)).otherwise(_exists(z, a, b) | _exists(z, b, a))
+    return df.withColumn(out, F.when(only, F.col("_part").isNotNull() & F.coalesce(valid, F.lit(False)))).drop("_text", "_part", "_a", "_b", "_c")
+
+
+def with_layout_flags(df: DataFrame, cell: str) -> DataFrame:
+    """Adds ``_is_<i>`` for each of `DATE_TOKENS`: whether the trimmed cell is a date under that layout."""
+    df = df.withColumn("_part", F.split(cell, "[-/.]"))
+    for i in range(3):
+        df = df.withColumn(f"_n{i}", F.get("_part", F.lit(i)).try_cast("int"))
+    df = df.withColumn("_m", F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.get("_part", F.lit(1)), 1, 3))).cast("int"))
+    for i, token in enumerate(DATE_TOKENS):
+        at = {x: F.col(f"_n{k}") for k, x in enumerate(token[:3])}
+        month = F.col("_m") if token.endswith("-mon") else at["m"]
+        df = df.withColumn(f"_is_{i}", F.col(cell).rlike(date_shape(token)) & F.coalesce(_exists(at["y"], month, at["d"]), F.lit(False)))
+    return df.drop("_part", "_n0", "_n1", "_n2", "_m")
+
+
+def _exists(y: Column, m: Column, d: Column) -> Column:
+    last = F.when(m.isin(4, 6, 9, 11), 30).when(m == 2, F.when((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0)), 29).otherwise(28)).otherwise(31)
+    return (y >= 1) & m.between(1, 12) & (d >= 1) & (d <= last)
 
 
 # --- the survey's profiling functions ---------------------------------------------------------------------------------

@@ -34,20 +34,20 @@ def _type_flags() -> dict[str, Column]:
         "percent": V.parse_percent(v).isNotNull(),
         "currency": V.parse_currency(v).isNotNull(),
         "marker": V.parse_currency(v).isNotNull() & V.has_currency_marker(v),
-        "date": V.parse_date(v).isNotNull(),
+        "date": F.col("is_date"),
     }
 
 
 def parse_counts(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """n_present and how many present cells parse as integer, number, date and boolean (which also takes 0 and 1)."""
     by = [*(by or []), "column_name"]
-    p = cells.withColumn("value", V.present(F.col("value"))).filter("value IS NOT NULL")
+    p = V.with_is_date(cells.withColumn("value", V.present(F.col("value"))).filter("value IS NOT NULL"), "value", "is_date", wide=True)
     v = F.col("value")
     return p.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_present"),
         F.count_if(V.parse_int(v).isNotNull()).alias("n_integer"),
         F.count_if(V.numeric_value(v).isNotNull()).alias("n_number"),
-        F.count_if(V.parse_date(v).isNotNull()).alias("n_date"),
+        F.count_if("is_date").alias("n_date"),
         F.count_if(V.parse_bool(v).isNotNull() | v.isin("0", "1")).alias("n_boolean"),
     )
 
@@ -55,7 +55,7 @@ def parse_counts(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
 def infer_types(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """inferred_type by the ordered tests bool, int, float, percent, currency with a sign of money, date; else string or empty."""
     by = [*(by or []), "column_name"]
-    p = cells.withColumn("value", V.present(F.col("value")))
+    p = V.with_is_date(cells.withColumn("value", V.present(F.col("value"))), "value", "is_date", wide=True)
     flags = _type_flags()
     a = p.groupBy(*by).agg(F.count("value").alias("n"), *[F.count_if(f).alias(f"n_{k}") for k, f in flags.items()])
     rate = lambda k: F.col(f"n_{k}") / F.col("n") >= THRESHOLD
@@ -68,8 +68,8 @@ def infer_types(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def detect_date_formats(cells: DataFrame, by: list[str]) -> DataFrame:
     """The first layout that most present cells have, where these are at least 95 %; NULL else."""
-    p = cells.withColumn("value", V.strip_time(V.present(F.col("value")))).filter("value IS NOT NULL")
-    a = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(V.parse_date_as(F.col("value"), t).isNotNull()).alias(f"n_{i}") for i, t in enumerate(V.DATE_TOKENS)])
+    p = V.with_layout_flags(cells.withColumn("value", V.strip_time(V.present(F.col("value")))).filter("value IS NOT NULL"), "value")
+    a = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"_is_{i}").alias(f"n_{i}") for i in range(len(V.DATE_TOKENS))])
     best = F.greatest(*[F.col(f"n_{i}") for i in range(len(V.DATE_TOKENS))])
     token = F.coalesce(*[F.when(F.col(f"n_{i}") == best, F.lit(t)) for i, t in enumerate(V.DATE_TOKENS)])
     return a.select(*by, F.when(best / F.col("n") >= THRESHOLD, token).alias("date_format"))
@@ -115,7 +115,8 @@ def header_scores(lines: DataFrame, file: str = "source_object_id", row: str = "
     head = lines.select(file, row, "cells").filter(F.col(row) < scan + ahead)
     cell = head.select(file, row, F.posexplode("cells").alias("j", "raw")).withColumn("value", V.present(F.col("raw")))
     v = F.col("value")
-    kind = F.when(V.numeric_value(v).isNotNull(), "number").when(V.parse_date(v).isNotNull(), "date").otherwise("string")
+    cell = V.with_is_date(cell.withColumn("is_number", V.numeric_value(v).isNotNull()), "value", "is_date", wide=True)
+    kind = F.when(F.col("is_number"), "number").when(F.col("is_date"), "date").otherwise("string")
     cell = cell.withColumn("kind", F.when(v.isNotNull(), kind))
     width = head.groupBy(file).agg(F.max(F.size("cells")).alias("width"))
     full = cell.filter("value IS NOT NULL")

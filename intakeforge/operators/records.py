@@ -139,7 +139,7 @@ def layouts(objects: DataFrame) -> DataFrame:
     )
     kind = lambda i: F.when(F.element_at("code", i).startswith("date:"), F.element_at("code", i)).otherwise(F.substring_index(F.coalesce(F.element_at("code", i), F.lit("string:")), ":", 1))
     return (
-        parsed.withColumn("p", F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size("names"), F.lit(1)) - 1), lambda i: F.element_at(F.filter("p", lambda p: p["position"] == i), 1))))
+        parsed.withColumn("p", F.array_compact(F.transform(F.sequence(F.lit(0), F.greatest(F.size("names"), F.lit(1)) - 1), lambda i: F.get(F.filter("p", lambda p: p["position"] == i), F.lit(0)))))
         .withColumn("code", code)
         .select("source_object_id", "delimiter", "header_row", F.when(F.size("names") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.size("names"), F.lit(1)) - 1), kind)).otherwise(F.array().cast("array<string>")).alias("types"))
     )
