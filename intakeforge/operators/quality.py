@@ -39,29 +39,41 @@ def mask(c: Column, max_len: int = 40) -> Column:
     return F.substring(F.regexp_replace(s, r"([9Aa\s])\1+", "$1+"), 1, max_len)
 
 
-def mask_profile(rows: DataFrame, key: str = "source_object_id", columns: list[str] | None = None) -> DataFrame:
+def mask_profile(rows: DataFrame, key: str = "source_object_id", columns: list[str] | None = None, masked: list[str] | None = None) -> DataFrame:
     """Counts by (load, column, mask): n, parsed (numbers or dates), conform (pattern or allowed values), numbers, outside.
 
-    ``mask`` is NULL for null-like cells. Extra columns of ``rows`` are not read; a NULL load is a load of its own.
+    ``mask`` is NULL for null-like cells, and ``*`` for others where ``masked`` is given and lacks the column. Extra columns of ``rows`` are not read; a NULL load is a load of its own.
     """
     cols = columns or TEXT_COLUMNS
-    long = rows.select(key, *cols).unpivot([key], cols, "source_column", "cell").withColumn("cell", V.present(F.col("cell")))
-    name, cell = F.col("source_column"), F.col("cell")
-    long = long.withColumn("number", F.when(name.isin(NUMBER_COLUMNS), V.cell_number(cell)))
-    long = V.with_is_date(long, "cell", "is_date", name.isin(DATE_COLUMNS))
-    long = long.withColumn("mask", mask(cell))
-    parsed = F.col("number").isNotNull() | F.col("is_date")
-    conform = F.when(name == "po_number", cell.rlike(PO_PATTERN)).when(name == "currency", cell.isin(CURRENCIES))
-    outside = F.when(name.isin(RANGE_COLUMNS), (F.col("number") < 0.01) | (F.col("number") > 1_000_000))
-    return long.groupBy(key, "source_column", "mask").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(parsed).alias("parsed"),
-        F.count_if(conform).alias("conform"),
-        F.count("number").alias("numbers"),
-        F.count_if(outside).alias("outside"),
-        F.min("number").alias("low"),
-        F.max("number").alias("high"),
-    )
+    none = F.lit(None).cast("double")
+    parts = []
+    # Columns of one role are unpivoted together, each column being read once: no cell is tested for another column's role.
+    for role in (NUMBER_COLUMNS, DATE_COLUMNS, ["po_number", "currency"], None):
+        own = [c for c in cols if (c in role if role else c not in NUMBER_COLUMNS + DATE_COLUMNS + ["po_number", "currency"])]
+        if not own:
+            continue
+        cell, name = F.col("cell"), F.col("source_column")
+        long = rows.select(key, *own).unpivot([key], own, "source_column", "cell").withColumn("cell", V.present(cell))
+        number, parsed, conform = none, F.lit(False), F.lit(False)
+        if role is NUMBER_COLUMNS:
+            long = long.withColumn("number", V.cell_number(cell))
+            number, parsed = F.col("number"), F.col("number").isNotNull()
+        elif role is DATE_COLUMNS:
+            long, parsed = V.with_is_date(long, "cell", "is_date"), F.col("is_date")
+        elif role:
+            conform = F.when(name == "po_number", cell.rlike(PO_PATTERN)).otherwise(cell.isin(CURRENCIES))
+        plain = [c for c in own if masked is not None and c not in masked]
+        long = long.withColumn("mask", mask(cell) if not plain else F.when(cell.isNotNull(), F.lit("*")) if len(plain) == len(own) else F.when(name.isin(plain) & cell.isNotNull(), F.lit("*")).otherwise(mask(cell)))
+        outside = name.isin(RANGE_COLUMNS) & ((number < 0.01) | (number > 1_000_000))
+        parts.append(
+            long.groupBy(key, "source_column", "mask").agg(
+                F.count(F.lit(1)).alias("n"), F.count_if(parsed).alias("parsed"), F.count_if(conform).alias("conform"), F.count(number).alias("numbers"), F.count_if(outside).alias("outside"), F.min(number).alias("low"), F.max(number).alias("high")
+            )
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def load_profile(masks: DataFrame, key: str = "source_object_id") -> DataFrame:
@@ -126,7 +138,8 @@ def load_shifts(counts: DataFrame, before: DataFrame, key: str = "source_object_
     K = [key, "source_column"]
     prev = before.select(F.col(key), F.col("prev_object_id")).filter("prev_object_id IS NOT NULL")
     numbers = counts.filter(F.col("source_column").isin(QUANTILE_COLUMNS)).withColumn("number", V.cell_number(F.col("value"))).filter("number IS NOT NULL").groupBy(*K, "number").agg(F.sum("n").alias("n"))
-    edges = quantile_edges(numbers, K)
+    numbers = cut(numbers)
+    edges = cut(quantile_edges(numbers, K))
     binned = lambda rows: rows.withColumn("bin", F.size(F.filter("edges", lambda e: F.col("number") > e)).cast("string"))
     own = binned(numbers.join(edges, K)).groupBy(*K, "bin").agg(F.sum("n").alias("expected"))
     expected = own.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", F.lit(0).cast("long").alias("actual"))
@@ -135,20 +148,20 @@ def load_shifts(counts: DataFrame, before: DataFrame, key: str = "source_object_
     shares = counts.filter(F.col("source_column").isin(SHARE_COLUMNS))
     e2 = shares.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", F.col("value").alias("bin"), F.col("n").alias("expected"), F.lit(0).cast("long").alias("actual"))
     a2 = shares.join(prev, key).select(key, "source_column", F.col("value").alias("bin"), F.lit(0).cast("long").alias("expected"), F.col("n").alias("actual"))
-    return psi(expected.unionByName(actual).unionByName(e2).unionByName(a2), K)
+    return psi(cut(expected.unionByName(actual).unionByName(e2).unionByName(a2)), K)
 
 
-def invoice_issues(rows: DataFrame, objects: DataFrame) -> DataFrame:
+def invoice_issues(rows: DataFrame, before: DataFrame) -> DataFrame:
     """(source_object_id, source_column, issue) for the loads of the invoice table.
 
-    Shares over no rows, or no present cells, are undefined and raise no issue. Loads unknown to ``objects``, and the
-    first of a feed, have no load before and are only tested for pattern and range.
+    ``before`` has the object before of each (`versions.with_previous`). Shares over no rows, or no present cells, are
+    undefined and raise no issue. Unknown loads, and the first of a feed, are only tested for pattern and range.
     """
     key, K = "source_object_id", ["source_object_id", "source_column"]
-    # Read several times below, and far smaller than the rows: computed once, in the shared checkpoint folder.
-    prof = cut(load_profile(mask_profile(rows)))
+    # Read several times below, and far smaller than the rows: computed once, in the shared checkpoint folder. Of columns
+    # without a test of their values only the null share counts, so that their masks aren't built.
+    prof = cut(load_profile(mask_profile(rows, masked=NUMBER_COLUMNS + DATE_COLUMNS + ["po_number", "currency"])))
     counts = cut(value_counts(rows))
-    before = with_previous(distinct_deliveries(objects))
     distinct = counts.filter(F.col("source_column").isin(DISTINCT_COLUMNS)).groupBy(*K).agg(F.count(F.lit(1)).alias("n_distinct"))
     now = prof.join(distinct, K, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     link = before.select(key, "prev_object_id")
@@ -175,14 +188,14 @@ def _issues(j: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
     return j.select("source_object_id", "source_column", F.explode(found).alias("issue"))
 
 
-def profile_issues(profiles: DataFrame, objects: DataFrame) -> DataFrame:
+def profile_issues(profiles: DataFrame, before: DataFrame) -> DataFrame:
     """(source_object_id, source_column, issue) from stored column profiles; repeated profiles of a column count once."""
     cols = ["null_rate", "distinct_count", "parse_rates", "top_values"]
     pairs = lambda m: F.array_sort(F.map_entries(m))
     p = profiles.select("source_object_id", F.col("col_name").alias("source_column"), "profile_id", "null_rate", "distinct_count", pairs("parse_rates").alias("parse_rates"), pairs("top_values").alias("top_values"))
     p = p.filter("source_object_id IS NOT NULL AND source_column IS NOT NULL").groupBy("source_object_id", "source_column").agg(F.min(F.struct("profile_id", *cols)).alias("r")).select("source_object_id", "source_column", *[F.col(f"r.{c}").alias(c) for c in cols])
     p = p.withColumn("parse_rates", F.map_from_entries("parse_rates")).withColumn("top_values", F.map_from_entries("top_values"))
-    link = with_previous(distinct_deliveries(objects)).select("source_object_id", "prev_object_id")
+    link = before.select("source_object_id", "prev_object_id")
     old = p.select(F.col("source_object_id").alias("prev_object_id"), "source_column", F.struct(*cols).alias("old"))
     j = p.join(link, "source_object_id").join(old, ["prev_object_id", "source_column"])
     get = lambda m, k: F.greatest(F.coalesce(F.element_at(m, k), F.lit(0.0)), F.lit(1e-4))
@@ -203,7 +216,8 @@ def profile_issues(profiles: DataFrame, objects: DataFrame) -> DataFrame:
 
 def quality_issues(rows: DataFrame, profiles: DataFrame, objects: DataFrame) -> DataFrame:
     """Breaks of every load in the invoice table and in the stored profiles."""
-    return invoice_issues(rows, objects).unionByName(profile_issues(profiles, objects))
+    before = cut(with_previous(distinct_deliveries(objects)).select("source_object_id", "prev_object_id"))
+    return invoice_issues(rows, before).unionByName(profile_issues(profiles, before))
 
 
 def mask_report(rows: DataFrame, objects: DataFrame, rare: float = 0.01) -> DataFrame:
