@@ -39,43 +39,70 @@ def mask(c: Column, max_len: int = 40) -> Column:
     return F.substring(F.regexp_replace(s, r"([9Aa\s])\1+", "$1+"), 1, max_len)
 
 
-def mask_profile(rows: DataFrame, key: str = "source_object_id", columns: list[str] | None = None, masked: list[str] | None = None) -> DataFrame:
-    """Counts by (load, column, mask): n, parsed (numbers or dates), conform (pattern or allowed values), numbers, outside.
+ROLES = {"number": NUMBER_COLUMNS, "date": DATE_COLUMNS, "listed": ["po_number", "currency"]}
 
-    ``mask`` is NULL for null-like cells, and ``*`` for others where ``masked`` is given and lacks the column. Extra columns of ``rows`` are not read; a NULL load is a load of its own.
-    """
-    cols = columns or TEXT_COLUMNS
-    none = F.lit(None).cast("double")
-    parts = []
-    # Columns of one role are unpivoted together, each column being read once: no cell is tested for another column's role.
-    for role in (NUMBER_COLUMNS, DATE_COLUMNS, ["po_number", "currency"], None):
-        own = [c for c in cols if (c in role if role else c not in NUMBER_COLUMNS + DATE_COLUMNS + ["po_number", "currency"])]
-        if not own:
-            continue
-        cell, name = F.col("cell"), F.col("source_column")
-        long = rows.select(key, *own).unpivot([key], own, "source_column", "cell").withColumn("cell", V.present(cell))
-        number, parsed, conform = none, F.lit(False), F.lit(False)
-        if role is NUMBER_COLUMNS:
-            long = long.withColumn("number", V.cell_number(cell))
-            number, parsed = F.col("number"), F.col("number").isNotNull()
-        elif role is DATE_COLUMNS:
-            long, parsed = V.with_is_date(long, "cell", "is_date"), F.col("is_date")
-        elif role:
-            conform = F.when(name == "po_number", cell.rlike(PO_PATTERN)).otherwise(cell.isin(CURRENCIES))
-        plain = [c for c in own if masked is not None and c not in masked]
-        long = long.withColumn("mask", mask(cell) if not plain else F.when(cell.isNotNull(), F.lit("*")) if len(plain) == len(own) else F.when(name.isin(plain) & cell.isNotNull(), F.lit("*")).otherwise(mask(cell)))
-        outside = name.isin(RANGE_COLUMNS) & ((number < 0.01) | (number > 1_000_000))
-        parts.append(
-            long.groupBy(key, "source_column", "mask").agg(
-                F.count(F.lit(1)).alias("n"), F.count_if(parsed).alias("parsed"), F.count_if(conform).alias("conform"), F.count(number).alias("numbers"), F.count_if(outside).alias("outside"), F.min(number).alias("low"), F.max(number).alias("high")
-            )
-        )
+
+def _by_role(columns: list[str]) -> list[tuple[str | None, list[str]]]:
+    """The columns by what is asked of their values, so that no cell is tested for another column's role."""
+    tested = [c for own in ROLES.values() for c in own]
+    parts = [(r, [c for c in own if c in columns]) for r, own in ROLES.items()] + [(None, [c for c in columns if c not in tested])]
+    return [(r, own) for r, own in parts if own]
+
+
+def _cells(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    return rows.select(key, *columns).unpivot([key], columns, "source_column", "cell").withColumn("cell", V.present(F.col("cell")))
+
+
+def _typed(cells: DataFrame, role: str | None, masked: bool) -> DataFrame:
+    """Adds to trimmed cells what their role asks: number, parsed, conform, outside, and the mask."""
+    cell, name = F.col("cell"), F.col("source_column")
+    number, parsed, conform = F.lit(None).cast("double"), F.lit(False), F.lit(False)
+    if role == "number":
+        cells = cells.withColumn("number", V.cell_number(cell))
+        number, parsed = F.col("number"), F.col("number").isNotNull()
+    elif role == "date":
+        cells, parsed = V.with_is_date(cells, "cell", "is_date"), F.coalesce("is_date", F.lit(False))
+    elif role == "listed":
+        conform = F.coalesce(F.when(name == "po_number", cell.rlike(PO_PATTERN)).otherwise(cell.isin(CURRENCIES)), F.lit(False))
+    outside = F.coalesce(name.isin(RANGE_COLUMNS) & ((number < 0.01) | (number > 1_000_000)), F.lit(False))
+    m = mask(cell) if masked else F.when(cell.isNotNull(), F.lit("*"))
+    kept = [c for c in cells.columns if c not in ("number", "is_date")]
+    return cells.select(*kept, number.alias("number"), parsed.alias("parsed"), conform.alias("conform"), outside.alias("outside"), m.alias("mask"))
+
+
+def _by_mask(typed: DataFrame, key: str, n: Column) -> DataFrame:
+    part = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    return typed.groupBy(key, "source_column", "mask").agg(
+        F.sum(n).alias("n"), part(F.col("parsed")).alias("parsed"), part(F.col("conform")).alias("conform"), part(F.col("number").isNotNull()).alias("numbers"), part(F.col("outside")).alias("outside"), F.min("number").alias("low"), F.max("number").alias("high")
+    )
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def mask_profile(rows: DataFrame, key: str = "source_object_id", columns: list[str] | None = None, masked: bool | None = None) -> DataFrame:
+    """Counts by (load, column, mask): n, parsed (numbers or dates), conform (pattern or allowed values), numbers, outside.
+
+    ``mask`` is NULL for null-like cells. With ``masked`` False only columns with a role get masks, others ``*``. Extra
+    columns of ``rows`` are not read; a NULL load is a load of its own. The map side combines: masks are few.
+    """
+    return _union([_by_mask(_typed(_cells(rows, key, own), role, masked is not False or role is not None), key, F.lit(1)) for role, own in _by_role(columns or TEXT_COLUMNS)])
+
+
+#: Columns whose values are counted one by one: few per load, or asked for by value.
+VALUE_COLUMNS = [*DISTINCT_COLUMNS, *QUANTILE_COLUMNS, *SHARE_COLUMNS, *DATE_COLUMNS, "line_number"]
+
+
+def value_table(rows: DataFrame, key: str = "source_object_id") -> DataFrame:
+    """(load, column, cell, n) with what its role asks of each distinct value; ``cell`` is NULL for the null-like ones."""
+    counted = [(role, _cells(rows, key, own).groupBy(key, "source_column", "cell").agg(F.count(F.lit(1)).alias("n"))) for role, own in _by_role(VALUE_COLUMNS)]
+    return _union([_typed(c, role, role is not None) for role, c in counted])
+
+
 def load_profile(masks: DataFrame, key: str = "source_object_id") -> DataFrame:
     """One row per load and column from its masks: rows, nulls, parse rate, shares of violations, range, dominant mask."""
     kept = F.col("mask").isNotNull()
@@ -93,13 +120,6 @@ def load_profile(masks: DataFrame, key: str = "source_object_id") -> DataFrame:
     )
 
 
-def value_counts(rows: DataFrame, key: str = "source_object_id", columns: list[str] | None = None) -> DataFrame:
-    """Counts by (load, column, trimmed value) of the cells that are not null-like."""
-    cols = columns or DISTINCT_COLUMNS + QUANTILE_COLUMNS + SHARE_COLUMNS
-    long = rows.select(key, *cols).unpivot([key], cols, "source_column", "cell").withColumn("value", V.present(F.col("cell"))).filter("value IS NOT NULL")
-    return long.groupBy(key, "source_column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def quantile_edges(numbers: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     """``edges``, the distinct values at positions min(n-1, round_half_even(i*n/bins)) of each sorted group.
 
@@ -133,11 +153,14 @@ def psi(pairs: DataFrame, keys: list[str], floor: float = 1e-4) -> DataFrame:
     return j.groupBy(*keys).agg(F.sum((F.col("as") - F.col("es")) * F.log(F.col("as") / F.col("es"))).alias("psi"), F.max("n_expected").alias("n_expected"), F.max("n_actual").alias("n_actual"))
 
 
-def load_shifts(counts: DataFrame, before: DataFrame, key: str = "source_object_id") -> DataFrame:
-    """PSI of each load and column against the load before: quantile bins for numbers, value shares for categories."""
+def load_shifts(values: DataFrame, before: DataFrame, key: str = "source_object_id") -> DataFrame:
+    """PSI of each load and column against the load before: quantile bins for numbers, value shares for categories.
+
+    ``values`` is a `value_table`, which is read several times.
+    """
     K = [key, "source_column"]
     prev = before.select(F.col(key), F.col("prev_object_id")).filter("prev_object_id IS NOT NULL")
-    numbers = counts.filter(F.col("source_column").isin(QUANTILE_COLUMNS)).withColumn("number", V.cell_number(F.col("value"))).filter("number IS NOT NULL").groupBy(*K, "number").agg(F.sum("n").alias("n"))
+    numbers = values.filter(F.col("source_column").isin(QUANTILE_COLUMNS) & F.col("number").isNotNull()).groupBy(*K, "number").agg(F.sum("n").alias("n"))
     numbers = cut(numbers)
     edges = cut(quantile_edges(numbers, K))
     binned = lambda rows: rows.withColumn("bin", F.size(F.filter("edges", lambda e: F.col("number") > e)).cast("string"))
@@ -145,7 +168,7 @@ def load_shifts(counts: DataFrame, before: DataFrame, key: str = "source_object_
     expected = own.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", F.lit(0).cast("long").alias("actual"))
     old = edges.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", "edges")
     actual = binned(numbers.join(old, K)).groupBy(*K, "bin").agg(F.sum("n").alias("actual")).select(key, "source_column", "bin", F.lit(0).cast("long").alias("expected"), "actual")
-    shares = counts.filter(F.col("source_column").isin(SHARE_COLUMNS))
+    shares = values.filter(F.col("source_column").isin(SHARE_COLUMNS) & F.col("cell").isNotNull()).select(*K, F.col("cell").alias("value"), "n")
     e2 = shares.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", F.col("value").alias("bin"), F.col("n").alias("expected"), F.lit(0).cast("long").alias("actual"))
     a2 = shares.join(prev, key).select(key, "source_column", F.col("value").alias("bin"), F.lit(0).cast("long").alias("expected"), F.col("n").alias("actual"))
     return psi(cut(expected.unionByName(actual).unionByName(e2).unionByName(a2)), K)
@@ -160,13 +183,14 @@ def invoice_issues(rows: DataFrame, before: DataFrame) -> DataFrame:
     key, K = "source_object_id", ["source_object_id", "source_column"]
     # Read several times below, and far smaller than the rows: computed once, in the shared checkpoint folder. Of columns
     # without a test of their values only the null share counts, so that their masks aren't built.
-    prof = cut(load_profile(mask_profile(rows, masked=NUMBER_COLUMNS + DATE_COLUMNS + ["po_number", "currency"])))
-    counts = cut(value_counts(rows))
-    distinct = counts.filter(F.col("source_column").isin(DISTINCT_COLUMNS)).groupBy(*K).agg(F.count(F.lit(1)).alias("n_distinct"))
+    values = cut(value_table(rows))
+    others = mask_profile(rows, columns=[c for c in TEXT_COLUMNS if c not in VALUE_COLUMNS], masked=False)
+    prof = cut(load_profile(_by_mask(values, key, F.col("n")).unionByName(others)))
+    distinct = values.filter(F.col("source_column").isin(DISTINCT_COLUMNS) & F.col("cell").isNotNull()).groupBy(*K).agg(F.count(F.lit(1)).alias("n_distinct"))
     now = prof.join(distinct, K, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     link = before.select(key, "prev_object_id")
     old = now.select(F.col(key).alias("prev_object_id"), "source_column", F.struct("n_rows", "n_present", "n_parsed", "n_distinct").alias("old"))
-    j = now.join(link, key, "left").join(old, ["prev_object_id", "source_column"], "left").join(load_shifts(counts, before), K, "left")
+    j = now.join(link, key, "left").join(old, ["prev_object_id", "source_column"], "left").join(load_shifts(values, before), K, "left")
     name = F.col("source_column")
     null_rate = lambda p: 1 - F.col(f"{p}n_present") / F.col(f"{p}n_rows")
     rate = lambda p: F.when(F.col(f"{p}n_present") > 0, F.col(f"{p}n_parsed") / F.col(f"{p}n_present"))
