@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import pandas as pd
 from pyspark.sql import DataFrame
 
 DATA = "/root/testdata/sf0.001"
@@ -15,9 +14,11 @@ def rows(df: DataFrame) -> list[tuple]:
 
 def canonical(frame):  # noqa: ANN001, ANN201
     def cell(x):  # noqa: ANN001, ANN202
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if x is None or pd.isna(x):
             return None
-        return round(float(x), 9) if isinstance(x, float) else x
+        if isinstance(x, float):
+            return round(float(x), 9)
+        return x.item() if hasattr(x, "item") else x
 
     frame = frame[sorted(frame.columns)]
     return sorted(repr(tuple(cell(x) for x in r)) for r in frame.astype(object).itertuples(index=False, name=None))
