@@ -21,6 +21,8 @@ KINDS = ("prose", "list", "table", "junk")
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TOKEN = re.compile(r"\S+")
+_LETTER = re.compile(r"[^\W\d_]+")
+_SYMBOL = re.compile(r"(?:[^\w\s]|_)+")
 _MARKER = re.compile(r"^\s*(?:[-–—*•·▪◦‣+>o](?=\s)|\[[ xX✓]?\]|(?:\(?\d{1,3}|\(?[A-Za-z]|\(?[ivxIVX]{1,5})[.)](?=\s))\s*")
 _HEXDUMP = re.compile(r"^\s*[0-9a-fA-F]{4,16}[: ]\s*(?:[0-9a-fA-F]{2}\s+){3,}")
 _RULER = re.compile(r"^\s*([^\w\s])\1{4,}\s*$")
@@ -33,6 +35,16 @@ _GAP = re.compile(r"\S(\s{2,})(?=\S)")
 _DELIMITERS = (("|", 1), ("\t", 1), (";", 1), (",", 2))
 
 
+def dense_length(text: str) -> int:
+    """Characters that are no white space."""
+    return len("".join(text.split()))
+
+
+def run_length(pattern: re.Pattern[str], text: str) -> int:
+    """Characters in the pattern's matches."""
+    return sum(map(len, pattern.findall(text)))
+
+
 def autocorrelation(lengths: list[int], lag: int) -> float:
     """Of the line lengths; 1 where all are equal, 0 where there are too few."""
     n = len(lengths)
@@ -126,9 +138,9 @@ def is_junk_text(text: str, common: frozenset[str], least_words: int = 12) -> bo
     if not dense:
         return False
     tokens = _TOKEN.findall(text)
-    words = [w.lower() for w in _WORD.findall(text)]
-    letters = sum(c.isalpha() for c in dense)
-    symbols = sum(not c.isalnum() for c in dense)
+    words = _WORD.findall(text.lower())
+    letters = run_length(_LETTER, dense)
+    symbols = run_length(_SYMBOL, dense)
     if len(dense) >= 40 and symbols / len(dense) > 0.3 and letters / len(dense) < 0.6:
         return True
     if sum(len(m.group()) for m in _MARKUP.finditer(text)) > 0.3 * len(dense):
@@ -163,9 +175,9 @@ def is_junk_text(text: str, common: frozenset[str], least_words: int = 12) -> bo
 def analyse(text: str, common: frozenset[str]) -> tuple:
     """All statistics of one text, the share of its characters of each kind, and its kind."""
     lines = [x for x in text.splitlines() if x.strip()]
-    words = _WORD.findall(text)
-    dense = sum(not c.isspace() for c in text)
-    symbols = sum(not c.isalnum() and not c.isspace() for c in text)
+    words = _WORD.findall(text.lower())
+    dense = dense_length(text)
+    symbols = run_length(_SYMBOL, text)
     lengths = [len(x) for x in lines]
     tables = table_lines(lines)
     lists = list_lines(lines, tables)
@@ -173,7 +185,7 @@ def analyse(text: str, common: frozenset[str]) -> tuple:
     rest: list[str] = []
     run: list[str] = []
     for line, t, li in zip(lines, tables, lists):
-        size = sum(not c.isspace() for c in line)
+        size = dense_length(line)
         if _HEXDUMP.match(line) or _RULER.match(line):
             weight["junk"] += size
         elif t or li:
@@ -190,8 +202,8 @@ def analyse(text: str, common: frozenset[str]) -> tuple:
         # A stretch is judged on its own where it is long enough, else with the other stretches.
         whole = "\n".join(rest)
         for part in rest:
-            size = sum(not c.isspace() for c in part)
-            alone = len(_WORD.findall(part)) >= 12 or size >= 60
+            size = dense_length(part)
+            alone = size >= 60 or len(_WORD.findall(part)) >= 12
             weight["junk" if is_junk_text(part if alone else whole, common) else "prose"] += size
     # A heading over a list or a table is part of it.
     if weight["prose"] and len(rest) == 1 and len(rest[0].split()) <= 3 and weight["list"] + weight["table"] > 0:
@@ -206,7 +218,7 @@ def analyse(text: str, common: frozenset[str]) -> tuple:
         sum(map(len, words)) / n if n else None,
         symbols / dense if dense else None,
         sum(bool(_SENTENCE_END.search(x)) for x in lines) / len(lines) if lines else None,
-        sum(w.lower() in common for w in words) / n if n else None,
+        sum(w in common for w in words) / n if n else None,
         autocorrelation(lengths, 1),
         indentation_period(lines),
         weight["prose"] / total,
