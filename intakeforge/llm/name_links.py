@@ -225,7 +225,8 @@ def similar_keys(keys: DataFrame) -> DataFrame:
     # Organisations meet within a trade, persons within an initial.
     block = F.concat("kind", F.when(F.col("kind") == "p", F.substring("qualifier", 1, 1)).otherwise(F.col("qualifier")))
     band = node.select("key", F.explode(_bands("words", block)).alias("band"))
-    pairs = band.join(band.select(F.col("key").alias("other"), "band"), "band").filter("key < other").select("key", "other").distinct()
+    # Sizes are estimated before the bands are exploded: without the hint a side of many times that size may be broadcast.
+    pairs = band.hint("merge").join(band.select(F.col("key").alias("other"), "band"), "band").filter("key < other").select("key", "other").distinct()
     left = node.select("key", F.col("qualifier").alias("q1"), F.col("words").alias("w1"))
     right = node.select(F.col("key").alias("other"), F.col("qualifier").alias("q2"), F.col("words").alias("w2"))
     j = pairs.join(left, "key").join(right, "other").filter((F.col("q1") == F.col("q2")) | F.col("q1").endswith("*") | F.col("q2").endswith("*"))
