@@ -127,7 +127,8 @@ def token_repairs(counts: DataFrame) -> DataFrame:
     vocabulary = counts.filter((F.col("spec") > 0) | (F.col("n") >= TRUSTED)).select(F.col("token").alias("word"), F.col("n").alias("word_n"), F.col("spec").alias("word_spec"))
     left = counts.filter((F.col("spec") == 0) & (F.length("token") >= 3)).withColumn("variant", F.explode(_deletions("token")))
     right = vocabulary.filter(F.length("word") >= 3).withColumn("variant", F.explode(_deletions("word")))
-    pairs = left.join(right, "variant").filter("token <> word").select("token", "n", "word", "word_n", "word_spec").distinct()
+    # Sizes are estimated before the variants are exploded, so that neither side may be broadcast by them.
+    pairs = left.hint("merge").join(right, "variant").filter("token <> word").select("token", "n", "word", "word_n", "word_spec").distinct()
     strong = F.greatest(F.col("word_n"), F.when(F.col("word_spec") > 0, F.lit(2)).otherwise(0))
     pairs = pairs.filter((F.col("n") < TRUSTED) | (strong >= DOMINANCE * F.col("n"))).withColumn("distance", _distance("token", "word"))
     pairs = pairs.filter(F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1))
@@ -202,7 +203,7 @@ def map_values(queries: DataFrame, entries: DataFrame, history: DataFrame) -> Da
     in_order = in_order.join(counts, "token").groupBy("scope", "value", "letters").agg(F.min((F.col("spec") > 0) | (F.col("n") >= TRUSTED)).alias("all_known"))
     spelled = reference.groupBy("scope", F.array_join("tokens", "").alias("word"), "target").agg(F.sum("n").alias("n")).filter(F.col("n") >= TRUSTED)
     spelled = spelled.groupBy("scope", "word").agg(F.max(F.struct("n", "target")).alias("b")).select("scope", "word", F.col("b.target").alias("target"), F.col("b.n").alias("n"))
-    near = in_order.withColumn("variant", F.explode(_deletions("letters"))).join(spelled.withColumn("variant", F.explode(_deletions("word"))), ["scope", "variant"])
+    near = in_order.withColumn("variant", F.explode(_deletions("letters"))).hint("merge").join(spelled.withColumn("variant", F.explode(_deletions("word"))), ["scope", "variant"])
     near = near.select("scope", "value", "letters", "all_known", "word", "target", "n").distinct().withColumn("distance", _distance("letters", "word"))
     near = near.filter((F.length("letters") >= 4) & (F.col("distance") <= F.when(F.length("letters") >= 8, 2).otherwise(1)))
     near = near.select("scope", "value", "target", "n", (1 - F.when(F.col("all_known"), 2).otherwise(1) * F.col("distance") / F.length("letters")).alias("score"), F.lit("letters").alias("how"))
