@@ -120,6 +120,80 @@ def load_profile(masks: DataFrame, key: str = "source_object_id") -> DataFrame:
     )
 
 
+def all_values(rows: DataFrame, key: str = "source_object_id") -> DataFrame:
+    """(load, column, cell, n) of every distinct value of all text columns; ``cell`` is NULL for the null-like ones."""
+    return _cells(rows, key, TEXT_COLUMNS).groupBy(key, "source_column", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_shares(values: DataFrame, profiles: DataFrame, key: str = "source_object_id") -> DataFrame:
+    """(origin, load, column, value, n, share) of every value, none left out, of `all_values` (``invoices``) and of the stored profiles.
+
+    The share is of the present cells of the load and column. Stored profiles hold shares without counts.
+    """
+    K = [key, "source_column"]
+    there = values.filter("cell IS NOT NULL")
+    total = there.groupBy(*K).agg(F.sum("n").alias("total"))
+    loads = there.join(total.select(F.col(key).alias("_k"), F.col("source_column").alias("_c"), "total"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("source_column") == F.col("_c")))
+    loads = loads.select(F.lit("invoices").alias("origin"), *K, F.col("cell").alias("value"), "n", (F.col("n") / F.col("total")).alias("share"))
+    stored = stored_profiles(profiles).select(F.lit("stored").alias("origin"), F.col("source_object_id").alias(key), "source_column", F.explode("top_values").alias("value", "share"))
+    return loads.unionByName(stored.withColumn("n", F.lit(None).cast("long")).select(loads.columns))
+
+
+def stored_profiles(profiles: DataFrame) -> DataFrame:
+    """The stored profiles, one row per object and column: of repeated ones that of the least profile_id."""
+    cols = ["null_rate", "distinct_count", "row_count", "parse_rates", "top_values"]
+    w = Window.partitionBy("source_object_id", "col_name").orderBy("profile_id")
+    return profiles.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").select("source_object_id", F.col("col_name").alias("source_column"), *cols)
+
+
+def full_profile(values: DataFrame, profiles: DataFrame, key: str = "source_object_id", top: int = 10) -> DataFrame:
+    """One row per load and column, from exact counts of all its values (``invoices``), and per stored profile (``stored``).
+
+    Every column is tested for integers, numbers (also currency and percent), dates and booleans: ``parse_rates`` are shares
+    of the present cells, NULL where there are none. ``low``/``high`` is the range of its numbers, ``first_day``/``last_day``
+    that of its dates; days and months with slashes are read in the order that more cells of the column allow, month first
+    where both do. ``n_parsed`` counts numbers and dates. ``top_values`` are the shares of the ``top`` most frequent values,
+    a report; `value_shares` has all. Stored profiles have no ranges, masks and counts of parsed cells. ``values`` is an
+    `all_values`, which is read twice.
+    """
+    K = [key, "source_column"]
+    cell, n = F.col("cell"), F.col("n")
+    part = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    slashed = cell.rlike(V.date_shape("mdy/"))
+    plain = F.when(cell.rlike("^[0-9]{1,4}[-/.]"), F.coalesce(*[V.parse_date_as(cell, t) for t in V.CELL_DATE_TOKENS if t not in ("mdy/", "dmy/")]))
+    t = values.withColumn("number", V.cell_number(cell)).withColumn("mask", mask(cell))
+    t = t.withColumn("plain", plain).withColumn("mdy", F.when(slashed, V.parse_date_as(cell, "mdy/"))).withColumn("dmy", F.when(slashed, V.parse_date_as(cell, "dmy/")))
+    us, eu = F.coalesce("plain", "mdy", "dmy"), F.coalesce("plain", "dmy", "mdy")
+    by_mask = t.groupBy(*K, "mask").agg(
+        F.sum("n").alias("n"), F.count("cell").alias("n_distinct"), part(F.col("number").isNotNull()).alias("n_numbers"), part(us.isNotNull()).alias("n_dates"),
+        part(cell.rlike(V.CELL_INT)).alias("n_integers"), part(F.lower("cell").isin([*V.TRUE_TOKENS, *V.FALSE_TOKENS, "0", "1"])).alias("n_booleans"),
+        F.min("number").alias("low"), F.max("number").alias("high"), part(F.col("mdy").isNotNull()).alias("n_mdy"), part(F.col("dmy").isNotNull()).alias("n_dmy"),
+        F.min(us).alias("us_low"), F.max(us).alias("us_high"), F.min(eu).alias("eu_low"), F.max(eu).alias("eu_high"),
+    )
+    kept = F.col("mask").isNotNull()
+    sums = ["n_distinct", "n_numbers", "n_dates", "n_integers", "n_booleans", "n_mdy", "n_dmy"]
+    prof = by_mask.groupBy(*K).agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(kept, n)), F.lit(0)).alias("n_present"), *[F.sum(c).alias(c) for c in sums],
+        *[f(c).alias(c) for f, names in ((F.min, ("low", "us_low", "eu_low")), (F.max, ("high", "us_high", "eu_high"))) for c in names],
+        F.count(F.when(kept, True)).alias("n_masks"), F.max(F.when(kept, F.struct("n", "mask"))).alias("top"),
+    )
+    w = Window.partitionBy(*K).orderBy(F.desc("n"), "cell")
+    first = values.filter("cell IS NOT NULL").withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= top)
+    first = first.groupBy(F.col(key).alias("_k"), F.col("source_column").alias("_c")).agg(F.array_sort(F.collect_list(F.struct("_rank", "cell", "n"))).alias("_top"))
+    j = prof.join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("source_column") == F.col("_c")), "left")
+    rate = lambda c: F.when(F.col("n_present") > 0, F.col(c) / F.col("n_present"))
+    rates = F.when(F.col("n_present") > 0, F.create_map(*[x for name in ("integer", "number", "date", "boolean") for x in (F.lit(name), rate(f"n_{name}s"))]))
+    shares = F.map_from_entries(F.transform("_top", lambda x: F.struct(x["cell"], x["n"] / F.col("n_present"))))
+    european = F.col("n_dmy") > F.col("n_mdy")
+    day = lambda side: F.when(european, F.col(f"eu_{side}")).otherwise(F.col(f"us_{side}"))
+    loads = j.select(
+        F.lit("invoices").alias("origin"), *K, "n_rows", "n_present", (1 - F.col("n_present") / F.col("n_rows")).alias("null_rate"), "n_distinct", (F.col("n_numbers") + F.col("n_dates")).alias("n_parsed"), "n_numbers", rates.alias("parse_rates"),
+        "low", "high", day("low").alias("first_day"), day("high").alias("last_day"), "n_masks", F.col("top.mask").alias("dominant_mask"), shares.alias("top_values"),
+    )
+    stored = stored_profiles(profiles).select(F.lit("stored").alias("origin"), F.col("source_object_id").alias(key), "source_column", F.col("row_count").alias("n_rows"), "null_rate", F.col("distinct_count").alias("n_distinct"), "parse_rates", "top_values")
+    return loads.unionByName(stored, allowMissingColumns=True)
+
+
 def quantile_edges(numbers: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     """``edges``, the distinct values at positions min(n-1, round_half_even(i*n/bins)) of each sorted group.
 

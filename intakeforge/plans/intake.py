@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from intakeforge.operators import quality, records, schema_drift
 from intakeforge.plans.registry import Registry
-from intakeforge.session import table
+from intakeforge.session import cut, table
 
 registry = Registry()
 
@@ -117,5 +117,11 @@ def p5_masks(spark: SparkSession, d: str) -> DataFrame:
 
 @registry.add()
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    prof = quality.load_profile(quality.mask_profile(table(spark, d, "invoices_2026_08")))
-    return prof.select("source_object_id", "source_column", "n_rows", "n_present", (1 - F.col("n_present") / F.col("n_rows")).alias("null_rate"), "n_parsed", "n_numbers", "low", "high", "n_masks", F.col("top.mask").alias("dominant_mask"))
+    """Figures of every column of every load, from its values and from the stored profiles."""
+    return quality.full_profile(cut(quality.all_values(table(spark, d, "invoices_2026_08"))), table(spark, d, "column_profile"))
+
+
+@registry.add()
+def p5_value_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Count and share of every value of every column of every load, and the shares that the stored profiles hold."""
+    return quality.value_shares(cut(quality.all_values(table(spark, d, "invoices_2026_08"))), table(spark, d, "column_profile"))
