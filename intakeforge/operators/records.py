@@ -241,6 +241,31 @@ def split_records(text: str, delimiter: str, entry: int = START) -> list[int]:
     return ends
 
 
+def record_cells(record: str, delimiter: str) -> tuple[str | None, int, list[str] | None]:
+    """(reason, offset, cells) of one record of a file with its line end: ``encoding`` or ``quoting``, or none with the cells.
+
+    A blank line has no cells. The line end is a newline or a carriage return and a newline.
+    """
+    text = record.removesuffix("\n").removesuffix("\r")
+    if m := UNDECODED.search(text):
+        return "encoding", m.start(), None
+    found, fault = tokenize(text, delimiter)
+    if fault >= 0:
+        return "quoting", fault, None
+    return None, -1, found if text else []
+
+
+def split_chunk_records(text: str, delimiter: str, entry: int = START) -> list[tuple[bool, str, str | None, int, list[str] | None]]:
+    """(whole, text, reason, offset, cells) of every piece of a chunk, which is tokenized from its entry state.
+
+    The first piece may have begun in an earlier chunk and the last one, perhaps empty, may go on in a later one: these two are not
+    whole, and have no cells yet. Pieces keep their line ends.
+    """
+    ends = split_records(text, delimiter, entry)
+    pieces = [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+    return [(True, p, *record_cells(p, delimiter)) if 0 < k < len(pieces) - 1 else (False, p, None, -1, None) for k, p in enumerate(pieces)]
+
+
 def sequential_entry(texts: list[str], delimiter: str) -> list[int]:
     """Entry states found one after the other; the brute force that `entry_states` is tested against."""
     out, state = [], START

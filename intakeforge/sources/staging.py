@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 import datetime
 import hashlib
 import io
@@ -14,20 +13,22 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeforge.functions.names import dedupe_headers
 from intakeforge.functions.values import is_null_like, strip
-from intakeforge.operators import profiling
+from intakeforge.operators import profiling, records
 from intakeforge.operators.records import tokenize
+from intakeforge.session import cut
 
 TEXT_SUFFIXES, BOOK_SUFFIXES = (".csv", ".tsv", ".txt"), (".xlsx", ".xlsm")
 # Encodings in the order in which they are tried, and delimiters in order of preference.
 ENCODINGS = ["utf-8-sig", "utf-8", "cp1252", "latin-1"]
 DELIMITERS = [",", ";", "\t", "|"]
-GRID = "source_file string, sheet string, content_hash string, encoding string, delimiter string, row_idx int, cells array<string>, error string"
+#: Characters of a file that are tokenized at a time.
+CHUNK = 1 << 20
 
 
 def decode(data: bytes) -> tuple[str, str]:
@@ -127,35 +128,95 @@ def _book_cell(c: ET.Element, shared: list[str], dates: list[bool]) -> str:
     return cell_text(number)
 
 
-def _grids(path: str, data: bytes) -> list[tuple]:
+_PART = pa.schema([("path", pa.string()), ("source_file", pa.string()), ("sheet", pa.string()), ("content_hash", pa.string()), ("encoding", pa.string()), ("delimiter", pa.string()), ("chunk_no", pa.int64()), ("text", pa.string()), ("row_idx", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+_PIECE = pa.schema([("local", pa.int32()), ("whole", pa.bool_()), ("cells", pa.list_(pa.string())), ("error", pa.string()), ("at", pa.int32()), ("raw", pa.string())])
+_FILE = ["path", "source_file", "content_hash", "encoding", "delimiter"]
+PART = "path string, source_file string, sheet string, content_hash string, encoding string, delimiter string, chunk_no long, text string, row_idx int, cells array<string>, error string"
+PIECE = "path string, source_file string, content_hash string, encoding string, delimiter string, chunk_no long, local int, whole boolean, cells array<string>, error string, at int, raw string"
+
+
+def _parts(path: str, data: bytes, size: int) -> Iterator[tuple]:
+    """A text as chunks, a workbook as lines of cells, anything else as one row with its error."""
     name = path.rsplit("/", 1)[-1]
     digest = hashlib.sha256(data).hexdigest()
     try:
         if name.lower().endswith(BOOK_SUFFIXES):
-            return [(name, sheet, digest, None, None, i, row, None) for sheet, rows in read_book(data) for i, row in enumerate(rows)]
+            yield from [(path, name, sheet, digest, None, None, None, None, i, row, None) for sheet, rows in read_book(data) for i, row in enumerate(rows)]
+            return
         if not name.lower().endswith(TEXT_SUFFIXES):
-            return [(name, None, digest, None, None, -1, [], "no known kind of file")]
+            yield path, name, None, digest, None, None, None, None, -1, [], "no known kind of file"
+            return
         text, encoding = decode(data)
+        if "\n" not in text:
+            text = text.replace("\r", "\n")  # files of the kind that end lines by carriage returns alone
         d = sniff_delimiter(text)
-        rows = csv.reader(io.StringIO(text, newline=""), delimiter=d)
-        return [(name, None, digest, encoding, d, i, row, None) for i, row in enumerate(rows)] or [(name, None, digest, encoding, d, -1, [], "no rows")]
-    except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError, csv.Error) as e:
-        return [(name, None, digest, None, None, -1, [], f"{type(e).__name__}: {e}"[:200])]
+        if not text:
+            yield path, name, None, digest, encoding, d, None, None, -1, [], "no rows"
+        for k in range(0, len(text), size):
+            yield path, name, None, digest, encoding, d, k // size, text[k : k + size], None, None, None
+    except (ValueError, KeyError, zipfile.BadZipFile, ET.ParseError) as e:
+        yield path, name, None, digest, None, None, None, None, -1, [], f"{type(e).__name__}: {e}"[:200]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each chunk; chunks one by one, so that a task never holds the cells of more than one."""
+    for b in batches:
+        for k, (text, delimiter, entry) in enumerate(zip(b.column("text").to_pylist(), b.column("delimiter").to_pylist(), b.column("entry").to_pylist())):
+            found = records.split_chunk_records(text, delimiter, entry)
+            own = [pa.array([b.column(c)[k].as_py()] * len(found), b.column(c).type) for c in (*_FILE, "chunk_no")]
+            columns = zip(*[(i, whole, cells, reason, at, None if whole and reason is None else piece) for i, (whole, piece, reason, at, cells) in enumerate(found)])
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, f.type) for c, f in zip(columns, _PIECE)]], names=[*_FILE, "chunk_no", *_PIECE.names])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("source_file", pa.string()), ("sheet", pa.string()), ("content_hash", pa.string()), ("encoding", pa.string()), ("delimiter", pa.string()), ("row_idx", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
+def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the records that lie in several chunks, from their whole text."""
     for b in batches:
-        for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-            rows = _grids(path, data)
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+        raw = b.column("raw").to_pylist()
+        found = [records.record_cells(t, d) for t, d in zip(raw, b.column("delimiter").to_pylist())]
+        kept = [None if r[0] is None else t for t, r in zip(raw, found)]
+        columns = [pa.array([r[2] for r in found], pa.list_(pa.string())), pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.int32()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("source_file", "content_hash", "encoding", "delimiter", "row_idx")], *columns], names=["source_file", "content_hash", "encoding", "delimiter", "row_idx", "cells", "error", "at", "raw"])
+
 
+def grids(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Lines of cells of every file of a ``binaryFile`` frame; what cannot be read gives a row with its error and no cells.
+
+    A file is decoded by one task, and handed on in chunks. Their entry states are composed from their state maps, and every
+    chunk is tokenized from its own; pieces of a record at the borders of chunks have one row number and are put together.
+    A record that fails has the reason, the offset in it (``at``) and its text (``raw``): an open quote takes the rest of the
+    file into one such record. A file that fails has row_idx -1.
+    """
 
-def grids(files: DataFrame) -> DataFrame:
-    """Lines of cells of every file of a ``binaryFile`` frame; a file that cannot be read gives one row with its error."""
-    return files.select("path", "content").mapInArrow(_read, GRID)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
+                part: list[tuple] = []
+                for row in _parts(path, data, chunk):
+                    part.append(row)
+                    if row[7] is not None or len(part) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _PART)], schema=_PART)
+                        part = []
+                if part:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _PART)], schema=_PART)
+
+    parts = cut(files.select("path", "content").mapInArrow(read, PART))
+    out = ["source_file", "sheet", "content_hash", "encoding", "delimiter", "row_idx", "cells", "error", "at", "raw"]
+    direct = parts.filter("chunk_no IS NULL").withColumn("at", F.lit(None).cast("int")).withColumn("raw", F.lit(None).cast("string")).select(out)
+    texts = parts.filter("chunk_no IS NOT NULL")
+    entry = records.entry_states(records.chunk_transitions(texts, delimiter=F.col("delimiter")), "path", "chunk_no")
+    pieces = cut(texts.select(*_FILE, "chunk_no", "text").join(entry, ["path", "chunk_no"]).select(*_FILE, "chunk_no", "text", "entry").mapInArrow(_split, PIECE))
+    before = Window.partitionBy("path").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
+    base = pieces.groupBy("path", "chunk_no").agg(F.max("local").alias("ends")).select("path", "chunk_no", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("base"))
+    placed = pieces.join(base, ["path", "chunk_no"]).withColumn("row_idx", (F.col("base") + F.col("local")).cast("int")).withColumn("sheet", F.lit(None).cast("string"))
+    edge = placed.filter("NOT whole").groupBy(*_FILE, "row_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "local", "raw"))), lambda x: x["raw"]), "").alias("raw"))
+    joined = edge.filter("raw <> ''").mapInArrow(_tokenize, "source_file string, content_hash string, encoding string, delimiter string, row_idx int, cells array<string>, error string, at int, raw string")
+    return direct.unionByName(placed.filter("whole").select(out)).unionByName(joined.withColumn("sheet", F.lit(None).cast("string")).select(out))
+
+
+def rejected(lines: DataFrame) -> DataFrame:
+    """Records and files that could not be read: file, row number (NULL for a whole file), reason, offset and the record's text."""
+    bad = lines.filter("error IS NOT NULL")
+    return bad.select("source_file", "sheet", "content_hash", F.when(F.col("row_idx") >= 0, F.col("row_idx") + 1).alias("row_number"), F.col("error").alias("reason"), F.when(F.col("at") >= 0, F.col("at")).alias("at"), "raw")
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -171,9 +232,9 @@ def stage(lines: DataFrame, header_row: int | None = None) -> DataFrame:
     """One row per record: source_file, sheet, row_number (from 1), content_hash and a map from header to trimmed cell.
 
     The header row is the best-scored one unless it is given. Columns without header and without any value, and records
-    without any value, are left out; short records are filled up. A frame of maps holds files of any layout at once.
+    without any value, are left out; short records are filled up. What could not be read is in `rejected`. A frame of maps holds files of any layout at once.
     """
-    good = lines.filter("error IS NULL").withColumn("file", F.struct("source_file", "sheet"))
+    good = lines.filter("error IS NULL").drop("at", "raw").withColumn("file", F.struct("source_file", "sheet"))
     if header_row is None:
         heads = profiling.detect_headers(profiling.header_scores(good, "file"), "file")
     else:
