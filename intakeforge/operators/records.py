@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +119,12 @@ def read_record(text: str, delimiter: str, types: list[str]) -> tuple[str | None
     return None, -1, found
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def record_tokens(text: pd.Series, delimiter: pd.Series) -> pd.Series:
+    """The cells of each record as `tokenize` gives them, of a record with a quoting fault those before it; NULL for NULL."""
+    return pd.Series([None if t is None else tokenize(t, d)[0] for t, d in zip(text, delimiter)], dtype=object)
+
+
 def layouts(objects: DataFrame) -> DataFrame:
     """One row per source object: delimiter, header_row and ``types``, the inferred type of each header as ``date:mdy/``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intakeforge.functions import values as V
-from intakeforge.operators import audit, casting, materialize, profiling, quality, resolving
+from intakeforge.operators import audit, casting, materialize, profiling, quality, records, resolving
 from intakeforge.operators.casting import ColumnPlan
 from intakeforge.operators.versions import distinct_deliveries, with_previous
 from intakeforge.plans.intake import _VERSIONS_SQL
@@ -461,5 +461,4 @@ def s_header_score(spark: SparkSession, d: str) -> DataFrame:
 def _raw_grid(spark: SparkSession, d: str) -> DataFrame:
     lay = table(spark, d, "source_object").select("source_object_id", "delimiter")
     raw = table(spark, d, "raw_records").join(lay, "source_object_id")
-    cells = F.transform(F.split("raw_text", F.concat(F.lit("\\Q"), F.coalesce("delimiter", F.lit(",")), F.lit("\\E"))), lambda c: F.trim(F.btrim(c, F.lit('"'))))
-    return raw.select("source_object_id", "row_idx", cells.alias("cells"))
+    return raw.select("source_object_id", "row_idx", records.record_tokens("raw_text", F.coalesce("delimiter", F.lit(","))).alias("cells"))
