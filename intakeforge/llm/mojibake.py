@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +146,11 @@ class Describer:
         if not self.packers:
             self.packers.append(zstandard.ZstdCompressor(level=12))
         self.counts = counts
+        #: Counts of the words of the text at hand that ``counts`` lacks.
+        self.rare: dict[str, int] = {}
+
+    def count(self, word: str) -> int:
+        return self.counts.get(word) or self.rare.get(word, 0)
 
     def length(self, text: str) -> float:
         """Bytes of the text by its best dictionary, more for strange characters and capitals inside small words, less for
@@ -152,7 +158,7 @@ class Describer:
         raw = text.encode("utf-8", "surrogatepass")
         strange = sum(ord(c) > 127 and c not in _KNOWN for c in text)
         capitals = sum(m.group()[1].isupper() for m in _CAPITAL_INSIDE.finditer(text))
-        seen = sum(math.log2(1 + self.counts.get(w, 0)) for w in _WORD.findall(text))
+        seen = sum(math.log2(1 + self.count(w)) for w in _WORD.findall(text))
         return min(len(p.compress(raw)) for p in self.packers) + STRANGE_COST * strange + CAPITAL_COST * capitals - COUNT_GAIN * seen
 
     def sound(self, old: str, new: str, chain: str) -> bool:
@@ -160,8 +166,8 @@ class Describer:
         if ">utf-8" in chain:
             return True
         a, b = _WORD.findall(old), _WORD.findall(new)
-        before = sum(self.counts.get(w, 0) for w in a)
-        after = sum(self.counts.get(w, 0) for w in b)
+        before = sum(self.count(w) for w in a)
+        after = sum(self.count(w) for w in b)
         strange = any(ord(c) > 127 and c not in _KNOWN for c in old)
         return after > 2 * before or strange and after >= before
 
@@ -180,13 +186,34 @@ class Describer:
 _DESCRIBERS: dict[int, Describer] = {}
 
 
+def all_word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of every word beyond ASCII over all texts (text, n)."""
+    w = texts.select(F.explode(F.split("text", r"\s+")).alias("word"), "n").filter(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").contains("�"))
+    return w.groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def word_counts(texts: DataFrame, limit: int = MAX_WORDS) -> list[tuple[str, int]]:
     """Words beyond ASCII with their counts over all texts (text, n); the ``limit`` most frequent ones are kept."""
-    w = texts.select(F.explode(F.split("text", r"\s+")).alias("word"), "n").filter(F.col("word").rlike(r"[^\x00-\x7F]") & ~F.col("word").contains("�"))
-    rows = w.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    rows = all_word_counts(texts).orderBy(F.desc("n"), "word").limit(limit)
     return [(r.word, r.n) for r in rows.toLocalIterator()]
 
 
+def rare_counts(texts: DataFrame, known: Broadcast) -> DataFrame:
+    """(text, rare): counts of the words of each text and of its candidates that are not among the ``known`` ones.
+
+    The known ones are the most frequent, so that no word that is joined here is a hot one.
+    """
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = known.value[1]
+        for b in batches:
+            out = [(t, w) for t in b.column("text").to_pylist() if "�" not in t for w in {w for x in (t, *(c for _, _, c in candidates(t))) for w in _WORD.findall(x) if w not in counts}]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([w for _, w in out], pa.string())], names=["text", "word"])
+
+    need = texts.select("text").mapInArrow(unknown, "text string, word string")
+    return need.join(all_word_counts(texts), "word").groupBy("text").agg(F.collect_list(F.struct("word", "n")).alias("rare"))
+
+
 def suspicious(c: Column) -> Column:
     """A text of ASCII alone holds no trace of a wrong decoding."""
     return c.rlike(r"[^\x00-\x7F]")
@@ -197,11 +224,13 @@ def find_garbled(rows: DataFrame, key: str = "line_id", columns: tuple[str, ...]
 
     ``restored`` is NULL where characters were lost (U+FFFD). NULL, blank and ASCII cells are never found; repeated rows each
     give a row. Each distinct text is judged once: a hot text costs one row after the map side, and only garbled ones, which
-    are few, are joined back. The dictionaries are bounded by ``max_words`` and their bytes; word counts cover all cells.
+    are few, are joined back. The dictionaries are bounded by ``max_words`` and their bytes; word counts are exact: of words
+    beyond that bound they are joined to the texts that need them.
     """
     cells = rows.select(key, *columns).unpivot([key], list(columns), "column_name", "text").filter(suspicious(F.col("text")))
     texts = cells.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    counts = word_counts(texts, max_words)
+    counts = word_counts(texts, max_words + 1)
+    whole, counts = len(counts) <= max_words, counts[:max_words]
     known = rows.sparkSession.sparkContext.broadcast((build_dictionaries(counts), dict(counts)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +240,8 @@ def find_garbled(rows: DataFrame, key: str = "line_id", columns: tuple[str, ...]
             describer = _DESCRIBERS[id(known.value)] = Describer(*known.value)
         for b in batches:
             texts, chains, fixed = [], [], []
-            for t in b.column("text").to_pylist():
+            for t, rare in zip(b.column("text").to_pylist(), b.column("rare").to_pylist()):
+                describer.rare = {r["word"]: r["n"] for r in rare or ()}
                 if "�" in t:
                     chain, out = "lost", None
                 else:
@@ -222,7 +252,11 @@ def find_garbled(rows: DataFrame, key: str = "line_id", columns: tuple[str, ...]
                     fixed.append(out)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(chains, pa.string()), pa.array(fixed, pa.string())], names=["text", "chain", "restored"])
 
-    found = texts.select("text").mapInArrow(judge, "text string, chain string, restored string")
+    if whole:
+        judged = texts.select("text", F.lit(None).cast("array<struct<word:string,n:bigint>>").alias("rare"))
+    else:
+        judged = texts.select("text").join(rare_counts(texts, known), "text", "left")
+    found = judged.mapInArrow(judge, "text string, chain string, restored string")
     return cells.join(found, "text").select(key, "column_name", "text", "chain", "restored")
 
 
