@@ -129,6 +129,23 @@ def parse_name(name: str) -> tuple[str, str, list[str]]:
     return "x", "", own
 
 
+def spare_words(name: str) -> list[str]:
+    """Words of a name without own ones: its initials with the trades beside its qualifier, else all its words in any script.
+
+    A name of no letters and digits at all is one word.
+    """
+    text = fold(name.translate(_PLAIN)).lower().replace(".", "").replace("'", "").replace("’", "")
+    tokens = re.findall(r"\w+", text)
+    if not all(t.isascii() for t in tokens):
+        return tokens
+    initials = [t for t in tokens if len(t) == 1 and t not in _FILL]
+    if not initials:
+        return tokens or [text.strip() or name]
+    trades = [w for t in tokens if len(t) > 1 and t not in _LEGAL and t not in _FILL and (w := trade_of(t))]
+    first = ([w for w in trades if w not in TRADE_COMPANIONS] or trades)[:1]
+    return initials + [w for w in trades if w not in first]
+
+
 def similarity(a: str, b: str) -> float:
     """1 minus the edit distance by the longer length."""
     n = max(len(a), len(b))
@@ -175,12 +192,13 @@ def signature(words: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h[:, None] * a[None, :] + b[None, :]) >> np.uint64(16)).min(axis=0)
 
 
-PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("qualifier", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
+PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("qualifier", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("spare", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(PARSED)
 def _parse(names: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_name(n) for n in names], columns=["kind", "qualifier", "words"])
+    parsed = [parse_name(n) for n in names]
+    return pd.DataFrame([(*p, [] if p[2] else spare_words(n)) for n, p in zip(names, parsed)], columns=["kind", "qualifier", "words", "spare"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -203,7 +221,8 @@ def name_keys(rows: DataFrame, id_: str = "vendor_id", name: str = "vendor_name"
     """(id, kind, qualifier, words, text, n): the distinct own words under which an id is written, with its row count.
 
     Kind and qualifier are those that most rows of the id have (a full given name before an initial), since single spellings
-    drop or garble them. Names whose own words are lost are left out where the id has others.
+    drop or garble them. Names without own words are left out where the id has others; an id that has
+    none at all goes by its `spare_words`.
     """
     names = rows.select(F.col(id_).alias("id"), F.col(name).alias("name")).filter(~is_null_like(F.col("name")) & F.col("id").isNotNull()).groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"))
     whole = names.filter(~F.col("name").contains("�"))
@@ -214,7 +233,9 @@ def name_keys(rows: DataFrame, id_: str = "vendor_id", name: str = "vendor_name"
     votes = parsed.groupBy("id", "kind", "qualifier").agg(F.sum("n").alias("n"), F.max(known).alias("known"))
     # A third of the rows with a full qualifier outweighs the rest without one.
     chosen = votes.groupBy("id").agg(F.max(F.struct((F.col("n") * F.when(F.col("known") == 2, 3.0).when(F.col("known") == 1, 1.0).otherwise(0.3)).alias("w"), "kind", "qualifier")).alias("b")).select("id", "b.kind", "b.qualifier")
-    words = parsed.filter("size(words) > 0").groupBy("id", F.array_sort("words").alias("words")).agg(F.sum("n").alias("n"))
+    own = parsed.filter("size(words) > 0").select("id", "words", "n")
+    bare = parsed.filter("size(words) = 0").join(own.select("id").distinct(), "id", "left_anti").select("id", F.col("spare").alias("words"), "n")
+    words = own.unionByName(bare).groupBy("id", F.array_sort("words").alias("words")).agg(F.sum("n").alias("n"))
     return words.join(chosen, "id").withColumn("text", F.array_join("words", " "))
 
 
