@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from intakeforge.functions.names import normalize_name
 
 # Confidence of each tier, and their order from strongest to weakest.
 CONFIDENCE = {"exact": 0.95, "dictionary": 0.90, "synonym": 0.85}
@@ -70,6 +74,23 @@ def name_scores(headers: DataFrame, specs: DataFrame) -> DataFrame:
     return h.join(f, "schema_name").select("schema_name", "header", "field_name", score.alias("score")).filter(F.col("score") >= NAME_THRESHOLD)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _name_words(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: normalize_name(n)[0])
+
+
+def label_scores(headers: DataFrame, specs: DataFrame) -> DataFrame:
+    """(schema, header, field, score): 0.6 trigram overlap + 0.4 word overlap with the best label of the field, where above 0.
+
+    Words are those of `normalize_name`: camel case split, without accents and unit hints. Headers without a word have none.
+    """
+    both = lambda c: F.array_join(F.col(c), " ")
+    h = headers.select("schema_name", "source_column").distinct().withColumn("hw", _name_words("source_column")).filter("size(hw) > 0").withColumn("a", ngrams(both("hw")))
+    lab = labels(specs).filter("label IS NOT NULL").select("schema_name", F.col("target_field").alias("field_name"), "label").distinct().withColumn("lw", _name_words("label")).filter("size(lw) > 0").withColumn("b", ngrams(both("lw")))
+    score = 0.6 * overlap(F.col("a"), F.col("b")) + 0.4 * overlap(F.array_distinct("hw"), F.array_distinct("lw"))
+    return h.join(lab, "schema_name").groupBy("schema_name", "source_column", "field_name").agg(F.max(score).alias("score")).filter("score > 0")
+
+
 def greedy_assignment(scores: DataFrame, group: list[str], column: str, field: str, score: str) -> DataFrame:
     """One-to-one pairs by descending score (ties by column and field), group by group.
 

@@ -381,6 +381,21 @@ def r_heuristic_scores(spark: SparkSession, d: str) -> DataFrame:
     return resolving.name_scores(_headers(spark, d), table(spark, d, "field_spec"))
 
 
+@registry.add()
+def r_label_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every header with every field by the best of the field's labels, its name and aliases."""
+    return resolving.label_scores(_headers(spark, d), table(spark, d, "field_spec"))
+
+
+@registry.add()
+def r_greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Each feed's headers assigned one to one by descending `r_label_scores`, where 0.35 or more."""
+    h = _headers(spark, d)
+    scores = resolving.label_scores(h, table(spark, d, "field_spec")).filter(F.col("score") >= resolving.NAME_THRESHOLD)
+    pairs = h.select("feed_id", "schema_name", "source_column").distinct().join(scores, ["schema_name", "source_column"])
+    return resolving.greedy_assignment(pairs, ["feed_id"], "source_column", "field_name", "score")
+
+
 @registry.add(
     f"""WITH {_CELLS_SQL}, r AS (SELECT source_object_id, column_name, count(v) n, count(*) FILTER (CASE column_name WHEN 'currency' THEN lower(v) IN ('usd', 'eur', 'gbp', 'cad') ELSE regexp_full_match(v, 'PO-[0-9]+') END) ok
   FROM cells WHERE column_name IN ('currency', 'po_number') GROUP BY ALL)
@@ -452,6 +467,25 @@ def g_audit_chain_heads(spark: SparkSession, d: str) -> DataFrame:
     return audit.chain_heads(chained, "event_id", "feed_id").select("feed_id", "entries")
 
 
+@registry.add(
+    f"""WITH p AS (SELECT event_id, feed_id, sha256(concat_ws('|', {", ".join(map(_PART, _LOG))})) payload FROM drift_event),
+c AS (SELECT *, COALESCE(lag(payload) OVER (PARTITION BY feed_id ORDER BY event_id), repeat('0', 64)) previous FROM p)
+SELECT feed_id, arg_max(sha256(previous || payload), event_id) head, count(*) entries FROM c GROUP BY 1"""
+)
+def g_audit_head_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Last hash and number of entries of each feed's log."""
+    return audit.chain_heads(audit.chain(table(spark, d, "drift_event"), "event_id", _LOG, "feed_id"), "event_id", "feed_id")
+
+
+@registry.add()
+def g_audit_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """All breaks of the log of `g_audit_chain_verify`, with one entry in five removed and the hash of one in seven replaced."""
+    chained = audit.chain(table(spark, d, "drift_event"), "event_id", _LOG, "feed_id")
+    forged = chained.withColumn("status", F.when((F.col("severity") == "warning") & (F.col("status") == "open"), "closed").otherwise(F.col("status")))
+    forged = forged.withColumn("hash", F.when(F.col("event_id") % 7 == 0, F.lit(audit.GENESIS)).otherwise(F.col("hash"))).filter("event_id % 5 <> 0")
+    return audit.broken_entries(forged, "event_id", _LOG, "feed_id")
+
+
 @registry.add()
 def s_header_score(spark: SparkSession, d: str) -> DataFrame:
     """The header row found in the raw records of each object."""
