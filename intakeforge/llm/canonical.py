@@ -5,40 +5,21 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeforge.functions.names import fold
 from intakeforge.session import cut
 
-# Signs of decoration around a header that say nothing about its meaning.
-DECORATION = ["x", "col", "fld", "new", "req", "v2", "1", "2", "usd"]
-# Words of headers in other languages, and usual short forms that share too few letters with the word.
-FOREIGN = {
-    "date": ["fecha", "datum", "dt"],
-    "number": ["nummer", "numero", "num", "nbr"],
-    "name": ["nombre", "nom"],
-    "city": ["ciudad", "stadt", "ville"],
-    "country": ["land", "pais", "pays"],
-    "price": ["preis", "precio", "prix"],
-    "cost": ["kosten", "costo", "cout"],
-    "amount": ["betrag", "importe", "montant"],
-    "quantity": ["menge", "cantidad", "quantite", "qty", "qnty"],
-    "weight": ["gewicht", "peso", "poids"],
-    "currency": ["moneda", "devise", "waehrung", "ccy"],
-    "invoice": ["rechnung", "factura", "facture"],
-    "supplier": ["lieferant", "proveedor", "fournisseur"],
-    "transaction": ["txn"],
-    "payment": ["pmt", "pymt"],
-    "patients": ["pts"],
-    "tracking": ["trk"],
-}
 NONE = "(none)"
-#: A reference entry counts as so many decided rows; a token is a word of its own from so many decided rows on.
-SPEC_WEIGHT, TRUSTED = 1_000_000, 2
-#: A seldom token gives way to a close one that is so many times as frequent.
-DOMINANCE = 8
+#: A reference entry counts as so many decided rows.
+SPEC_WEIGHT = 1_000_000
+#: Greatest rate of one misspelling against its word: of words of the reference list, and of other words.
+LIST_TYPO_RATE, TYPO_RATE = 1 / 12, 1 / 24
+#: A word without which so large a share of the wordings that hold it mean the same says nothing of its own, if so many times
+#: as many mean the same as mean something else.
+EMPTY_SHARE, EMPTY_ODDS = 0.5, 8
 MIN_SCORE = 0.72
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _DIGIT = re.compile(r"(?<=[A-Za-z])[01]|[01](?=[A-Za-z])")
@@ -46,7 +27,7 @@ _PIECE = re.compile(r"[A-Za-z0-9]+")
 
 
 def tokens_of(value: str | None) -> list[str]:
-    """Lower-case words of a typed value: accents, camel case, digits read for letters and decoration undone."""
+    """Lower-case words of a typed value: accents, camel case and digits read for letters undone; none is dropped."""
     found: list[str] = []
     for piece in _PIECE.findall(fold(value or "")):
         if piece.upper() == piece:
@@ -56,8 +37,7 @@ def tokens_of(value: str | None) -> list[str]:
             previous = piece
             piece = _DIGIT.sub(lambda m: "o" if m.group() == "0" else "l", piece)
         found += _CAMEL.sub(" ", piece).lower().split()
-    kept = [t for t in found if t not in DECORATION]
-    return kept or found
+    return found
 
 
 def deletions(token: str) -> list[str]:
@@ -112,39 +92,89 @@ def is_short_form(token: str, word: str) -> bool:
     return all(c in rest for c in token)
 
 
-@F.pandas_udf(T.BooleanType())
-def _short_form(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([is_short_form(x, y) for x, y in zip(a, b)], dtype=bool)
+def _same_digits(a: str, b: str) -> Column:
+    """Other digits are another thing, never a misspelling."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    return digits(a) == digits(b)
+
+
+def short_forms(tokens: DataFrame, listed: DataFrame) -> DataFrame:
+    """(token, long): tokens that abbreviate a word of ``listed`` (long), see `is_short_form`.
+
+    An abbreviation begins with a letter sequence of its word, so that both meet by their first three letters in order (two of
+    a token of two) and no token meets all words of its letter.
+    """
+    t = tokens.filter("length(token) >= 2").withColumn("start", F.substring("token", 1, 3))
+    n = F.length("long")
+    at = lambda i: F.substring("long", i, F.lit(1))
+    two = F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(at(F.lit(1)), at(i)))
+    three = F.flatten(F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(at(F.lit(1)), at(i), at(j)))))
+    w = listed.filter("length(long) >= 4").withColumn("start", F.explode(F.array_distinct(F.concat(two, three))))
+    j = t.hint("merge").join(w, "start").drop("start")
+    rest = F.aggregate(F.split(F.substr("token", F.lit(2)), ""), F.substr("long", F.lit(2)), lambda left, c: F.when((c == "") | left.isNull(), left).when(F.instr(left, c) > 0, F.substr(left, F.instr(left, c) + 1)))
+    return j.filter((F.length("long") >= F.length("token") + 2) & rest.isNotNull())
 
 
 def token_repairs(counts: DataFrame) -> DataFrame:
     """(token, repaired): every token of (token, n, spec), led to a close word of the vocabulary where it is none itself.
 
-    Close means distance 1 (2 from six letters on). Words of the reference list stay; others give way to a close word that is
-    ``DOMINANCE`` times as frequent; tokens below ``TRUSTED`` give way to any. The join is on shared deletions, so no token
-    meets all others.
+    Close means distance 1 (2 from six letters on). Words of the reference list stay; others give way to a close word whose
+    misspelling they can be by their counts among decided values: no more than the greatest rate of one misspelling yields,
+    within two standard deviations. So only shares count in a long history, and small counts are no proof in a short one; a
+    token that no decision holds gives way to any. The join is on shared deletions, so no token meets all others.
     """
-    vocabulary = counts.filter((F.col("spec") > 0) | (F.col("n") >= TRUSTED)).select(F.col("token").alias("word"), F.col("n").alias("word_n"), F.col("spec").alias("word_spec"))
+    vocabulary = counts.filter("spec > 0 OR n > 0").select(F.col("token").alias("word"), F.col("n").alias("word_n"), F.col("spec").alias("word_spec"))
     left = counts.filter((F.col("spec") == 0) & (F.length("token") >= 3)).withColumn("variant", F.explode(_deletions("token")))
     right = vocabulary.filter(F.length("word") >= 3).withColumn("variant", F.explode(_deletions("word")))
     # Sizes are estimated before the variants are exploded, so that neither side may be broadcast by them.
-    pairs = left.hint("merge").join(right, "variant").filter("token <> word").select("token", "n", "word", "word_n", "word_spec").distinct()
-    strong = F.greatest(F.col("word_n"), F.when(F.col("word_spec") > 0, F.lit(2)).otherwise(0))
-    pairs = pairs.filter((F.col("n") < TRUSTED) | (strong >= DOMINANCE * F.col("n"))).withColumn("distance", _distance("token", "word"))
+    pairs = left.hint("merge").join(right, "variant").filter((F.col("token") != F.col("word")) & _same_digits("token", "word")).select("token", "n", "word", "word_n", "word_spec").distinct()
+    expected = F.col("word_n") * F.when(F.col("word_spec") > 0, LIST_TYPO_RATE).otherwise(TYPO_RATE)
+    pairs = pairs.filter((F.col("n") == 0) | (F.col("n") <= expected + 2 * F.sqrt(expected))).withColumn("distance", _distance("token", "word"))
     pairs = pairs.filter(F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1))
     # A short token that abbreviates a word of the list is no misspelling of another short word.
-    listed = counts.filter("spec > 0 AND length(token) >= 4").select(F.col("token").alias("long"), F.substring("token", 1, 1).alias("first"))
-    short = counts.filter("spec = 0 AND length(token) <= 4").withColumn("first", F.substring("token", 1, 1)).join(listed, "first").filter(_short_form("token", "long")).select("token").distinct()
-    foreign = [w for words in FOREIGN.values() for w in words]
-    pairs = pairs.filter(~F.col("token").isin(foreign)).join(short, "token", "left_anti")
+    short = short_forms(counts.filter("spec = 0 AND length(token) <= 4").select("token"), counts.filter("spec > 0").select(F.col("token").alias("long"))).select("token").distinct()
+    pairs = pairs.join(short, "token", "left_anti")
     best = pairs.groupBy("token").agg(F.min(F.struct("distance", (-F.col("word_spec")).alias("s"), (-F.col("word_n")).alias("k"), "word")).alias("b")).select("token", F.col("b.word").alias("repaired"))
-    return counts.select("token").join(best, "token", "left").select("token", F.coalesce("repaired", "token").alias("repaired"))
+    return counts.join(best, "token", "left").select("token", F.coalesce("repaired", "token").alias("repaired"), ((F.col("spec") > 0) | (F.col("n") > 0)).alias("known"))
 
 
 def _phrases(values: DataFrame, repairs: DataFrame) -> DataFrame:
     """Adds ``phrase``, the sorted repaired words of a distinct value, to (scope, value, tokens)."""
     t = values.select("scope", "value", F.explode("tokens").alias("token"))
-    return t.join(repairs, "token").groupBy("scope", "value").agg(F.array_sort(F.collect_set("repaired")).alias("phrase"))
+    return t.join(repairs.select("token", "repaired"), "token").groupBy("scope", "value").agg(F.array_sort(F.collect_set("repaired")).alias("phrase"))
+
+
+def empty_words(voted: DataFrame) -> DataFrame:
+    """(word): words that say nothing of their own, as the history shows: of the wordings that hold one, most are known without
+    it too and mean the same, and hardly any means something else. Words of the reference list always say something."""
+    t = voted.filter("size(phrase) > 1").select("scope", "phrase", "target", F.explode("phrase").alias("word"))
+    t = t.withColumn("rest", F.array_remove("phrase", F.col("word")))
+    without = voted.select("scope", F.col("phrase").alias("rest"), F.col("target").alias("other"))
+    seen = t.join(without, ["scope", "rest"], "left").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target") == F.col("other")).alias("same"), F.count_if(F.col("target") != F.col("other")).alias("different"))
+    listed = voted.filter(F.col("n") >= SPEC_WEIGHT).select(F.explode("phrase").alias("word")).distinct()
+    return seen.filter((F.col("same") >= EMPTY_SHARE * F.col("n")) & (F.col("same") >= EMPTY_ODDS * F.col("different"))).select("word").join(listed, "word", "left_anti")
+
+
+def _without(phrases: DataFrame, empty: DataFrame) -> DataFrame:
+    """The phrases without ``empty`` words, where others are left."""
+    t = phrases.select("scope", "value", F.explode("phrase").alias("word")).join(empty.withColumn("is_empty", F.lit(True)), "word", "left")
+    g = t.groupBy("scope", "value").agg(F.array_sort(F.collect_set(F.when(F.col("is_empty").isNull(), F.col("word")))).alias("own"), F.array_sort(F.collect_set("word")).alias("all"))
+    return g.select("scope", "value", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("all")).alias("phrase"))
+
+
+def _letters(values: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(scope, value, letters, all_known): the tokens of a value run together, those that say nothing left out."""
+    t = values.select("scope", "value", F.posexplode("tokens").alias("at", "token")).join(tokens, "token")
+    g = t.groupBy("scope", "value").agg(F.array_sort(F.collect_list(F.struct("at", "token", "empty"))).alias("all"), F.min("known").alias("all_known"))
+    own = F.filter("all", lambda x: ~x["empty"])
+    return g.select("scope", "value", F.array_join(F.transform(F.when(F.size(own) > 0, own).otherwise(F.col("all")), lambda x: x["token"]), "").alias("letters"), "all_known")
+
+
+def _vote(reference: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(scope, phrase, target, n): of one wording the reference list counts before decisions, the more frequent decision before
+    the others."""
+    votes = reference.drop("tokens").join(phrases, ["scope", "value"]).groupBy("scope", "phrase", "target").agg(F.sum("n").alias("n"))
+    return votes.groupBy("scope", "phrase").agg(F.max(F.struct("n", F.col("target"))).alias("b")).select("scope", "phrase", F.col("b.target").alias("target"), F.col("b.n").alias("n"))
 
 
 def learned_synonyms(voted: DataFrame) -> DataFrame:
@@ -152,20 +182,16 @@ def learned_synonyms(voted: DataFrame) -> DataFrame:
 
     Where a decided wording and a reference label of one target differ by one word each, the two words say the same; between
     two words of the list that has to hold for two targets. Every decided wording meets the few labels of its target only.
-    Words no pair explains are compared to the scope's reference words of the same first letter as abbreviations.
     """
     known = voted.filter(F.col("target") != NONE)
     spec = known.filter(F.col("n") >= SPEC_WEIGHT).select("scope", "target", F.col("phrase").alias("label"))
-    spoken = known.filter(F.col("n") >= TRUSTED).select("scope", "target", "phrase", "n")
     words = spec.select("scope", F.explode("label").alias("other")).distinct()
-    pairs = spoken.join(spec, ["scope", "target"]).withColumn("a", F.array_except("phrase", "label")).withColumn("b", F.array_except("label", "phrase"))
+    pairs = known.select("scope", "target", "phrase").join(spec, ["scope", "target"]).withColumn("a", F.array_except("phrase", "label")).withColumn("b", F.array_except("label", "phrase"))
     pairs = pairs.filter("size(a) = 1 AND size(b) = 1 AND size(label) > 1").select("scope", "target", F.get("a", F.lit(0)).alias("word"), F.get("b", F.lit(0)).alias("other"))
     support = pairs.groupBy("word", "other").agg(F.count_distinct("scope", "target").alias("targets"))
     listed = words.select(F.col("other").alias("word")).distinct().withColumn("listed", F.lit(True))
     support = support.join(listed, "word", "left").filter((F.col("targets") >= 2) | F.col("listed").isNull()).select("word", "other")
-    learned = support.unionByName(support.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct()
-    general = voted.sparkSession.createDataFrame([(a, b) for b, words in FOREIGN.items() for a in words], "word string, other string")
-    return learned.unionByName(general).distinct().withColumn("sim", F.lit(0.9))
+    return support.unionByName(support.select(F.col("other").alias("word"), F.col("word").alias("other"))).distinct().withColumn("sim", F.lit(0.9))
 
 
 def map_values(queries: DataFrame, entries: DataFrame, history: DataFrame) -> DataFrame:
@@ -190,61 +216,64 @@ def map_values(queries: DataFrame, entries: DataFrame, history: DataFrame) -> Da
     repairs = cut(token_repairs(counts))
 
     rp = _phrases(reference.select("scope", "value", "tokens").distinct(), repairs)
-    votes = reference.drop("tokens").join(rp, ["scope", "value"]).groupBy("scope", "phrase", "target").agg(F.sum("n").alias("n"))
-    # Of one wording the reference list counts before decisions, and the more frequent decision before the others.
-    voted = cut(votes.groupBy("scope", "phrase").agg(F.max(F.struct("n", F.col("target"))).alias("b")).select("scope", "phrase", F.col("b.target").alias("target"), F.col("b.n").alias("n")))
-    q = cut(_phrases(asked, repairs))
-    exact = q.join(voted, ["scope", "phrase"]).select("scope", "value", "target", F.lit(1.0).alias("score"), F.lit("wording").alias("how"))
-    open_ = cut(q.join(voted.select("scope", "phrase"), ["scope", "phrase"], "left_anti"))
+    empty = cut(empty_words(cut(_vote(reference, rp))))
+    voted = cut(_vote(reference, _without(rp, empty)))
+    q = cut(_without(_phrases(asked, repairs), empty))
+    found = cut(soft_tfidf(q, voted))
+    open_ = q.join(found.filter(F.col("score") >= 1).select("scope", "value").distinct(), ["scope", "value"], "left_anti")
 
     # Written together, or with a word too many letters apart: whole wordings by edit distance of their letters. Where all
     # words are known ones, different letters rather mean different words.
-    in_order = asked.select("scope", "value", F.array_join("tokens", "").alias("letters"), F.explode("tokens").alias("token")).join(open_.select("scope", "value"), ["scope", "value"])
-    in_order = in_order.join(counts, "token").groupBy("scope", "value", "letters").agg(F.min((F.col("spec") > 0) | (F.col("n") >= TRUSTED)).alias("all_known"))
-    spelled = reference.groupBy("scope", F.array_join("tokens", "").alias("word"), "target").agg(F.sum("n").alias("n")).filter(F.col("n") >= TRUSTED)
+    full = repairs.join(empty.select(F.col("word").alias("repaired"), F.lit(True).alias("empty")), "repaired", "left").select("token", "known", F.col("empty").isNotNull().alias("empty"))
+    in_order = _letters(asked.join(open_.select("scope", "value"), ["scope", "value"]), full)
+    spelled = _letters(reference.select("scope", "value", "tokens").distinct(), full).join(reference.drop("tokens"), ["scope", "value"])
+    spelled = spelled.groupBy("scope", F.col("letters").alias("word"), "target").agg(F.sum("n").alias("n"))
     spelled = spelled.groupBy("scope", "word").agg(F.max(F.struct("n", "target")).alias("b")).select("scope", "word", F.col("b.target").alias("target"), F.col("b.n").alias("n"))
     near = in_order.withColumn("variant", F.explode(_deletions("letters"))).hint("merge").join(spelled.withColumn("variant", F.explode(_deletions("word"))), ["scope", "variant"])
     near = near.select("scope", "value", "letters", "all_known", "word", "target", "n").distinct().withColumn("distance", _distance("letters", "word"))
-    near = near.filter((F.length("letters") >= 4) & (F.col("distance") <= F.when(F.length("letters") >= 8, 2).otherwise(1)))
-    near = near.select("scope", "value", "target", "n", (1 - F.when(F.col("all_known"), 2).otherwise(1) * F.col("distance") / F.length("letters")).alias("score"), F.lit("letters").alias("how"))
+    near = near.filter(_same_digits("letters", "word") & (F.length("letters") >= 4) & (F.col("distance") <= F.when(F.length("letters") >= 8, 2).otherwise(1)))
+    near = near.select("scope", "value", "target", "n", (F.lit(0.999) - F.when(F.col("all_known"), 2).otherwise(1) * F.col("distance") / F.length("letters")).alias("score"), F.lit("letters").alias("how"))
 
-    soft = soft_tfidf(open_, voted)
-    best = near.unionByName(soft).groupBy("scope", "value").agg(F.max(F.struct("score", "n", "target", "how")).alias("b")).select("scope", "value", F.col("b.target").alias("target"), F.col("b.score").alias("score"), F.col("b.how").alias("how"))
-    found = exact.unionByName(best.filter(F.col("score") >= MIN_SCORE))
-    return queries.filter("scope IS NOT NULL AND value IS NOT NULL").select("scope", "value").distinct().join(found, ["scope", "value"], "left").select("scope", "value", F.coalesce("target", F.lit(NONE)).alias("target"), "score", F.coalesce("how", F.lit("unmatched")).alias("how"))
+    best = near.unionByName(found).filter(F.col("score") >= MIN_SCORE).groupBy("scope", "value").agg(F.max(F.struct("score", "n", "target", "how")).alias("b")).select("scope", "value", F.col("b.target").alias("target"), F.col("b.score").alias("score"), F.col("b.how").alias("how"))
+    return queries.filter("scope IS NOT NULL AND value IS NOT NULL").select("scope", "value").distinct().join(best, ["scope", "value"], "left").select("scope", "value", F.coalesce("target", F.lit(NONE)).alias("target"), "score", F.coalesce("how", F.lit("unmatched")).alias("how"))
 
 
 def soft_tfidf(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """Scores of (scope, value, phrase) against (scope, phrase, target, n): soft cosine of IDF weights.
+    """Scores of (scope, value, phrase) against (scope, phrase, target, n): soft cosine of IDF weights, 1 for equal wordings.
 
     Misspelt words were repaired before; words that stand for each other (`learned_synonyms`) and abbreviations of reference
     words count in part. IDF counts wordings; a word that nothing in the scope is close to weighs most, so that a value with a
-    word of its own is no near match. Wordings decided once are no references.
+    word of its own is no near match. A near wording that few decisions hold counts a little less than one that many do.
     """
-    e = entries.filter(F.col("n") >= TRUSTED).withColumn("id", F.sha2(F.concat_ws(" ", "scope", F.array_join("phrase", " ")), 256))
-    et = e.select("scope", "id", "target", "n", F.explode("phrase").alias("other"))
+    e = entries.withColumn("id", F.sha2(F.concat_ws(" ", "scope", F.array_join("phrase", " ")), 256))
+    et = e.select("scope", "id", "target", "n", F.size("phrase").alias("size"), F.explode("phrase").alias("other"))
     sizes = e.groupBy("scope").agg(F.count(F.lit(1)).alias("total"))
     idf = cut(et.groupBy("scope", "other").agg(F.count(F.lit(1)).alias("df")).join(sizes, "scope").select("scope", "other", F.log1p(F.col("total") / F.col("df")).alias("ew")))
     et = et.join(idf, ["scope", "other"])
     norms = et.groupBy("scope", "id").agg(F.sum(F.col("ew") * F.col("ew")).alias("en2"))
 
-    q = queries.select("scope", "value", F.explode("phrase").alias("word"))
+    q = queries.select("scope", "value", F.size("phrase").alias("qsize"), F.explode("phrase").alias("word"))
     asked = q.select("scope", "word").distinct()
     same = asked.join(idf.withColumn("word", F.col("other")), ["scope", "word"]).select("scope", "word", "other", "ew", F.lit(1.0).alias("sim"))
     alike = asked.join(learned_synonyms(entries), "word").join(idf, ["scope", "other"]).select("scope", "word", "other", "ew", "sim")
     spec = entries.filter(F.col("n") >= SPEC_WEIGHT).select("scope", F.explode("phrase").alias("other")).distinct().join(idf, ["scope", "other"])
-    short = asked.withColumn("first", F.substring("word", 1, 1)).join(spec.withColumn("first", F.substring("other", 1, 1)), ["scope", "first"]).filter(_short_form("word", "other")).select("scope", "word", "other", "ew", F.lit(0.85).alias("sim"))
+    short = short_forms(asked.select(F.col("word").alias("token")).distinct(), spec.select(F.col("other").alias("long")).distinct())
+    short = asked.join(short.withColumnsRenamed({"token": "word", "long": "other"}), "word").join(spec, ["scope", "other"]).select("scope", "word", "other", "ew", F.lit(0.85).alias("sim"))
     close = same.unionByName(alike).unionByName(short).groupBy("scope", "word", "other", "ew").agg(F.max("sim").alias("sim"))
     close = cut(close)
     # The weight of a word is that of the word it is taken for.
     weights = close.groupBy("scope", "word").agg(F.max(F.struct("sim", "ew")).alias("b")).select("scope", "word", F.col("b.ew").alias("w"))
     qt = q.join(weights, ["scope", "word"], "left").join(sizes, "scope").withColumn("w", F.coalesce("w", F.log1p(F.col("total").cast("double"))))
     whole = Window.partitionBy("scope", "value")
-    qt = qt.withColumn("qn2", F.sum(F.col("w") * F.col("w")).over(whole)).select("scope", "value", "word", "w", "qn2")
-    hits = qt.join(close, ["scope", "word"]).join(et.select("scope", "other", "id", "target", "n"), ["scope", "other"])
-    per_word = hits.groupBy("scope", "value", "id", "word").agg(F.max(F.col("sim") * F.col("w") * F.col("ew")).alias("part"), F.first("qn2").alias("qn2"), F.first("target").alias("target"), F.first("n").alias("n"))
-    dots = per_word.groupBy("scope", "value", "id").agg(F.sum("part").alias("dot"), F.first("qn2").alias("qn2"), F.first("target").alias("target"), F.first("n").alias("n"))
-    return dots.join(norms, ["scope", "id"]).select("scope", "value", "target", "n", F.least(F.lit(0.999), F.col("dot") / F.sqrt(F.col("qn2") * F.col("en2"))).alias("score"), F.lit("words").alias("how"))
+    qt = qt.withColumn("qn2", F.sum(F.col("w") * F.col("w")).over(whole)).select("scope", "value", "word", "w", "qsize", "qn2")
+    hits = qt.join(close, ["scope", "word"]).join(et.select("scope", "other", "id", "size", "target", "n"), ["scope", "other"])
+    once = [F.first(c).alias(c) for c in ("qn2", "qsize", "size", "target", "n")]
+    per_word = hits.groupBy("scope", "value", "id", "word").agg(F.max(F.col("sim") * F.col("w") * F.col("ew")).alias("part"), F.max(F.col("word") == F.col("other")).alias("is_same"), *once)
+    dots = per_word.groupBy("scope", "value", "id").agg(F.sum("part").alias("dot"), F.count_if("is_same").alias("shared"), *once)
+    equal = (F.col("shared") == F.col("qsize")) & (F.col("shared") == F.col("size"))
+    sure = F.when(F.col("n") >= SPEC_WEIGHT, 1.0).otherwise(1 - 0.1 / F.col("n"))
+    score = F.when(equal, 1.0).otherwise(F.least(F.lit(0.998), sure * F.col("dot") / F.sqrt(F.col("qn2") * F.col("en2"))))
+    return dots.join(norms, ["scope", "id"]).select("scope", "value", "target", "n", score.alias("score"), F.lit("words").alias("how"))
 
 
 def map_proposals(proposals: DataFrame, feeds: DataFrame, specs: DataFrame) -> DataFrame:
