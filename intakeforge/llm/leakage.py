@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[a-z0-9]+")
-#: Bytes of test text in one automaton; more items are worked through in blocks of this size, each over all documents.
-MAX_BLOCK_BYTES = 32_000_000
+#: Characters of test text in one automaton, which take some 50 times as much memory in each worker process; more items are
+#: worked through in blocks of this size, each over all documents. The rows do not depend on it.
+MAX_BLOCK_CHARS = 4_000_000
 
 
 def _ascii_lower(text: str) -> str:
@@ -130,21 +132,24 @@ class SuffixAutomaton:
 SCHEMA = "doc_id long, item_id long, n_words int, words_leaked int, longest int, first_word int, last_word int"
 
 
-def _blocks(items: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
-    """Test items in blocks of bounded text; an item is never split. The items are the bounded side by their nature."""
-    out: list[list[tuple[int, str]]] = [[]]
-    size = 0
+Block = tuple[str, list[tuple[int, str]]]
+
+
+def _blocks(items: DataFrame, limit: int) -> Iterator[Block]:
+    """Test items in blocks of bounded text, each with a digest of its own, one at a time; an item is never split."""
+    block: list[tuple[int, str]] = []
+    size, digest = 0, hashlib.sha256()
     for r in items.select("item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        n = len(r.text)
-        if out[-1] and size + n > limit:
-            out.append([])
-            size = 0
-        out[-1].append((r.item_id, r.text))
-        size += n
-    return out
+        if block and size + len(r.text) > limit:
+            yield digest.hexdigest(), block
+            block, size, digest = [], 0, hashlib.sha256()
+        block.append((r.item_id, r.text))
+        digest.update(f"{r.item_id} {len(r.text)} {r.text}".encode("utf-8", "surrogatepass"))
+        size += len(r.text)
+    yield digest.hexdigest(), block
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: int = 12, block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, least: int = 12, block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
     """Every (document, item) where the document holds ``least`` or more running words of the item.
 
     Output: doc_id, item_id, n_words of the document, words_leaked (covered by such runs), longest run, first and last
@@ -155,23 +160,28 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 12, block_by
     sc = documents.sparkSession.sparkContext
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     result = None
-    for block in _blocks(items, block_bytes):
+    for block in _blocks(items, block_chars):
         known = sc.broadcast(block)
         part = docs.mapInArrow(_scan(known, least), SCHEMA)
         result = part if result is None else result.unionByName(part)
     return result
 
 
-_AUTOMATA: dict = {}
+_AUTOMATA: dict[tuple[str, int], SuffixAutomaton] = {}
+
+
+def _automaton(block: Block, least: int) -> SuffixAutomaton:
+    """Built once per worker process, which serves many tasks."""
+    digest, items = block
+    if (digest, least) not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[digest, least] = SuffixAutomaton([(i, words(t)) for i, t in items], least)
+    return _AUTOMATA[digest, least]
 
 
 def _scan(known, least: int):  # noqa: ANN001, ANN202
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tuple(known.value), least)
-        automaton = _AUTOMATA.get(key)
-        if automaton is None:  # once per worker process, which serves many tasks
-            _AUTOMATA.clear()
-            automaton = _AUTOMATA[key] = SuffixAutomaton([(i, words(t)) for i, t in known.value], least)
+        automaton = _automaton(known.value, least)
         for b in batches:
             rows: list[list[int]] = [[] for _ in range(7)]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
@@ -191,49 +201,91 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, least: int = 12) -> Dat
     return find_leaks(documents, items, least).select("doc_id", "item_id").distinct()
 
 
-def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 12, max_coverage: float = 0.5) -> DataFrame:
+Spans = list[tuple[int, int]]
+
+
+def leaked_spans(automaton: SuffixAutomaton, tokens: list[str]) -> Spans:
+    """(first, last) word of every stretch that leaked, whatever its item, in order; stretches that touch are one."""
+    return merged((k - length + 1, k) for k, length, _ in automaton.stream(tokens))
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> Spans:
+    out: Spans = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], last)
+        else:
+            out.append((first, last))
+    return out
+
+
+def without_spans(text: str, spans: Spans) -> str:
+    """The text with each span of words replaced by one space; all else is kept as it is."""
+    at = [m.span() for m in _WORD.finditer(_ascii_lower(text))]
+    parts, keep = [], 0
+    for first, last in spans:
+        parts += [text[keep : at[first][0]], " "]
+        keep = at[last][1]
+    return "".join(parts) + text[keep:]
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, least: int = 12, max_coverage: float = 0.5, block_chars: int = MAX_BLOCK_CHARS) -> DataFrame:
     """Every document with ``clean_text``: leaked spans cut out, or NULL where they cover more than ``max_coverage``.
 
     Output: doc_id, n_words, words_removed, clean_text. NULL texts stay NULL with no words. Text around a span is kept as
-    it is, the span is replaced by one space.
+    it is, the span is replaced by one space. The spans of all blocks of test items are found in the original text, united and
+    cut once, so that the result does not depend on the blocks. One block is a narrow pass; spans of several are joined to
+    their documents by id and text.
     """
     sc = documents.sparkSession.sparkContext
-    df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("words_removed"), F.lit(-1).alias("n_words"))
-    for block in _blocks(items, MAX_BLOCK_BYTES):
-        df = df.mapInArrow(_cut_spans(sc.broadcast(block), least), "doc_id long, text string, words_removed int, n_words int")
-    n = F.greatest(F.col("n_words"), F.lit(0))
-    return df.select("doc_id", n.alias("n_words"), "words_removed", F.when(F.col("words_removed") <= max_coverage * n, F.col("text")).alias("clean_text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.withColumn("text_hash", F.sha2("text", 256))
+    blocks = _blocks(items, block_chars)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.mapInArrow(_clean(sc.broadcast(first), least, max_coverage), CLEAN)
+    found = keyed.filter("text IS NOT NULL").mapInArrow(_spans(sc.broadcast(first), least), SPANS)
+    while second is not None:
+        found = found.unionByName(keyed.filter("text IS NOT NULL").mapInArrow(_spans(sc.broadcast(second), least), SPANS))
+        second = next(blocks, None)
+    found = found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    on = keyed["doc_id"].eqNullSafe(found["doc_id"]) & (keyed["text_hash"] == found["text_hash"])
+    return keyed.join(found, on, "left").select(keyed["doc_id"], "text", "spans").mapInArrow(_clean(None, least, max_coverage), CLEAN)
+
+
+SPANS = "doc_id long, text_hash string, spans array<struct<first:int,last:int>>"
+CLEAN = "doc_id long, n_words int, words_removed int, clean_text string"
+_SPAN = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+
+def _spans(known, least: int):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(known.value, least)
+        for b in batches:
+            found = [leaked_spans(automaton, words(t)) for t in b.column("text").to_pylist()]
+            hit = [k for k, spans in enumerate(found) if spans]
+            spans = pa.array([[{"first": f, "last": t} for f, t in found[k]] for k in hit], _SPAN)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(hit, pa.int64())), b.column("text_hash").take(pa.array(hit, pa.int64())), spans], names=["doc_id", "text_hash", "spans"])
+
+    return run
+
 
+def _clean(known, least: int, max_coverage: float):  # noqa: ANN001, ANN202
+    """Cuts the spans of a block, or without one those that come with the rows."""
 
-def _cut_spans(known, least: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton([(i, words(t)) for i, t in known.value], least)
+        automaton = _automaton(known.value, least) if known is not None else None
         for b in batches:
-            texts, removed, counts = [], [], []
-            for text, before, total in zip(b.column("text").to_pylist(), b.column("words_removed").to_pylist(), b.column("n_words").to_pylist()):
-                spans = [m.span() for m in _WORD.finditer(_ascii_lower(text or ""))]
+            texts = b.column("text").to_pylist()
+            given = b.column("spans").to_pylist() if automaton is None else [None] * len(texts)
+            counts, removed, clean = [], [], []
+            for text, own in zip(texts, given):
                 tokens = words(text)
-                n, keep, out = 0, 0, []
-                open_from = open_to = None
-                for k, length, _ in automaton.stream(tokens):
-                    if open_to is not None and k - length + 1 <= open_to + 1:
-                        open_from, open_to = min(open_from, k - length + 1), k
-                    else:
-                        if open_to is not None:
-                            out.append((open_from, open_to))
-                        open_from, open_to = k - length + 1, k
-                if open_to is not None:
-                    out.append((open_from, open_to))
-                if out:
-                    parts = []
-                    for f, t in out:
-                        parts += [text[keep : spans[f][0]], " "]
-                        keep = spans[t][1]
-                        n += t - f + 1
-                    text = "".join(parts) + text[keep:]
-                texts.append(text)
-                removed.append(before + n)
-                counts.append(total if total >= 0 else len(tokens))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(counts, pa.int32())], names=["doc_id", "text", "words_removed", "n_words"])
+                spans = leaked_spans(automaton, tokens) if automaton is not None else merged((s["first"], s["last"]) for s in own or ())
+                n = sum(t - f + 1 for f, t in spans)
+                counts.append(len(tokens))
+                removed.append(n)
+                clean.append(None if text is None or n > max_coverage * len(tokens) else without_spans(text, spans) if spans else text)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int32()), pa.array(removed, pa.int32()), pa.array(clean, pa.string())], names=["doc_id", "n_words", "words_removed", "clean_text"])
 
     return run

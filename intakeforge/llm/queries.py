@@ -43,24 +43,35 @@ def p6_members(spark: SparkSession, d: str) -> DataFrame:
     return name_links.linked_ids(table(spark, d, "invoices_2026_08"))
 
 
-@registry.add(
-    """WITH w AS (SELECT 'd' || doc_id k, regexp_extract_all(lower(text), '[a-z0-9]+') t FROM (
-  SELECT doc_id, translate(text, 'İK', '  ') text FROM documents WHERE text IS NOT NULL)),
-grams AS (SELECT CAST(k[2:] AS BIGINT) doc_id, array_to_string(t[i:i + 11], ' ') g FROM w, range(1, len(t) - 10) r(i)),
-items AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') t FROM eval_items WHERE text IS NOT NULL),
-igrams AS (SELECT DISTINCT item_id, array_to_string(t[i:i + 11], ' ') g FROM items, range(1, len(t) - 10) r(i))
-SELECT DISTINCT doc_id, CAST(item_id AS BIGINT) item_id FROM grams JOIN igrams USING (g)"""
-)
+_GRAMS_SQL = """w AS (SELECT doc_id, row_number() OVER () k, text, regexp_extract_all(text, '[A-Za-z0-9]+') t FROM documents),
+grams AS (SELECT k, doc_id, len(t) n_words, i, lower(array_to_string(t[i:i + 11], ' ')) g FROM w, range(1, len(t) - 10) r(i)),
+items AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z0-9]+') t FROM eval_items WHERE text IS NOT NULL),
+igrams AS (SELECT DISTINCT CAST(item_id AS BIGINT) item_id, lower(array_to_string(t[i:i + 11], ' ')) g FROM items, range(1, len(t) - 10) r(i)),
+hits AS (SELECT k, doc_id, n_words, item_id, i FROM grams JOIN igrams USING (g))"""
+
+
+@registry.add(f"WITH {_GRAMS_SQL} SELECT DISTINCT doc_id, item_id FROM hits")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_pairs(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@registry.add()
+@registry.add(
+    f"""WITH {_GRAMS_SQL}, steps AS (SELECT *, i - lag(i) OVER p step, i - row_number() OVER p run FROM hits WINDOW p AS (PARTITION BY k, item_id ORDER BY i)),
+runs AS (SELECT k, item_id, run, count(*) + 11 longest FROM steps GROUP BY ALL), top AS (SELECT k, item_id, max(longest) longest FROM runs GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n_words AS INT) n_words, CAST(sum(least(12, COALESCE(step, 12))) AS INT) words_leaked, CAST(longest AS INT) longest, CAST(min(i) - 1 AS INT) first_word, CAST(max(i) + 10 AS INT) last_word
+FROM steps JOIN top USING (k, item_id) GROUP BY k, doc_id, item_id, n_words, longest"""
+)
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@registry.add()
+@registry.add(
+    f"""WITH {_GRAMS_SQL}, leaked AS (SELECT k, list_sort(list_distinct(flatten(list(range(i, i + 12))))) js FROM (SELECT DISTINCT k, i FROM hits) GROUP BY k),
+marked AS (SELECT w.*, list_transform(range(1, len(t) + 1), lambda x: list_contains(COALESCE(js, []), x)) c, regexp_split_to_array(text, '[A-Za-z0-9]+') sep, len(COALESCE(js, [])) removed FROM w LEFT JOIN leaked USING (k))
+SELECT doc_id, CAST(COALESCE(len(t), 0) AS INT) n_words, CAST(removed AS INT) words_removed,
+  CASE WHEN removed = 0 THEN text WHEN removed <= 0.5 * len(t) THEN sep[1] || array_to_string(list_transform(range(1, len(t) + 1),
+    lambda x: CASE WHEN NOT c[x] THEN t[x] WHEN x = 1 OR NOT c[x - 1] THEN ' ' ELSE '' END || CASE WHEN c[x] AND x < len(t) AND c[x + 1] THEN '' ELSE sep[x + 1] END), '') END clean_text FROM marked"""
+)
 def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 

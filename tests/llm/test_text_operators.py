@@ -43,7 +43,7 @@ def test_leaks_and_cleaned_text(spark) -> None:  # noqa: ANN001
     clean = {r.doc_id: r for r in leakage.remove_leaks(docs, items).collect()}
     assert clean[1].clean_text.startswith("Before.") and "seven" not in clean[1].clean_text.lower() and clean[1].words_removed == 13
     assert clean[5].clean_text is None and clean[2].clean_text == "one two three" and clean[3].clean_text is None and clean[4].clean_text == ""
-    one_by_one = leakage.find_leaks(docs, items, block_bytes=1).select("doc_id", "item_id").distinct()
+    one_by_one = leakage.find_leaks(docs, items, block_chars=1).select("doc_id", "item_id").distinct()
     assert rows(one_by_one) == rows(leakage.leaked_pairs(docs, items))
 
 
@@ -179,6 +179,23 @@ def test_minhash_meets_what_brute_force_meets(spark) -> None:  # noqa: ANN001
     assert len(want & got) >= 0.9 * len(want)
 
 
+# --- removal of leaks --------------------------------------------------------------------------------------------------
+
+
+def test_removal_does_not_depend_on_blocks(spark) -> None:  # noqa: ANN001
+    """Spans of items in different blocks that overlap are united in the original text before it is cut."""
+    w = [f"w{i}" for i in range(1, 31)]
+    items = spark.createDataFrame([(1, " ".join(w[:13])), (2, " ".join(w[7:20])), (3, "none of this"), (4, None)], "item_id long, text string")
+    texts = ["Start: " + ", ".join(w) + ".", " ".join(w[:13]) + " and then, " + " ".join(w[:12]) + " with many more words that are not leaked at all here " * 3, None, "", "short", " ".join(w[3:16])]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0])], "doc_id long, text string")
+    whole = rows(leakage.remove_leaks(docs, items, max_coverage=0.9))
+    for size in (1, 60, 100, 10_000):
+        assert rows(leakage.remove_leaks(docs, items, max_coverage=0.9, block_chars=size)) == whole
+    got = {r[0]: r[1:] for r in whole}
+    assert got[0] == (31, 20, "Start:  , " + ", ".join(w[20:]) + ".") and got[2] == (0, 0, None) and got[3] == (0, 0, "")
+    assert got[1][1] == 25 and " and then, " in got[1][2]
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
