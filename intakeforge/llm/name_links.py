@@ -1,15 +1,17 @@
 """Variant spellings of names: identifiers of one organisation or person linked.
 
-A name is parsed into a qualifier (the trade of an organisation, the given name of a person) and its own words. Own words
+A name is parsed into a qualifier (the trade of an organisation, the given name of a person) and its own words. Which words are
+qualifiers, and which of them stand for each other (abbreviations, nicknames), is learned from the names themselves: a
+qualifier stands beside many different own words, and spellings of one identifier swap a qualifier for its variants. Own words
 meet through MinHash bands over padded q-grams, tuned from the collision curve; pairs are verified by Monge-Elkan similarity
-and equal qualifiers, and identifiers are clustered into stars.
+and equal qualifiers, and names are clustered into stars.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from itertools import permutations
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,132 +22,45 @@ from pyspark.sql import types as T
 
 from intakeforge.functions.names import fold
 from intakeforge.functions.values import is_null_like
-from intakeforge.llm.canonical import edit_distance
+from intakeforge.llm.canonical import deletions, edit_distance, is_short_form
 from intakeforge.session import cut
 
-# Words that name the trade of a company; of two-word trades the first one tells.
-TRADES = ["electronics", "medical", "office", "building", "cleaning", "steelworks", "timber", "engineering", "printing", "transport", "packaging", "chemicals", "textiles", "instruments", "logistics", "manufacturing", "trading", "foods", "construction", "consulting", "catering", "furniture", "plastics", "energy", "security"]
-TRADE_COMPANIONS = ["supply", "supplies", "materials", "services"]
-# Usual short forms of trades that are no beginning of the word.
-TRADE_SHORT = {"steel": "steelworks", "works": "steelworks", "mfg": "manufacturing", "pkg": "packaging", "svcs": "services", "fds": "foods"}
-# Legal forms, titles and fillers, written without dots.
-LEGAL = ["llc", "inc", "incorporated", "ltd", "limited", "gmbh", "gesellschaft", "mbh", "kg", "co", "company", "sa", "societe", "anonyme", "sarl", "rl", "as", "ab", "aktiebolag", "aktieselskab", "sp", "spolka", "spz", "zoo", "oo", "ag", "bv", "nv", "plc", "corp"]
-FILLERS = ["the", "and", "und", "u", "z", "accounts", "payable", "ap", "dr", "mr", "mrs", "ms", "prof"]
-# Given names with their usual short forms.
-GIVEN = {
-    "alexander": ["alex", "sasha", "xander", "sandy"],
-    "dorothea": ["dora", "thea", "dorothy", "dory"],
-    "elizabeth": ["liz", "beth", "betty", "eliza", "lizzie", "elisabeth"],
-    "francisco": ["fran", "paco", "pancho", "cisco"],
-    "gabriella": ["gabi", "ella", "gaby", "gabriela"],
-    "hendrik": ["henk", "rik", "hank"],
-    "johannes": ["hannes", "hans", "joh", "jan"],
-    "jonathan": ["jon", "johnny", "nathan", "jonny"],
-    "katherine": ["kate", "kathy", "cathrine", "catherine", "katie", "kat"],
-    "margaret": ["maggie", "peggy", "meg", "greta"],
-    "nicholas": ["nick", "nico", "nicolas", "klaus"],
-    "patricia": ["pat", "trish", "patty", "tricia"],
-    "robert": ["bob", "bobby", "rob", "bert"],
-    "susanne": ["susi", "sanne", "sue", "susan", "suzanne"],
-    "theodore": ["theo", "ted", "teddy"],
-    "vincent": ["vince", "vin", "vinnie"],
-    "william": ["will", "bill", "billy", "liam"],
-}
+# Legal forms of companies, and titles and fillers of names, written without dots.
+LEGAL = ["llc", "inc", "incorporated", "corp", "corporation", "ltd", "limited", "plc", "llp", "lp", "co", "company", "gmbh", "gesellschaft", "mbh", "ag", "kg", "kgaa", "ohg", "ug", "ev", "sa", "societe", "anonyme", "sarl", "rl", "sas", "eurl", "bv", "nv", "srl", "spa", "sl", "as", "asa", "aktieselskab", "aps", "ab", "aktiebolag", "oy", "oyj", "sp", "spolka", "spz", "zoo", "oo", "sro", "kft", "zrt", "pty", "pte", "bhd"]
+FILLERS = ["the", "and", "und", "et", "y", "u", "z", "of", "accounts", "payable", "ap", "dr", "mr", "mrs", "ms", "prof", "herr", "frau"]
+#: Share of an identifier's rows from which a word is one of its main ones.
+MAIN_SHARE = 0.4
+#: A qualifier stands beside so many different words at least, and beside one for so many identifiers.
+LEAST_COMPANY, COMPANY_PER_IDS = 6, 1000
+#: Identifiers that have to swap a word for a qualifier, and the greatest share of them with both in one spelling.
+LEAST_SWAPS, SPELLED_TOGETHER = 2, 0.1
+#: A word that is swapped for two classes, for one so much of the times as for the other, stands for neither.
+VAGUE = 0.4
 QGRAM, ROWS = 3, 3
 #: Least overlap of q-grams at which pairs are to be met, and the share of those that has to be met.
 TUNED_AT, RECALL = 0.4, 0.97
 MIN_SIMILARITY = 0.8
 
-_NICK = {n: g for g, names in GIVEN.items() for n in [g, *names]}
-_TRADE = {w: w for w in TRADES + TRADE_COMPANIONS} | TRADE_SHORT
 _LEGAL, _FILL = frozenset(LEGAL), frozenset(FILLERS)
-_VOWELS = frozenset("aeiouy")
 _PLAIN = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe"})
 
 
-def trade_of(token: str) -> str | None:
-    """The trade word that a token is, abbreviates or misspells."""
-    if token in _TRADE:
-        return _TRADE[token]
-    if len(token) < 3 or token in _NICK:
-        return None
-    for w in TRADES + TRADE_COMPANIONS:
-        if token[0] != w[0]:
-            continue
-        if token[-1] not in _VOWELS and w.startswith(token):
-            return w
-        rest = iter(w)
-        if not _VOWELS & set(token[1:]) and len(w) > len(token) and all(c in rest for c in token):
-            return w
-    for w in TRADES + TRADE_COMPANIONS:
-        if len(token) >= 5 and edit_distance(token, w) <= (2 if len(w) >= 8 else 1):
-            return w
-        if w.endswith("s") and len(token) >= 5 and token == w[:-1]:
-            return w
-    # Abbreviations that keep some vowels: engrg, instrmts, steelwks.
-    for w in TRADES:
-        rest = iter(w)
-        if len(token) >= 5 and len(w) > len(token) and token[:3] == w[:3] and token[-1] not in _VOWELS and all(c in rest for c in token):
-            return w
-    return None
-
-
-def given_of(token: str) -> str | None:
-    """The given name that a token is, shortens or misspells."""
-    if token in _NICK:
-        return _NICK[token]
-    if len(token) >= 5:
-        for g in GIVEN:
-            if abs(len(g) - len(token)) <= 2 and edit_distance(token, g) <= (2 if len(g) >= 8 else 1):
-                return g
-    return None
-
-
-def parse_name(name: str) -> tuple[str, str, list[str]]:
-    """(kind, qualifier, own words): kind ``o`` with a trade, ``p`` with a given name or an initial (``e*``), else ``x``."""
-    text = fold(name.translate(_PLAIN)).lower().replace(".", "").replace("'", "").replace("’", "")
-    tokens = re.findall(r"[a-z0-9]+", text)
-    trade, own, initials, legal = [], [], [], False
-    for t in tokens:
-        if t in _LEGAL:
-            legal = True
-        elif t in _FILL:
-            pass
-        elif len(t) == 1:
-            initials.append(t)
-        elif w := trade_of(t):
-            trade.append(w)
-        else:
-            own.append(t)
-    first = [w for w in trade if w not in TRADE_COMPANIONS] or trade
-    if first:
-        return "o", first[0], own
-    if not legal:
-        for k, t in enumerate(own):
-            if len(own) > 1 and (g := given_of(t)):
-                return "p", g, own[:k] + own[k + 1 :]
-        if initials and own:
-            return "p", f"{initials[0]}*", own
-    return "x", "", own
+def _plain(name: str) -> str:
+    return fold(name.translate(_PLAIN)).lower().replace(".", "").replace("'", "").replace("’", "")
 
 
-def spare_words(name: str) -> list[str]:
-    """Words of a name without own ones: its initials with the trades beside its qualifier, else all its words in any script.
+def name_words(name: str) -> list[str]:
+    """Words of a name in any script, in lower case, without accents, dots, legal forms, titles and fillers; with initials."""
+    return [t for t in re.findall(r"[^\W_]+", _plain(name)) if t not in _LEGAL and t not in _FILL]
 
-    A name of no letters and digits at all is one word.
-    """
-    text = fold(name.translate(_PLAIN)).lower().replace(".", "").replace("'", "").replace("’", "")
-    tokens = re.findall(r"\w+", text)
-    if not all(t.isascii() for t in tokens):
-        return tokens
-    initials = [t for t in tokens if len(t) == 1 and t not in _FILL]
-    if not initials:
-        return tokens or [text.strip() or name]
-    trades = [w for t in tokens if len(t) > 1 and t not in _LEGAL and t not in _FILL and (w := trade_of(t))]
-    first = ([w for w in trades if w not in TRADE_COMPANIONS] or trades)[:1]
-    return initials + [w for w in trades if w not in first]
+
+def spare_words(name: str) -> list[str]:
+    """All words of a name in any script, for names that have no words of their own; a name of signs alone is one word."""
+    text = _plain(name)
+    return re.findall(r"\w+", text) or [text.strip() or name]
 
 
+@lru_cache(maxsize=1 << 17)
 def similarity(a: str, b: str) -> float:
     """1 minus the edit distance by the longer length."""
     n = max(len(a), len(b))
@@ -153,18 +68,26 @@ def similarity(a: str, b: str) -> float:
 
 
 def monge_elkan(a: list[str], b: list[str]) -> float:
-    """Symmetric mean of each word's best similarity; the words in any order and joined where one side writes them together."""
+    """Least of both sides' means of each word's best similarity, the words in any order.
+
+    A word may also stand for two words of the other side written together, in either order.
+    """
     if not a or not b:
         return 0.0
-    one = sum(max(similarity(x, y) for y in b) for x in a) / len(a)
-    two = sum(max(similarity(x, y) for y in a) for x in b) / len(b)
-    if len(a) == len(b):
-        return (one + two) / 2
-    short, long = sorted((a, b), key=len)
-    if len(long) > 4:
-        return min(one, two)
-    target = "".join(short)
-    return max(min(one, two), max(similarity("".join(p), target) for p in permutations(long)))
+    best = {(0, i): 0.0 for i in range(len(a))} | {(1, j): 0.0 for j in range(len(b))}
+    for side, x, y in ((0, a, b), (1, b, a)):
+        for i, w in enumerate(x):
+            for j, v in enumerate(y):
+                if side == 0:
+                    s = similarity(w, v) if w <= v else similarity(v, w)
+                    best[0, i], best[1, j] = max(best[0, i], s), max(best[1, j], s)
+                for k in range(len(y)):
+                    n = len(v) + len(y[k])
+                    if k != j and abs(n - len(w)) <= 0.25 * n and len(w) > max(len(v), len(y[k])):
+                        s = similarity(w, v + y[k])
+                        best[side, i] = max(best[side, i], s)
+                        best[1 - side, j], best[1 - side, k] = max(best[1 - side, j], s), max(best[1 - side, k], s)
+    return min(sum(best[0, i] for i in range(len(a))) / len(a), sum(best[1, j] for j in range(len(b))) / len(b))
 
 
 def bands_for(similarity_: float = TUNED_AT, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -177,8 +100,6 @@ def qgrams(words: list[str], q: int = QGRAM) -> set[str]:
     return {p[i : i + q] for w in words for p in [f"{'#' * (q - 1)}{w}{'#' * (q - 1)}"] for i in range(len(p) - q + 1)}
 
 
-
-
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20260801)
     return r.integers(1, 1 << 32, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 1 << 63, n, dtype=np.uint64)
@@ -192,23 +113,22 @@ def signature(words: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h[:, None] * a[None, :] + b[None, :]) >> np.uint64(16)).min(axis=0)
 
 
-PARSED = T.StructType([T.StructField("kind", T.StringType()), T.StructField("qualifier", T.StringType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("spare", T.ArrayType(T.StringType()))])
+PARSED = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("spare", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(PARSED)
-def _parse(names: pd.Series) -> pd.DataFrame:
-    parsed = [parse_name(n) for n in names]
-    return pd.DataFrame([(*p, [] if p[2] else spare_words(n)) for n, p in zip(names, parsed)], columns=["kind", "qualifier", "words", "spare"])
+def _split(names: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(name_words(n), spare_words(n)) for n in names], columns=["tokens", "spare"])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(words: pd.Series, block: pd.Series) -> pd.Series:
+def _bands(words: pd.Series) -> pd.Series:
     n = bands_for()
     a, b = _permutations(n * ROWS)
     out = []
-    for w, k in zip(words, block):
+    for w in words:
         s = signature(list(w), a, b).reshape(n, ROWS)
-        out.append([xxhash.xxh64_intdigest(s[i].tobytes() + k.encode(), seed=i) - (1 << 63) for i in range(n)])
+        out.append([xxhash.xxh64_intdigest(s[i].tobytes(), seed=i) - (1 << 63) for i in range(n)])
     return pd.Series(out)
 
 
@@ -217,68 +137,224 @@ def _monge_elkan(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([monge_elkan(list(x), list(y)) for x, y in zip(a, b)])
 
 
+# --- qualifiers -------------------------------------------------------------------------------------------------------
+
+
+def main_words(spellings: DataFrame) -> DataFrame:
+    """(id, words): the main words of each identifier, those that few identifiers have first. ``spellings``: (id, name, n, tokens)."""
+    t = spellings.select("id", "n", F.explode(F.array_distinct("tokens")).alias("token")).filter("length(token) > 1").groupBy("id", "token").agg(F.sum("n").alias("n"))
+    df = t.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    total = spellings.groupBy("id").agg(F.sum("n").alias("total"))
+    main = t.join(total, "id").filter(F.col("n") >= MAIN_SHARE * F.col("total")).join(df, "token")
+    # At most the words of an average name divided by the share, so that no group is large.
+    return main.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("words")).select("id", F.transform("words", lambda x: x["token"]).alias("words"))
+
+
+def company(main: DataFrame) -> DataFrame:
+    """(token, company): the number of different words that a word stands beside, as a main word of identifiers.
+
+    Of each identifier only the rarest other main word counts, so that all identifiers of one entity, and its namesakes, count
+    as one.
+    """
+    pairs = main.filter("size(words) > 1").select(F.posexplode("words").alias("at", "token"), F.get("words", F.lit(0)).alias("first"), F.get("words", F.lit(1)).alias("second"))
+    return pairs.groupBy("token").agg(F.count_distinct(F.when(F.col("at") == 0, F.col("second")).otherwise(F.col("first"))).alias("company"))
+
+
+def qualifier_classes(spellings: DataFrame) -> DataFrame:
+    """(token, class, company): the words that qualify names, each with the word that stands for its class.
+
+    A qualifier stands beside many different words (`company`): at least ``LEAST_COMPANY``, and one for ``COMPANY_PER_IDS``
+    identifiers; their number is bounded by the words of a name times that figure. Qualifiers that most names have together
+    ("medical supply") are one class, as are words that spellings of one identifier swap for each other ("Bob", "Robert";
+    "mfg", "manufacturing") but hardly have together. They have to be swapped beside different words, not only by the
+    identifiers of one entity; of abbreviations one is enough. A word that is swapped for several classes alike has the class
+    '' and tells nothing.
+    """
+    ids = spellings.agg(F.count_distinct("id").alias("ids"))
+    main = cut(main_words(spellings))
+    heads = cut(company(main).crossJoin(F.broadcast(ids)).filter((F.col("company") >= LEAST_COMPANY) & (F.col("company") * COMPANY_PER_IDS >= F.col("ids"))).select("token", "company"))
+    tokens = cut(spellings.select("id", "name", F.explode(F.array_distinct("tokens")).alias("token")).filter("length(token) > 1"))
+    own = tokens.select("id", "token").distinct()
+    head = F.broadcast(heads.select(F.col("token").alias("head")))
+    # The words beside which an identifier has its qualifiers.
+    anchor = main.select("id", F.explode("words").alias("token")).join(head, F.col("token") == F.col("head"), "left_anti").groupBy("id").agg(F.array_sort(F.collect_set("token")).alias("anchors"))
+    both = own.join(own.join(head, F.col("token") == F.col("head")).select("id", "head"), "id").filter("token <> head")
+    of_name = tokens.join(head, F.col("token") == F.col("head")).select("id", "name", "head")
+    together = tokens.join(of_name, ["id", "name"]).filter("token <> head").select("id", "token", "head", F.lit(True).alias("together")).distinct()
+    seen = both.join(together, ["id", "token", "head"], "left").join(anchor, "id", "left")
+    beside = F.get(F.filter("anchors", lambda x: x != F.col("token")), F.lit(0))
+    seen = seen.groupBy("token", "head").agg(F.count(F.lit(1)).alias("ids"), F.count("together").alias("together"), F.count_distinct(F.when(F.col("together").isNull(), beside)).alias("swaps"))
+    df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    j = seen.join(df, "token").join(F.broadcast(df.join(head, F.col("token") == F.col("head")).select("head", F.col("df").alias("head_df"))), "head")
+    abbreviates = _short_form("token", "head") | ((F.substring("token", 1, 3) == F.substring("head", 1, 3)) & (F.length("token") >= 3))
+    swapped = (F.col("together") <= SPELLED_TOGETHER * F.col("ids")) & (F.col("swaps") >= F.when(abbreviates, 1).otherwise(LEAST_SWAPS))
+    paired = (F.col("together") >= 0.5 * F.col("df")) & (F.col("together") >= 0.5 * F.col("head_df"))
+    found = j.join(F.broadcast(heads.select("token", F.lit(True).alias("is_head"))), "token", "left").withColumn("is_head", F.coalesce("is_head", F.lit(False)))
+    # Most of what has a word has it for the qualifier, in part without that one.
+    strong = F.col("swaps") >= F.when(abbreviates, 0.1).otherwise(0.28) * F.col("df")
+    is_pair = paired & F.col("is_head")
+    found = cut(found.filter(swapped & strong | is_pair).select("token", "head", "is_head", "swaps", is_pair.alias("is_pair")))
+    # Heads are few (see above): their classes are united on the driver.
+    strength = {r.token: r.company for r in heads.toLocalIterator()}
+    root = {t: t for t in strength}
+
+    def find(t: str) -> str:
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    def unite(t: str, h: str) -> None:
+        low, high = sorted((find(t), find(h)), key=lambda x: (strength[x], x))
+        root[low] = high
+
+    swaps: dict[str, dict[str, int]] = {}
+    for r in sorted(found.filter("is_head").toLocalIterator(), key=lambda r: r.is_pair, reverse=True):
+        if r.is_pair:
+            unite(r.token, r.head)
+        elif (strength[r.head], r.head) > (strength[r.token], r.token):
+            own_classes = swaps.setdefault(r.token, {})
+            own_classes[find(r.head)] = max(own_classes.get(find(r.head), 0), r.swaps)
+    # A weak head joins the class it is swapped for; one that stands for several classes tells nothing.
+    vague = set()
+    for t, classes in sorted(swaps.items(), key=lambda x: (-strength[x[0]], x[0])):
+        (h, most), *rest = sorted(classes.items(), key=lambda x: (-x[1], x[0]))
+        if rest and rest[0][1] >= VAGUE * most and find(rest[0][0]) != find(h):
+            vague.add(t)
+        else:
+            unite(t, h)
+    spark = spellings.sparkSession
+    known = spark.createDataFrame([(t, "" if t in vague else find(t), -1 if t in vague else strength[find(t)]) for t in sorted(strength)], "token string, class string, company long")
+    others = found.filter("NOT is_head").join(F.broadcast(known.withColumnRenamed("token", "head")), "head").filter("class <> ''").groupBy("token", "class", "company").agg(F.max("swaps").alias("swaps"))
+    others = others.groupBy("token").agg(F.reverse(F.array_sort(F.collect_list(F.struct("swaps", "class", "company")))).alias("c"))
+    first, second = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    clear = second.isNull() | (second["swaps"] < VAGUE * first["swaps"])
+    others = others.select("token", F.when(clear, first["class"]).otherwise("").alias("class"), F.when(clear, first["company"]).otherwise(-1).alias("company"))
+    # Misspellings of qualifiers.
+    index: dict[str, list[str]] = {}
+    for t in sorted(strength):
+        if len(t) >= 5:
+            for v in deletions(t):
+                index.setdefault(v, []).append(t)
+    shared = spark.sparkContext.broadcast(index)
+
+    @F.pandas_udf(T.StringType())
+    def misspelt(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: nearest_word(w, shared.value))
+
+    rest = own.select("token").distinct().filter("length(token) >= 5").join(F.broadcast(known.select("token")), "token", "left_anti").join(others.select("token"), "token", "left_anti")
+    typos = rest.withColumn("head", misspelt("token")).filter("head IS NOT NULL").join(F.broadcast(known.withColumnRenamed("token", "head")), "head").select("token", "class", "company")
+    return cut(known.unionByName(others).unionByName(typos))
+
+
+def nearest_word(word: str, index: dict[str, list[str]]) -> str | None:
+    """The closest of the indexed words (by their deletions), at most one letter apart, two from eight letters on."""
+    near = {h for v in deletions(word) for h in index.get(v, ())}
+    limit = 2 if len(word) >= 8 else 1
+    ranked = sorted((d, h) for h in near if (d := edit_distance(word, h)) <= limit)
+    return ranked[0][1] if ranked else None
+
+
+@F.pandas_udf(T.BooleanType())
+def _short_form(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([is_short_form(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
+# --- names ------------------------------------------------------------------------------------------------------------
+
+
 def name_keys(rows: DataFrame, id_: str = "vendor_id", name: str = "vendor_name") -> DataFrame:
-    """(id, kind, qualifier, words, text, n): the distinct own words under which an id is written, with its row count.
+    """(id, qualifier, words, text, n): the distinct own words under which an id is written, with its row count.
 
-    Kind and qualifier are those that most rows of the id have (a full given name before an initial), since single spellings
-    drop or garble them. Names without own words are left out where the id has others; an id that has
-    none at all goes by its `spare_words`.
+    The qualifier is that which most rows of the id have (a class before an initial, written ``e*``, before none), since single
+    spellings drop or garble it. Names without own words are left out where the id has others; an id that has none at all goes
+    by its words but the qualifier, else by all words in any script.
     """
     names = rows.select(F.col(id_).alias("id"), F.col(name).alias("name")).filter(~is_null_like(F.col("name")) & F.col("id").isNotNull()).groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"))
     whole = names.filter(~F.col("name").contains("�"))
     names = whole.unionByName(names.join(whole.select("id").distinct(), "id", "left_anti"))
-    parsed = names.withColumn("p", _parse("name")).select("id", "n", "p.*")
-    parsed = cut(parsed)
-    known = F.when(F.col("kind") == "x", 0).when(F.col("qualifier").endswith("*"), 1).otherwise(2)
-    votes = parsed.groupBy("id", "kind", "qualifier").agg(F.sum("n").alias("n"), F.max(known).alias("known"))
+    spellings = cut(names.withColumn("p", _split("name")).select("id", "name", "n", "p.*"))
+    classes = qualifier_classes(spellings)
+    t = spellings.select("id", "name", F.posexplode("tokens").alias("at", "token")).join(classes, "token", "left")
+    word = F.struct("at", "token")
+    only = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, word))), lambda x: x["token"])
+    single, known = F.col("token").rlike("^[a-z0-9]$"), F.col("class").isNotNull()
+    parsed = t.groupBy("id", "name").agg(F.max(F.when(F.col("class") != "", F.struct("company", "class"))).alias("top"), only(~single & ~known).alias("own"), only(single).alias("initials"), F.collect_list(F.when(known, F.struct("at", "token", "class"))).alias("known"))
+    parsed = spellings.join(parsed, ["id", "name"], "left")
+    qualifier = F.when(F.col("top.class").isNotNull(), F.col("top.class")).when((F.size("initials") == 1) & (F.size("own") > 0), F.concat(F.get("initials", F.lit(0)), F.lit("*"))).otherwise("")
+    # Several initials are a name ("K & G"), one goes with a given name. Without own words: the initials and what else qualifies
+    # the name, else everything.
+    own = F.when((F.size("own") > 0) & (F.size("initials") > 1), F.concat("own", "initials")).otherwise(F.coalesce("own", F.array().cast("array<string>")))
+    other = F.transform(F.filter("known", lambda x: ~x["class"].eqNullSafe(F.col("top.class"))), lambda x: x["token"])
+    spare = F.when(F.size(F.concat("initials", other)) > 0, F.concat("initials", other)).otherwise(F.col("spare"))
+    parsed = cut(parsed.select("id", "n", qualifier.alias("qualifier"), own.alias("words"), F.coalesce(spare, "spare").alias("spare")))
+    starred = F.col("qualifier").endswith("*")
+    votes = parsed.groupBy("id", "qualifier").agg(F.sum("n").alias("n"))
     # A third of the rows with a full qualifier outweighs the rest without one.
-    chosen = votes.groupBy("id").agg(F.max(F.struct((F.col("n") * F.when(F.col("known") == 2, 3.0).when(F.col("known") == 1, 1.0).otherwise(0.3)).alias("w"), "kind", "qualifier")).alias("b")).select("id", "b.kind", "b.qualifier")
+    chosen = votes.groupBy("id").agg(F.max(F.struct((F.col("n") * F.when(F.col("qualifier") == "", 0.3).when(starred, 1.0).otherwise(3.0)).alias("w"), "qualifier")).alias("b")).select("id", "b.qualifier")
     own = parsed.filter("size(words) > 0").select("id", "words", "n")
     bare = parsed.filter("size(words) = 0").join(own.select("id").distinct(), "id", "left_anti").select("id", F.col("spare").alias("words"), "n")
     words = own.unionByName(bare).groupBy("id", F.array_sort("words").alias("words")).agg(F.sum("n").alias("n"))
     return words.join(chosen, "id").withColumn("text", F.array_join("words", " "))
 
 
-def similar_keys(keys: DataFrame) -> DataFrame:
-    """Pairs of distinct (kind, qualifier, text) that name one entity: met in a band, equal qualifiers, alike words."""
-    node = keys.groupBy("kind", "qualifier", "text").agg(F.first("words").alias("words"))
-    node = cut(node.withColumn("key", F.xxhash64("kind", "qualifier", "text")))
-    # Organisations meet within a trade, persons within an initial.
-    block = F.concat("kind", F.when(F.col("kind") == "p", F.substring("qualifier", 1, 1)).otherwise(F.col("qualifier")))
-    band = node.select("key", F.explode(_bands("words", block)).alias("band"))
+def similar_texts(keys: DataFrame) -> DataFrame:
+    """(text, other): pairs of different own words that meet in a band and are alike, each pair once, whatever qualifies them."""
+    node = cut(keys.groupBy("text").agg(F.first("words").alias("words")).withColumn("key", F.xxhash64("text")))
+    band = node.select("key", F.explode(_bands("words")).alias("band"))
     # Sizes are estimated before the bands are exploded: without the hint a side of many times that size may be broadcast.
     pairs = band.hint("merge").join(band.select(F.col("key").alias("other"), "band"), "band").filter("key < other").select("key", "other").distinct()
-    left = node.select("key", F.col("qualifier").alias("q1"), F.col("words").alias("w1"))
-    right = node.select(F.col("key").alias("other"), F.col("qualifier").alias("q2"), F.col("words").alias("w2"))
-    j = pairs.join(left, "key").join(right, "other").filter((F.col("q1") == F.col("q2")) | F.col("q1").endswith("*") | F.col("q2").endswith("*"))
-    return j.withColumn("similarity", _monge_elkan("w1", "w2")).filter(F.col("similarity") >= MIN_SIMILARITY).select("key", "other", "q1", "q2", "similarity")
+    right = node.select(F.col("key").alias("other"), F.col("text").alias("other_text"), F.col("words").alias("other_words"))
+    j = pairs.join(node, "key").join(right, "other")
+    return j.filter(_monge_elkan("words", "other_words") >= MIN_SIMILARITY).select("text", F.col("other_text").alias("other"))
 
 
-def link_edges(keys: DataFrame) -> DataFrame:
-    """Edges (a, b) between ids: of every key its most frequent id with the others, and the first ids of similar keys.
+def similar_keys(keys: DataFrame) -> DataFrame:
+    """(key, other, q1, q2): pairs of distinct (qualifier, text) that name one entity, by alike texts and equal qualifiers.
 
-    A name held by many ids gives as many edges as ids, never all their pairs. An initial links to a full given name only
-    where one such name is near.
+    An initial goes with qualifiers of that first letter. Texts that are alike are expanded to keys by their qualifiers, so that
+    a text under many qualifiers meets no more than its equals.
+    """
+    node = cut(keys.select("qualifier", "text").distinct().withColumn("key", F.xxhash64("qualifier", "text")))
+    alike = cut(similar_texts(keys))
+    alike = alike.unionByName(alike.select(F.col("other").alias("text"), F.col("text").alias("other")))
+    right = node.select(F.col("key").alias("k2"), F.col("qualifier").alias("q2"), F.col("text").alias("other"))
+    same = node.join(alike, "text").join(right.withColumn("qualifier", F.col("q2")), ["other", "qualifier"]).select("key", F.col("k2").alias("other"), F.col("qualifier").alias("q1"), "q2")
+    starred = F.col("qualifier").endswith("*")
+    short = node.filter(starred).withColumn("letter", F.substring("qualifier", 1, 1))
+    long = right.filter("q2 <> '' AND NOT endswith(q2, '*')").withColumn("letter", F.substring("q2", 1, 1))
+    itself = node.select("text", F.col("text").alias("other")).distinct()
+    initial = short.join(alike.unionByName(itself), "text").join(long, ["other", "letter"]).select("key", F.col("k2").alias("other"), F.col("qualifier").alias("q1"), "q2")
+    return same.filter("key < other").unionByName(initial)
+
+
+def link_edges(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, node) and edges (a, b) between nodes, both ways.
+
+    A node is a name, (qualifier, text): that which most rows of its ids have. So the ids of one name, however many, are one
+    node and never pairs. Nodes are linked where an id of one has a name of the other too, and where two of their names are
+    alike; an initial links to a full qualifier only where a single one is near.
     """
-    keys = cut(keys.withColumn("key", F.xxhash64("kind", "qualifier", "text")))
-    head = cut(keys.groupBy("key").agg(F.max(F.struct("n", "id")).alias("b")).select("key", F.col("b.id").alias("head")))
-    same = keys.join(head, "key").filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    pairs = similar_keys(keys)
-    starred = F.col("q1").endswith("*") != F.col("q2").endswith("*")
-    full = pairs.filter(~starred).select("key", "other")
-    initial = pairs.filter(starred).select(F.when(F.col("q1").endswith("*"), F.col("key")).otherwise(F.col("other")).alias("short"), F.when(F.col("q1").endswith("*"), F.col("other")).otherwise(F.col("key")).alias("long"), F.when(F.col("q1").endswith("*"), F.col("q2")).otherwise(F.col("q1")).alias("given"))
-    single = initial.groupBy("short").agg(F.count_distinct("given").alias("k")).filter("k = 1").select("short")
-    near = full.unionByName(initial.join(single, "short").select(F.col("short").alias("key"), F.col("long").alias("other")))
-    near = near.join(head, "key").withColumnRenamed("head", "a").join(head.select(F.col("key").alias("other"), F.col("head").alias("b")), "other").filter("a <> b").select("a", "b")
-    e = same.unionByName(near)
-    return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    keys = cut(keys.withColumn("key", F.xxhash64("qualifier", "text")))
+    homes = cut(keys.groupBy("id").agg(F.max(F.struct("n", "text", "key")).alias("b")).select("id", F.col("b.key").alias("node")))
+    held = keys.join(homes, "id").groupBy("key", "node").agg(F.sum("n").alias("n"))
+    # A name that is no node's own belongs to the node that has it most; others that have it hang on that one.
+    home = cut(held.groupBy("key").agg(F.max(F.struct((F.col("key") == F.col("node")).alias("own"), "n", "node")).alias("b")).select("key", F.col("b.node").alias("home")))
+    shared = held.join(home, "key").filter("node <> home").select(F.col("node").alias("a"), F.col("home").alias("b"))
+    pairs = cut(similar_keys(keys))
+    starred = F.col("q1").endswith("*") & ~F.col("q2").endswith("*")
+    single = pairs.filter(starred).groupBy("key").agg(F.count_distinct("q2").alias("k")).filter("k = 1").select("key")
+    near = pairs.filter(~starred).select("key", "other").unionByName(pairs.filter(starred).join(single, "key").select("key", "other"))
+    near = near.join(home.withColumnRenamed("home", "a"), "key").join(home.select(F.col("key").alias("other"), F.col("home").alias("b")), "other").filter("a <> b").select("a", "b")
+    e = shared.unionByName(near)
+    return homes, cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """(id, star): star clustering. The id of highest degree among its open neighbours becomes a centre and takes these.
 
-    Ids without edge have no row. Each round every id that outranks all its open neighbours is a centre at once, so that
-    the rounds follow the logarithm of the graph rather than its size; lineage is cut after each.
+    Every member has a verified edge to its centre, so that chains of likeness fall into several stars. Ids without edge have
+    no row; one whose neighbours all went elsewhere has none either. Each round every id that outranks all its open neighbours
+    is a centre at once, so that the rounds follow the logarithm of the graph rather than its size; lineage is cut after each.
     """
     rank = edges.groupBy("a").agg(F.count(F.lit(1)).alias("d")).select(F.col("a").alias("id"), F.struct("d", F.col("a").alias("i")).alias("r"))
     open_edges = edges.join(rank.withColumnRenamed("id", "a").withColumnRenamed("r", "ra"), "a").join(rank.withColumnRenamed("id", "b").withColumnRenamed("r", "rb"), "b")
@@ -296,23 +372,18 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def linked_ids(rows: DataFrame, id_: str = "vendor_id", name: str = "vendor_name") -> DataFrame:
-    """(id, star) of every id that shares its entity with another one.
+    """(id, star, size, links) of every id that shares its entity with another one.
 
-    The ids of one name hang on its first id only, so that two stars may hold parts of one entity: stars are contracted to
-    their centres and clustered again until no edge between stars is left.
+    ``star`` is the least id of the entity, ``size`` the number of its ids and ``links`` that of verified links of the id's name
+    to names of other ids, wherever these were clustered.
     """
-    edges = cut(link_edges(cut(name_keys(rows, id_, name))))
-    member = edges.select(F.col("a").alias("id"), F.col("a").alias("star")).distinct()
-    while True:
-        s = cut(stars(edges))
-        up = s.select(F.col("id").alias("star"), F.col("star").alias("upper"))
-        # An id whose neighbours all went to other stars is a star of its own for now.
-        member = cut(member.join(up, "star", "left").select("id", F.coalesce("upper", "star").alias("star")))
-        to = lambda c: s.select(F.col("id").alias(c), F.col("star").alias(f"s{c}"))
-        moved = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("sa", "a").alias("a"), F.coalesce("sb", "b").alias("b"))
-        edges = cut(moved.filter("a <> b").distinct())
-        if edges.isEmpty():
-            return member
+    homes, edges = link_edges(cut(name_keys(rows, id_, name)))
+    clustered = stars(edges)
+    degree = edges.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    member = homes.join(clustered.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left").select("id", F.coalesce("star", "node").alias("node"), F.coalesce("links", F.lit(0)).alias("links"))
+    member = cut(member)
+    group = member.groupBy("node").agg(F.min("id").alias("star"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return member.join(group, "node").select("id", "star", "size", "links")
 
 
 def linked_pairs(rows: DataFrame) -> DataFrame:
@@ -320,5 +391,3 @@ def linked_pairs(rows: DataFrame) -> DataFrame:
     s = cut(linked_ids(rows))
     a, b = s.select("star", F.col("id").alias("vendor_id_a")), s.select("star", F.col("id").alias("vendor_id_b"))
     return a.join(b, "star").filter("vendor_id_a < vendor_id_b").select("vendor_id_a", "vendor_id_b")
-
-
