@@ -42,6 +42,7 @@ TUNED_AT, RECALL = 0.4, 0.97
 MIN_SIMILARITY = 0.8
 
 _LEGAL, _FILL = frozenset(LEGAL), frozenset(FILLERS)
+_LETTERS = re.compile(r"(?<![^\W_])[a-z](?:[ /-]+[a-z])+(?![^\W_])")
 _PLAIN = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe"})
 
 
@@ -50,8 +51,12 @@ def _plain(name: str) -> str:
 
 
 def name_words(name: str) -> list[str]:
-    """Words of a name in any script, in lower case, without accents, dots, legal forms, titles and fillers; with initials."""
-    return [t for t in re.findall(r"[^\W_]+", _plain(name)) if t not in _LEGAL and t not in _FILL]
+    """Words of a name in any script, in lower case, without accents, dots, legal forms, titles and fillers; with initials.
+
+    Legal forms may be written letter by letter ("S A", "A/S").
+    """
+    text = _LETTERS.sub(lambda m: " " if re.sub(r"[\W_]", "", m.group()) in _LEGAL else m.group(), _plain(name))
+    return [t for t in re.findall(r"[^\W_]+", text) if t not in _LEGAL and t not in _FILL]
 
 
 def spare_words(name: str) -> list[str]:
@@ -183,11 +188,13 @@ def qualifier_classes(spellings: DataFrame) -> DataFrame:
     together = tokens.join(of_name, ["id", "name"]).filter("token <> head").select("id", "token", "head", F.lit(True).alias("together")).distinct()
     seen = both.join(together, ["id", "token", "head"], "left").join(anchor, "id", "left")
     beside = F.get(F.filter("anchors", lambda x: x != F.col("token")), F.lit(0))
-    seen = seen.groupBy("token", "head").agg(F.count(F.lit(1)).alias("ids"), F.count("together").alias("together"), F.count_distinct(F.when(F.col("together").isNull(), beside)).alias("swaps"))
+    alone = F.when(F.col("together").isNull(), beside)
+    # Variants of one word mostly begin alike, so that two of them are no two words.
+    seen = seen.groupBy("token", "head").agg(F.count(F.lit(1)).alias("ids"), F.count("together").alias("together"), F.count_distinct(alone).alias("swaps"), F.count_distinct(F.substring(alone, 1, 1)).alias("letters"))
     df = own.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     j = seen.join(df, "token").join(F.broadcast(df.join(head, F.col("token") == F.col("head")).select("head", F.col("df").alias("head_df"))), "head")
     abbreviates = _short_form("token", "head") | ((F.substring("token", 1, 3) == F.substring("head", 1, 3)) & (F.length("token") >= 3))
-    swapped = (F.col("together") <= SPELLED_TOGETHER * F.col("ids")) & (F.col("swaps") >= F.when(abbreviates, 1).otherwise(LEAST_SWAPS))
+    swapped = (F.col("together") <= SPELLED_TOGETHER * F.col("ids")) & (F.col("letters") >= F.when(abbreviates, 1).otherwise(LEAST_SWAPS))
     paired = (F.col("together") >= 0.5 * F.col("df")) & (F.col("together") >= 0.5 * F.col("head_df"))
     found = j.join(F.broadcast(heads.select("token", F.lit(True).alias("is_head"))), "token", "left").withColumn("is_head", F.coalesce("is_head", F.lit(False)))
     # Most of what has a word has it for the qualifier, in part without that one.

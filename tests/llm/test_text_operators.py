@@ -169,7 +169,8 @@ def test_qualifiers_are_learned(spark) -> None:  # noqa: ANN001
 
 def test_name_words() -> None:
     assert name_links.name_words("Dr. Elizabeth K. Bińutijedä") == ["elizabeth", "k", "binutijeda"]
-    assert name_links.name_words("The Hape-Samucu Electr. S.A.") == ["hape", "samucu", "electr"] and name_links.name_words("") == []
+    assert name_links.name_words("The Hape-Samucu Electr. S.A.") == ["hape", "samucu", "electr"] and name_links.name_words("Yucu Pipolu A/S") == name_links.name_words("yucu-pipolu S A") == ["yucu", "pipolu"]
+    assert name_links.name_words("K & G Trading") == ["k", "g", "trading"] and name_links.name_words("") == []
 
 
 @pytest.mark.parametrize(
