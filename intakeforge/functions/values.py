@@ -214,17 +214,6 @@ def pattern_signature(c: Column, max_len: int = 24) -> Column:
     return F.substring(s, 1, max_len)
 
 
-def char_mask(c: Column, max_len: int = 40) -> Column:
-    """Character-class mask with every run of a class marked ``+``: ``PO-123`` is ``A+-9+``, ``a@b`` is ``a@a``.
-
-    The whole value is generalised; of the mask, which has no bound either, the first ``max_len`` characters name the class.
-    """
-    s = c
-    for pattern, to in ((r"\p{Nd}", "9"), (r"\p{Lu}", "A"), (r"[\p{L}&&[^A]]", "a"), (r"\s", " "), (r"([9Aa ])\1+", "$1+")):
-        s = F.regexp_replace(s, pattern, to)
-    return F.substring(s, 1, max_len)
-
-
 def currency_fits(c: Column) -> Column:
     return strip(c).rlike(CELL_CURRENCY)
 

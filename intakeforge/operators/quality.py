@@ -29,14 +29,16 @@ CURRENCIES = ["USD", "EUR", "GBP", "CAD"]
 _UPPER, _LOWER, _DIGITS = "BCDEFGHIJKLMNOPQRSTUVWXYZ", "bcdefghijklmnopqrstuvwxyz", "012345678"
 
 
-def mask(c: Column, max_len: int = 40) -> Column:
-    """Character-class mask, runs marked by ``+``: ``PO-123`` is ``A+-9+``. NULL stays NULL.
-
-    The mask is taken of the whole value; its first ``max_len`` characters name the class.
-    """
+def mask(c: Column) -> Column:
+    """Character-class mask of the whole value, runs marked by ``+``: ``PO-123`` is ``A+-9+``. NULL stays NULL."""
     s = F.translate(c, _UPPER + _LOWER + _DIGITS, "A" * 25 + "a" * 25 + "9" * 9)
     s = F.regexp_replace(s, r"[\p{L}&&[^Aa]]", "a")
-    return F.substring(F.regexp_replace(s, r"([9Aa\s])\1+", "$1+"), 1, max_len)
+    return F.regexp_replace(s, r"([9Aa\s])\1+", "$1+")
+
+
+def literal_mask(c: Column) -> Column:
+    """The mask of codes, whose letters are part of the pattern: only digits are generalised, ``PO-123`` is ``PO-9+``."""
+    return F.regexp_replace(F.translate(c, _DIGITS, "9" * 9), "9+", "9+")
 
 
 ROLES = {"number": NUMBER_COLUMNS, "date": DATE_COLUMNS, "listed": ["po_number", "currency"]}
@@ -65,7 +67,7 @@ def _typed(cells: DataFrame, role: str | None, masked: bool) -> DataFrame:
     elif role == "listed":
         conform = F.coalesce(F.when(name == "po_number", cell.rlike(PO_PATTERN)).otherwise(cell.isin(CURRENCIES)), F.lit(False))
     outside = F.coalesce(name.isin(RANGE_COLUMNS) & ((number < 0.01) | (number > 1_000_000)), F.lit(False))
-    m = mask(cell) if masked else F.when(cell.isNotNull(), F.lit("*"))
+    m = (literal_mask if role == "listed" else mask)(cell) if masked else F.when(cell.isNotNull(), F.lit("*"))
     kept = [c for c in cells.columns if c not in ("number", "is_date")]
     return cells.select(*kept, number.alias("number"), parsed.alias("parsed"), conform.alias("conform"), outside.alias("outside"), m.alias("mask"))
 
@@ -93,6 +95,15 @@ def mask_profile(rows: DataFrame, key: str = "source_object_id", columns: list[s
     return _union([_by_mask(_typed(_cells(rows, key, own), role, masked is not False or role is not None), key, F.lit(1)) for role, own in _by_role(columns or TEXT_COLUMNS)])
 
 
+def dominant_masks(masks: DataFrame, share: float) -> DataFrame:
+    """(source_column, mask): the masks that hold that share of a column's present cells over all loads, 1 / share at most."""
+    m = masks.filter("mask IS NOT NULL").groupBy("source_column", "mask").agg(F.sum("n").alias("mn"))
+    total = m.groupBy("source_column").agg(F.sum("mn").alias("cn"))
+    return m.join(total, "source_column").filter(F.col("mn") >= share * F.col("cn")).select("source_column", "mask")
+
+
+#: A mask with so large a share of a column's cells is part of its pattern.
+DOMINANT_SHARE = 0.1
 #: Columns whose values are counted one by one: few per load, or asked for by value.
 VALUE_COLUMNS = [*DISTINCT_COLUMNS, *QUANTILE_COLUMNS, *SHARE_COLUMNS, *DATE_COLUMNS, "line_number"]
 
@@ -104,8 +115,13 @@ def value_table(rows: DataFrame, key: str = "source_object_id") -> DataFrame:
 
 
 def load_profile(masks: DataFrame, key: str = "source_object_id") -> DataFrame:
-    """One row per load and column from its masks: rows, nulls, parse rate, shares of violations, range, dominant mask."""
+    """One row per load and column from its masks: rows, nulls, parse rate, shares of violations, range, dominant mask.
+
+    ``n_rare`` counts the cells whose mask is no part of the pattern that `dominant_masks` mines from all loads.
+    """
     kept = F.col("mask").isNotNull()
+    pattern = F.broadcast(dominant_masks(masks, DOMINANT_SHARE).withColumn("is_pattern", F.lit(True)))
+    masks = masks.join(pattern, ["source_column", "mask"], "left")
     return masks.groupBy(key, "source_column").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("n_present"),
@@ -113,6 +129,7 @@ def load_profile(masks: DataFrame, key: str = "source_object_id") -> DataFrame:
         F.sum("conform").alias("n_conform"),
         F.sum("numbers").alias("n_numbers"),
         F.sum("outside").alias("n_outside"),
+        F.coalesce(F.sum(F.when(kept & F.col("is_pattern").isNull(), F.col("n"))), F.lit(0)).alias("n_rare"),
         F.min("low").alias("low"),
         F.max("high").alias("high"),
         F.count(F.when(kept, True)).alias("n_masks"),
@@ -134,9 +151,9 @@ def value_shares(values: DataFrame, profiles: DataFrame, key: str = "source_obje
     there = values.filter("cell IS NOT NULL")
     total = there.groupBy(*K).agg(F.sum("n").alias("total"))
     loads = there.join(total.select(F.col(key).alias("_k"), F.col("source_column").alias("_c"), "total"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("source_column") == F.col("_c")))
-    loads = loads.select(F.lit("invoices").alias("origin"), *K, F.col("cell").alias("value"), "n", (F.col("n") / F.col("total")).alias("share"))
+    loads = loads.select(F.lit("invoices").alias("origin"), *K, F.col("cell").alias("value"), F.col("n").cast("double").alias("n"), (F.col("n") / F.col("total")).alias("share"))
     stored = stored_profiles(profiles).select(F.lit("stored").alias("origin"), F.col("source_object_id").alias(key), "source_column", F.explode("top_values").alias("value", "share"))
-    return loads.unionByName(stored.withColumn("n", F.lit(None).cast("long")).select(loads.columns))
+    return loads.unionByName(stored.withColumn("n", F.lit(None).cast("double")).select(loads.columns))
 
 
 def stored_profiles(profiles: DataFrame) -> DataFrame:
@@ -259,7 +276,7 @@ def invoice_issues(rows: DataFrame, before: DataFrame) -> DataFrame:
     # without a test of their values only the null share counts, so that their masks aren't built.
     values = cut(value_table(rows))
     others = mask_profile(rows, columns=[c for c in TEXT_COLUMNS if c not in VALUE_COLUMNS], masked=False)
-    prof = cut(load_profile(_by_mask(values, key, F.col("n")).unionByName(others)))
+    prof = cut(load_profile(cut(_by_mask(values, key, F.col("n")).unionByName(others))))
     distinct = values.filter(F.col("source_column").isin(DISTINCT_COLUMNS) & F.col("cell").isNotNull()).groupBy(*K).agg(F.count(F.lit(1)).alias("n_distinct"))
     now = prof.join(distinct, K, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
     link = before.select(key, "prev_object_id")
@@ -275,7 +292,8 @@ def invoice_issues(rows: DataFrame, before: DataFrame) -> DataFrame:
         ("parse_rate_drop", name.isin(NUMBER_COLUMNS + DATE_COLUMNS) & (rate("old.") - rate("") > 0.2)),
         ("distinct_collapse", name.isin(DISTINCT_COLUMNS) & known & (F.col("old.n_distinct") >= 10) & (F.col("n_distinct") < 0.2 * F.col("old.n_distinct"))),
         ("distribution_shift", name.isin(QUANTILE_COLUMNS + SHARE_COLUMNS) & (F.col("psi") > 0.25) & (F.col("n_expected") >= 50) & (F.col("n_actual") >= 50)),
-        ("pattern_violation", name.isin("po_number", "currency") & (F.when(F.col("n_present") > 0, 1 - F.col("n_conform") / F.col("n_present")) > 0.05)),
+        # The mined pattern proposes loads, the exact one confirms them.
+        ("pattern_violation", name.isin("po_number", "currency") & over("n_rare", "n_present") & (F.when(F.col("n_present") > 0, 1 - F.col("n_conform") / F.col("n_present")) > 0.05)),
         ("range_violation", name.isin(RANGE_COLUMNS) & over("n_outside", "n_numbers")),
     ]
     return _issues(j, tests)
@@ -322,15 +340,23 @@ def mask_report(rows: DataFrame, objects: DataFrame, rare: float = 0.01) -> Data
     """Mask mining per load and column: dominant mask and share, share of rare-mask cells, divergence from the load before.
 
     A mask is rare where it holds less than ``rare`` of the column's present cells over all loads. The divergence is the
-    population stability index over masks; NULL where there is no load before.
+    population stability index over masks; NULL where there is no load before. ``n_before`` are the present cells of that load, 0 without one.
     """
     key, K = "source_object_id", ["source_object_id", "source_column"]
-    m = mask_profile(rows).filter("mask IS NOT NULL").select(*K, "mask", "n")
-    overall = m.groupBy("source_column", "mask").agg(F.sum("n").alias("mn"))
-    overall = overall.join(m.groupBy("source_column").agg(F.sum("n").alias("cn")), "source_column").select("source_column", "mask", (F.col("mn") < rare * F.col("cn")).alias("is_rare"))
-    per = m.join(overall, ["source_column", "mask"]).groupBy(*K).agg(F.sum("n").alias("n_present"), F.count(F.lit(1)).alias("n_masks"), F.max(F.struct("n", "mask")).alias("top"), F.sum(F.when(F.col("is_rare"), F.col("n")).otherwise(0)).alias("n_rare"))
+    m = cut(_cells(rows, key, TEXT_COLUMNS).select(*K, mask(F.col("cell")).alias("mask")).filter("mask IS NOT NULL").groupBy(*K, "mask").agg(F.count(F.lit(1)).alias("n")))
+    usual = dominant_masks(m, rare).withColumn("usual", F.lit(True))
+    per = m.join(F.broadcast(usual), ["source_column", "mask"], "left").groupBy(*K).agg(F.sum("n").alias("n_present"), F.count(F.lit(1)).alias("n_masks"), F.max(F.struct("n", "mask")).alias("top"), F.sum(F.when(F.col("usual").isNull(), F.col("n")).otherwise(0)).alias("n_rare"))
     prev = with_previous(distinct_deliveries(objects)).select(key, "prev_object_id").filter("prev_object_id IS NOT NULL")
+    prev = cut(prev)
     e = m.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(*K, F.col("mask").alias("bin"), F.col("n").alias("expected"), F.lit(0).cast("long").alias("actual"))
     a = m.join(prev, key).select(*K, F.col("mask").alias("bin"), F.lit(0).cast("long").alias("expected"), F.col("n").alias("actual"))
-    div = psi(e.unionByName(a), K).filter("n_expected > 0 AND n_actual > 0").select(*K, F.col("psi").alias("mask_divergence"))
-    return per.join(div, K, "left").select(*K, "n_present", "n_masks", F.col("top.mask").alias("dominant_mask"), (F.col("top.n") / F.col("n_present")).alias("dominant_share"), (F.col("n_rare") / F.col("n_present")).alias("rare_share"), "mask_divergence")
+    div = psi(e.unionByName(a), K).filter("n_expected > 0 AND n_actual > 0").select(*K, F.col("psi").alias("mask_divergence"), F.col("n_expected").alias("n_before"))
+    return per.join(div, K, "left").fillna(0, ["n_before"]).select(*K, "n_present", "n_masks", F.col("top.mask").alias("dominant_mask"), (F.col("top.n") / F.col("n_present")).alias("dominant_share"), (F.col("n_rare") / F.col("n_present")).alias("rare_share"), "n_before", "mask_divergence")
+
+
+def mask_breaks(report: DataFrame, rare: float = 0.05, divergence: float = 0.25, least: int = 50) -> DataFrame:
+    """(source_object_id, source_column, issue, figure): ``rare_masks`` where more than ``rare`` of a load's cells have rare masks,
+    ``mask_shift`` where the masks diverge from the load before, with at least ``least`` cells in both."""
+    tests = [("rare_masks", F.col("rare_share") > rare, F.col("rare_share")), ("mask_shift", (F.col("mask_divergence") > divergence) & (F.col("n_present") >= least) & (F.col("n_before") >= least), F.col("mask_divergence"))]
+    found = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(issue).alias("issue"), figure.alias("figure"))) for issue, t, figure in tests]))
+    return report.select("source_object_id", "source_column", F.explode(found).alias("f")).select("source_object_id", "source_column", "f.issue", "f.figure")

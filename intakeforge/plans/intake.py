@@ -110,18 +110,49 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_issues(table(spark, d, "invoices_2026_08"), table(spark, d, "column_profile"), table(spark, d, "source_object"))
 
 
-@registry.add()
+_LONG_SQL = f"""long AS (
+  SELECT source_object_id, source_column, CASE WHEN lower(trim(cell)) NOT IN ({_NULLS}) THEN trim(cell) END cell
+  FROM (SELECT source_object_id, {", ".join(quality.TEXT_COLUMNS)} FROM invoices_2026_08) UNPIVOT INCLUDE NULLS (cell FOR source_column IN ({", ".join(quality.TEXT_COLUMNS)})))"""
+_MASK_SQL = "cell"
+for _class, _to in (("[0-9]{2,}", "9+"), ("[0-9]", "9"), ("[A-Z]{2,}", "\x01"), ("[A-Z]", "\x02"), (r"\p{L}{2,}", "a+"), (r"\p{L}", "a"), ("\x01", "A+"), ("\x02", "A"), ("[ ]{2,}", " +")):
+    _MASK_SQL = f"regexp_replace({_MASK_SQL}, '{_class}', '{_to}', 'g')"
+_MASKS_SQL = f"""{_VERSIONS_SQL}, {_LONG_SQL},
+m AS (SELECT source_object_id, source_column, {_MASK_SQL} mask, count(*) n FROM long WHERE cell IS NOT NULL GROUP BY ALL),
+o AS (SELECT source_column, mask, sum(n) < 0.01 * sum(sum(n)) OVER (PARTITION BY source_column) is_rare FROM m GROUP BY 1, 2),
+per AS (SELECT source_object_id, source_column, sum(n) n_present, count(*) n_masks, max(struct_pack(n := n, mask := mask)) top, COALESCE(sum(n) FILTER (is_rare), 0) n_rare FROM m JOIN o USING (source_column, mask) GROUP BY 1, 2),
+ab AS (SELECT v.source_object_id, source_column, mask, 0 e, n a FROM m JOIN versions v USING (source_object_id) WHERE prev IS NOT NULL UNION ALL SELECT v.source_object_id, source_column, mask, n, 0 FROM m JOIN versions v ON v.prev = m.source_object_id),
+bins AS (SELECT source_object_id, source_column, mask, sum(e) e, sum(a) a FROM ab GROUP BY ALL),
+tot AS (SELECT *, sum(e) OVER g se, sum(a) OVER g sa FROM bins WINDOW g AS (PARTITION BY source_object_id, source_column)),
+div AS (SELECT source_object_id, source_column, max(se) n_before, sum((greatest(a / sa, 0.0001) - greatest(e / se, 0.0001)) * ln(greatest(a / sa, 0.0001) / greatest(e / se, 0.0001))) mask_divergence FROM tot WHERE se > 0 AND sa > 0 GROUP BY 1, 2),
+report AS (SELECT source_object_id, source_column, CAST(n_present AS BIGINT) n_present, n_masks, top.mask dominant_mask, top.n / n_present dominant_share, n_rare / n_present rare_share, CAST(COALESCE(n_before, 0) AS BIGINT) n_before, mask_divergence FROM per LEFT JOIN div USING (source_object_id, source_column))"""
+
+
+@registry.add(f"WITH {_MASKS_SQL} SELECT * FROM report")
 def p5_masks(spark: SparkSession, d: str) -> DataFrame:
     return quality.mask_report(table(spark, d, "invoices_2026_08"), table(spark, d, "source_object"))
 
 
+@registry.add(
+    f"""WITH {_MASKS_SQL} SELECT source_object_id, source_column, 'rare_masks' issue, rare_share figure FROM report WHERE rare_share > 0.05
+UNION ALL SELECT source_object_id, source_column, 'mask_shift', mask_divergence FROM report WHERE mask_divergence > 0.25 AND n_present >= 50 AND n_before >= 50"""
+)
+def p5_mask_breaks(spark: SparkSession, d: str) -> DataFrame:
+    """Loads whose cells have rare masks, or other masks than the load before."""
+    return quality.mask_breaks(cut(quality.mask_report(table(spark, d, "invoices_2026_08"), table(spark, d, "source_object"))))
+
+
 @registry.add()
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     """Figures of every column of every load, from its values and from the stored profiles."""
     return quality.full_profile(cut(quality.all_values(table(spark, d, "invoices_2026_08"))), table(spark, d, "column_profile"))
 
 
-@registry.add()
+@registry.add(
+    f"""WITH {_LONG_SQL}, v AS (SELECT source_object_id, source_column, cell, count(*) n FROM long WHERE cell IS NOT NULL GROUP BY ALL),
+cp AS (SELECT * FROM column_profile QUALIFY row_number() OVER (PARTITION BY source_object_id, col_name ORDER BY profile_id) = 1)
+SELECT 'invoices' origin, source_object_id, source_column, cell AS value, CAST(n AS DOUBLE) n, n / sum(n) OVER (PARTITION BY source_object_id, source_column) share FROM v
+UNION ALL SELECT 'stored', source_object_id, col_name, e.key, NULL, e.value FROM (SELECT source_object_id, col_name, unnest(map_entries(top_values)) e FROM cp)"""
+)
 def p5_value_shares(spark: SparkSession, d: str) -> DataFrame:
     """Count and share of every value of every column of every load, and the shares that the stored profiles hold."""
     return quality.value_shares(cut(quality.all_values(table(spark, d, "invoices_2026_08"))), table(spark, d, "column_profile"))
