@@ -23,31 +23,81 @@ def link_hash(previous: Column, payload: Column) -> Column:
     return F.sha2(F.concat(previous, payload), 256)
 
 
-def chain(entries: DataFrame, id_: str, fields: list[str], span: str) -> DataFrame:
-    """Entries with payload, previous and own hash: each links to the payload of the entry before in its ``span``.
+def _fold(first: Column, payloads: Column) -> Column:
+    """The hash after each payload of an array, in order: hash to hash, from ``first`` on."""
+    none = F.array().cast("array<string>")
+    step = lambda acc, p: F.struct(link_hash(acc["last"], p).alias("last"), F.array_append(acc["out"], link_hash(acc["last"], p)).alias("out"))
+    return F.aggregate(payloads, F.struct(first.alias("last"), none.alias("out")), step, lambda acc: acc["out"])
 
-    Links hash the previous payload rather than the previous link, so that a log of any length is chained without a
-    sequential pass; a change of an entry still breaks the entry after it. ``span`` (a feed, say) keeps the order local.
+
+BLOCK = 1024
+
+
+def _block_seeds(payloads: DataFrame, span: str) -> DataFrame:
+    """(span, block, seed): the hash from which each block of entries starts, over the digests of all blocks before it.
+
+    ``payloads``: span, block and the array of its payloads in order. A span holds one digest per block here.
     """
+    digest = payloads.select(span, "block", F.sha2(F.array_join("payloads", ""), 256).alias("digest"))
+    per = digest.groupBy(span).agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("blocks"))
+    seeds = F.concat(F.array(F.lit(GENESIS)), _fold(F.lit(GENESIS), F.transform("blocks", lambda b: b["digest"])))
+    per = per.withColumn("seeds", seeds)
+    return per.select(span, F.explode(F.transform("blocks", lambda b, i: F.struct(b["block"].alias("block"), F.get("seeds", i).alias("seed")))).alias("x")).select(span, "x.block", "x.seed")
+
+
+def _placed(entries: DataFrame, id_: str, span: str, block: int) -> DataFrame:
+    """Adds the block and the place of each entry in its span, by id."""
     w = Window.partitionBy(span).orderBy(id_)
-    p = entries.withColumn("payload", payload_hash(fields))
-    p = p.withColumn("previous", F.coalesce(F.lag("payload").over(w), F.lit(GENESIS)))
-    return p.withColumn("hash", link_hash(F.col("previous"), F.col("payload")))
+    at = F.row_number().over(w) - 1
+    return entries.withColumn("_at", at).withColumn("_block", F.floor(F.col("_at") / block))
+
 
+def chain(entries: DataFrame, id_: str, fields: list[str], span: str, block: int = BLOCK) -> DataFrame:
+    """Entries with payload, previous and own hash: each hash covers all entries of its ``span`` up to it.
 
-def broken_entries(chained: DataFrame, id_: str, fields: list[str], span: str) -> DataFrame:
-    """(id, reason) of entries that were changed, or whose predecessor was changed or removed."""
+    Within a block of entries the hashes are chained one by one; a block starts from a hash over the digests of all blocks
+    before it. So a span of any length is chained block by block beside each other, and a changed entry changes the head. With
+    up to ``block`` entries this is the plain chain from the genesis hash. Ids are expected to be unique in a span.
+    """
+    p = _placed(entries.withColumn("payload", payload_hash(fields)), id_, span, block)
+    packed = p.groupBy(F.col(span).alias("_span"), F.col("_block").alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), "payload"))).alias("e")).select("_span", "block", F.transform("e", lambda x: x["payload"]).alias("payloads"))
+    seeds = _block_seeds(packed.withColumnRenamed("_span", "span"), "span").toDF("_span", "block", "seed")
+    on = lambda a, b: a["_span"].eqNullSafe(b["_span"]) & (a["block"] == b["block"])
+    folded = packed.join(seeds, on(packed, seeds)).select(packed["_span"], packed["block"], F.concat(F.array("seed"), _fold(F.col("seed"), F.col("payloads"))).alias("hashes"))
+    j = p.join(folded, p[span].eqNullSafe(folded["_span"]) & (p["_block"] == folded["block"]))
+    at = (F.col("_at") - F.col("_block") * block).cast("int")
+    return j.select(*[p[c] for c in entries.columns], "payload", F.get("hashes", at).alias("previous"), F.get("hashes", at + 1).alias("hash"))
+
+
+def broken_entries(chained: DataFrame, id_: str, fields: list[str], span: str, block: int = BLOCK) -> DataFrame:
+    """(id, span, reason) of entries that do not hold: ``payload`` where the entry was changed after it was chained, ``previous``
+    where it does not follow the hash before it (an entry before it was changed, removed or put in), ``hash`` where its own
+    hash is not that of its parts. A tail that was cut off or wholly rehashed shows at the head (`chain_heads`, `moved_heads`)."""
+    c = _placed(chained, id_, span, block)
     w = Window.partitionBy(span).orderBy(id_)
-    c = chained.withColumn("_payload", payload_hash(fields)).withColumn("_before", F.coalesce(F.lag("payload").over(w), F.lit(GENESIS)))
-    reason = F.when(F.col("_payload") != F.col("payload"), "payload").when(F.col("_before") != F.col("previous"), "previous").when(link_hash(F.col("previous"), F.col("payload")) != F.col("hash"), "hash")
+    c = c.withColumn("_now", payload_hash(fields)).withColumn("_before", F.lag("hash").over(w))
+    packed = c.groupBy(F.col(span).alias("_span"), F.col("_block").alias("block")).agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("payload").alias("payload")))).alias("e")).select("_span", "block", F.transform("e", lambda x: x["payload"]).alias("payloads"))
+    seeds = _block_seeds(packed.withColumnRenamed("_span", "span"), "span").toDF("_span", "block", "seed")
+    c = c.join(seeds, c[span].eqNullSafe(seeds["_span"]) & (c["_block"] == seeds["block"]))
+    before = F.when(F.col("_at") % block == 0, F.col("seed")).otherwise(F.col("_before"))
+    reason = F.when(F.col("_now") != F.col("payload"), "payload").when(before != F.col("previous"), "previous").when(link_hash(F.col("previous"), F.col("payload")) != F.col("hash"), "hash")
     return c.select(id_, span, reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def chain_heads(chained: DataFrame, id_: str, span: str) -> DataFrame:
-    """Last hash and number of entries per span: the anchor against a cut-off tail."""
+    """Last hash and number of entries per span: the anchor against a cut-off or rehashed tail."""
     return chained.groupBy(span).agg(F.max_by("hash", id_).alias("head"), F.count(F.lit(1)).alias("entries"))
 
 
+def moved_heads(heads: DataFrame, anchors: DataFrame, span: str) -> DataFrame:
+    """(span, reason) of spans whose head is not the anchored one: ``shorter``, ``longer`` or ``other``; NULL spans are told apart."""
+    old = anchors.select(F.col(span).alias("_span"), F.col("head").alias("_head"), F.col("entries").alias("_entries"))
+    j = heads.join(old, heads[span].eqNullSafe(F.col("_span")), "full_outer")
+    n, o = F.coalesce("entries", F.lit(0)), F.coalesce("_entries", F.lit(0))
+    reason = F.when(n < o, "shorter").when(n > o, "longer").when(F.col("head") != F.col("_head"), "other")
+    return j.select(F.coalesce(span, "_span").alias(span), reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def distinct_actors(rows: DataFrame, by: str, actor: str, but: str | None = None) -> DataFrame:
     """Distinct actors per group, without the one in column ``but``."""
     k = actor_key(F.col(actor))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intakeforge.functions import values as V
-from intakeforge.operators import audit, casting, materialize, profiling, quality, records, resolving
+from intakeforge.operators import audit, casting, chain, drift_events, loading, materialize, profiling, quality, records, resolving
 from intakeforge.operators.casting import ColumnPlan
 from intakeforge.operators.versions import distinct_deliveries, with_previous
 from intakeforge.plans.intake import _VERSIONS_SQL
 from intakeforge.plans.registry import Registry
-from intakeforge.session import table
+from intakeforge.session import cut, ensure_checkpoint_dir, table
 
 registry = Registry()
 
@@ -117,6 +119,55 @@ def m_schema_evolution_union(spark: SparkSession, d: str) -> DataFrame:
     return materialize.accumulate([c, s])
 
 
+_INVOICE_PLAN = {"invoice_number": "invoice_number", "line_number": "line_number", "vendor_id": "supplier_id", "vendor_name": "supplier_name", "sku": "sku", "description": "item_description", "qty": "quantity", "unit_price": "unit_price", "line_total": "line_total", "currency": "currency", "tax_pct": "ext_tax_pct"}
+_NUMBER_TEXT = "upper(trim({0}))"
+for _token in ["$", "€", "£", "¥", "USD", "EUR", "GBP", "CAD", "JPY", "CHF", "AUD", "%", " ", ")"]:
+    _NUMBER_TEXT = f"replace({_NUMBER_TEXT}, '{_token}', '')"
+_NUMBER_TEXT = f"replace({_NUMBER_TEXT}, '(', '-')"
+
+
+def _as_number(c: str) -> str:
+    n = _NUMBER_TEXT.format(c)
+    return f"TRY_CAST(CASE WHEN NOT contains({n}, ',') THEN {n} WHEN regexp_full_match({n}, '-?[0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]*)?') THEN replace({n}, ',', '') END AS DECIMAL(38, 6))"
+
+
+_TYPED_SQL = f"""typed AS (SELECT ingested_at, line_id, nullif(trim(invoice_number), '') invoice_number, CAST(round({_as_number("line_number")}) AS BIGINT) line_number, nullif(trim(vendor_id), '') supplier_id, nullif(trim(vendor_name), '') supplier_name, nullif(trim(sku), '') sku,
+  nullif(trim(description), '') item_description, CAST({_as_number("qty")} AS DOUBLE) quantity, CAST({_as_number("unit_price")} AS DOUBLE) unit_price, CAST({_as_number("line_total")} AS DOUBLE) line_total, nullif(trim(currency), '') currency, nullif(trim(tax_pct), '') ext_tax_pct FROM invoices_2026_08)"""
+
+
+def _load_invoices(spark: SparkSession, d: str) -> tuple[str, list[loading.LoadResult]]:
+    """The invoice lines loaded into a typed table in two batches, by their time of ingest."""
+    rows = table(spark, d, "invoices_2026_08")
+    fields = [r.asDict() for r in table(spark, d, "field_spec").filter("schema_name = 'supplier_invoice' AND field_name NOT LIKE '%date' AND field_name NOT IN ('tax_rate', 'po_number')").select("field_id", "field_name", "field_type", "is_required").orderBy("field_id").collect()]
+    plan = loading.build_plan(_INVOICE_PLAN, fields, rows.columns, ["invoice_number", "line_number"])
+    path = f"{ensure_checkpoint_dir(spark)}/invoices-{uuid.uuid4().hex}"
+    middle = F.lit("2026-08-15").cast("timestamp_ntz")
+    order = [F.col("ingested_at"), F.col("line_id")]
+    return path, [loading.load(part, plan, path, order) for part in (rows.filter(F.col("ingested_at") < middle), rows.filter((F.col("ingested_at") >= middle) | F.col("ingested_at").isNull()))]
+
+
+@registry.add(
+    f"""WITH {_TYPED_SQL}, b AS (SELECT *, ingested_at IS NULL OR ingested_at >= TIMESTAMP '2026-08-15' late FROM typed WHERE invoice_number IS NOT NULL AND line_number IS NOT NULL)
+SELECT * EXCLUDE (ingested_at, line_id, late) FROM b QUALIFY row_number() OVER (PARTITION BY invoice_number, line_number ORDER BY late DESC, ingested_at DESC NULLS LAST, line_id DESC) = 1"""
+)
+def m_materialize(spark: SparkSession, d: str) -> DataFrame:
+    """Plan, casts, rejects, latest rows, upsert of a second batch and atomic swap: the table as a reader finds it."""
+    path, _ = _load_invoices(spark, d)
+    out = loading.read_table(spark, path)
+    numbers = [c for c, t in out.dtypes if t.startswith("decimal")]
+    return out.withColumns({c: F.col(c).cast("double") for c in numbers})
+
+
+@registry.add(
+    f"""WITH {_TYPED_SQL}, b AS (SELECT *, CASE WHEN ingested_at < TIMESTAMP '2026-08-15' THEN 1 ELSE 2 END batch FROM typed)
+SELECT batch, count(*) rows_staged, count(DISTINCT (invoice_number, line_number)) FILTER (invoice_number IS NOT NULL AND line_number IS NOT NULL) rows_written, count(*) FILTER (invoice_number IS NULL OR line_number IS NULL) rows_rejected FROM b GROUP BY 1"""
+)
+def m_load_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Rows staged, written and rejected of both loads, as the loads observed them."""
+    _, done = _load_invoices(spark, d)
+    return spark.createDataFrame([(i, r.rows_staged, r.rows_written, r.rows_rejected) for i, r in enumerate(done, 1)], "batch int, rows_staged long, rows_written long, rows_rejected long")
+
+
 @registry.add("SELECT o.source_object_id, o.feed_id FROM source_object o WHERE o.raw_table IS NOT NULL AND NOT EXISTS (SELECT 1 FROM invoices_2026_08 i WHERE i.source_object_id = o.source_object_id)")
 def m_unmaterialized_objects(spark: SparkSession, d: str) -> DataFrame:
     staged = table(spark, d, "source_object").filter("raw_table IS NOT NULL").select("source_object_id", "feed_id")
@@ -432,6 +483,75 @@ def a_benchmark_metrics(spark: SparkSession, d: str) -> DataFrame:
     return resolving.benchmark(h.join(found, "proposal_id", "left"), "tier")
 
 
+def _resolver_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The profiled columns of every object with the schema of its feed."""
+    schema = table(spark, d, "source_object").select("source_object_id", "feed_id").dropDuplicates(["source_object_id"]).join(table(spark, d, "source_feed").select("feed_id", "schema_name"), "feed_id")
+    return table(spark, d, "column_profile").join(schema, "source_object_id")
+
+
+@registry.add()
+def r_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Every profiled column through the resolver chain: target field, tier, confidence, conflicts, vetoes and ``ext_`` names."""
+    return chain.resolve(_resolver_columns(spark, d), table(spark, d, "field_spec")).withColumn("vetoes", F.array_join("vetoes", ","))
+
+
+@registry.add()
+def r_chain_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The chain measured against the decided mappings of the same headers in the same schema, by tier."""
+    columns = _resolver_columns(spark, d)
+    schema = table(spark, d, "source_feed").select("feed_id", "schema_name")
+    decided = table(spark, d, "mapping_proposal").filter("status IN ('accepted', 'demoted') AND source_column IS NOT NULL").join(schema, "feed_id")
+    decided = decided.groupBy("schema_name", F.col("source_column").alias("col_name")).agg(F.max("target_field").alias("true_field"))
+    truth = columns.select("source_object_id", "schema_name", "col_name").distinct().join(decided, ["schema_name", "col_name"]).select("source_object_id", "col_name", "true_field")
+    return chain.metrics(chain.resolve(columns, table(spark, d, "field_spec")), truth)
+
+
+def _mapping(spark: SparkSession, d: str) -> DataFrame:
+    """feed_id, schema_name, source_column, target_field of the accepted mappings."""
+    p = table(spark, d, "mapping_proposal").filter("status = 'accepted' AND target_field IS NOT NULL AND source_column IS NOT NULL")
+    return p.join(table(spark, d, "source_feed").select("feed_id", "schema_name"), "feed_id").select("feed_id", "schema_name", "source_column", "target_field").distinct()
+
+
+def _drift_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    objects, fields = table(spark, d, "source_object"), table(spark, d, "field_spec")
+    before = cut(with_previous(distinct_deliveries(objects)).select("source_object_id", "feed_id", "prev_object_id"))
+    profiles = cut(drift_events.profiles_of(objects))
+    schema = table(spark, d, "source_feed").select("feed_id", "schema_name")
+    headers = profiles.select("source_object_id", "col_name").join(before, "source_object_id").join(schema, "feed_id").select("source_object_id", "schema_name", "col_name")
+    labels = cut(chain.normalized_labels(fields))
+    names = cut(chain.normalized_headers(headers))
+    sure = chain.named_fields(names, labels).unionByName(chain.synonym_fields(names, labels)).groupBy("schema_name", "col_name").agg(F.min_by("field_name", resolving.tier_rank(F.col("tier"))).alias("target_field"))
+    resolved = headers.join(sure, ["schema_name", "col_name"]).select("source_object_id", "col_name", "target_field")
+    return drift_events.drift_events(profiles, before, _mapping(spark, d), fields, resolved), before, profiles.select("source_object_id", "col_name")
+
+
+@registry.add()
+def d_events(spark: SparkSession, d: str) -> DataFrame:
+    """All drift events of every object against the one before, with severity, detail and order."""
+    return _drift_events(spark, d)[0]
+
+
+@registry.add()
+def d_carried_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """The accepted mappings as far as they hold for each later object: carried over, or led to renamed columns."""
+    events, before, columns = _drift_events(spark, d)
+    return drift_events.carried_mapping(cut(events), before, _mapping(spark, d), columns)
+
+
+_SEVERE_SQL = f"""WITH {_VERSIONS_SQL}, prof AS (SELECT source_object_id, feed_id, unnest(from_json(profile_json, '[{{"name":"VARCHAR","inferred_type":"VARCHAR","date_format":"VARCHAR","null_rate":"DOUBLE"}}]')) p FROM source_object),
+f AS (SELECT source_object_id, feed_id, p.name col, p.inferred_type t, p.date_format df, p.null_rate nr FROM prof),
+m AS (SELECT DISTINCT feed_id, source_column col FROM mapping_proposal WHERE status = 'accepted' AND target_field IS NOT NULL AND source_column IS NOT NULL),
+j AS (SELECT c.source_object_id, c.feed_id, c.col, c.t, o.t ot, c.df, o.df odf, c.nr, o.nr onr FROM f c JOIN versions v USING (source_object_id) JOIN f o ON o.source_object_id = v.prev AND o.col = c.col)
+SELECT source_object_id, 'format_changed' kind, CASE WHEN m.col IS NULL THEN 'warning' ELSE 'breaking' END severity, j.col source_column, odf || ' to ' || df detail FROM j LEFT JOIN m ON m.feed_id = j.feed_id AND m.col = j.col WHERE t = ot AND df <> odf
+UNION ALL SELECT source_object_id, 'null_rate_shift', 'warning', col, format('{{:.4f}} to {{:.4f}}', onr, nr) FROM j WHERE abs(nr - onr) > 0.2"""
+
+
+@registry.add(_SEVERE_SQL)
+def d_format_and_null_events(spark: SparkSession, d: str) -> DataFrame:
+    """Those events that follow from one column alone, with their severities."""
+    return d_events(spark, d).filter("kind IN ('format_changed', 'null_rate_shift')").drop("rank")
+
+
 # --- logs -------------------------------------------------------------------------------------------------------------
 
 
@@ -442,48 +562,47 @@ def g_valid_approvers(spark: SparkSession, d: str) -> DataFrame:
 
 _LOG = ["event_id", "source_object_id", "kind", "source_column", "severity", "status"]
 _PART = lambda c: f"COALESCE(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_CHAIN_SQL = f"""p AS (SELECT event_id, feed_id, severity, status, kind, sha256(concat_ws('|', {", ".join(map(_PART, _LOG))})) payload FROM drift_event),
+l AS (SELECT *, list(payload) OVER (PARTITION BY feed_id ORDER BY event_id) ps FROM p),
+h AS (SELECT * EXCLUDE (ps), list_reduce(list_prepend(repeat('0', 64), ps), lambda a, b: sha256(a || b)) hash FROM l),
+c AS (SELECT *, COALESCE(lag(hash) OVER (PARTITION BY feed_id ORDER BY event_id), repeat('0', 64)) previous FROM h)"""
 
 
-@registry.add(
-    f"""WITH p AS (SELECT event_id, feed_id, sha256(concat_ws('|', {", ".join(map(_PART, _LOG))})) payload FROM drift_event),
-c AS (SELECT *, COALESCE(lag(payload) OVER (PARTITION BY feed_id ORDER BY event_id), repeat('0', 64)) previous FROM p)
-SELECT event_id, feed_id, previous, sha256(previous || payload) hash FROM c"""
-)
+@registry.add(f"WITH {_CHAIN_SQL} SELECT event_id, feed_id, previous, hash FROM c")
 def g_audit_chain(spark: SparkSession, d: str) -> DataFrame:
     return audit.chain(table(spark, d, "drift_event"), "event_id", _LOG, "feed_id").select("event_id", "feed_id", "previous", "hash")
 
 
-@registry.add("SELECT event_id, feed_id, 'payload' reason FROM drift_event WHERE severity = 'warning' AND status = 'open'")
+@registry.add(
+    f"""WITH {_CHAIN_SQL}, f AS (SELECT *, CASE WHEN kind = 'added' THEN repeat('0', 64) ELSE hash END stored FROM c WHERE kind IS DISTINCT FROM 'removed'),
+b AS (SELECT *, COALESCE(lag(stored) OVER (PARTITION BY feed_id ORDER BY event_id), repeat('0', 64)) before FROM f),
+r AS (SELECT event_id, feed_id, CASE WHEN severity = 'warning' AND status = 'open' THEN 'payload' WHEN before <> previous THEN 'previous' WHEN stored <> hash THEN 'hash' END reason FROM b)
+SELECT * FROM r WHERE reason IS NOT NULL"""
+)
 def g_audit_chain_verify(spark: SparkSession, d: str) -> DataFrame:
-    """A log tampered with after it was chained: the changed entries are found."""
+    """A log tampered with after it was chained: entries changed, hashes replaced, entries taken out."""
     chained = audit.chain(table(spark, d, "drift_event"), "event_id", _LOG, "feed_id")
     forged = chained.withColumn("status", F.when((F.col("severity") == "warning") & (F.col("status") == "open"), "closed").otherwise(F.col("status")))
-    return audit.broken_entries(forged, "event_id", _LOG, "feed_id").filter("reason = 'payload'")
+    forged = forged.withColumn("hash", F.when(F.col("kind") == "added", F.lit(audit.GENESIS)).otherwise(F.col("hash"))).filter("kind IS DISTINCT FROM 'removed'")
+    return audit.broken_entries(forged, "event_id", _LOG, "feed_id")
 
 
-@registry.add("SELECT feed_id, count(*) entries FROM drift_event GROUP BY 1")
+@registry.add(f"WITH {_CHAIN_SQL} SELECT feed_id, arg_max(hash, event_id) head, count(*) entries FROM c GROUP BY 1")
 def g_audit_chain_heads(spark: SparkSession, d: str) -> DataFrame:
-    chained = audit.chain(table(spark, d, "drift_event"), "event_id", _LOG, "feed_id")
-    return audit.chain_heads(chained, "event_id", "feed_id").select("feed_id", "entries")
-
-
-@registry.add(
-    f"""WITH p AS (SELECT event_id, feed_id, sha256(concat_ws('|', {", ".join(map(_PART, _LOG))})) payload FROM drift_event),
-c AS (SELECT *, COALESCE(lag(payload) OVER (PARTITION BY feed_id ORDER BY event_id), repeat('0', 64)) previous FROM p)
-SELECT feed_id, arg_max(sha256(previous || payload), event_id) head, count(*) entries FROM c GROUP BY 1"""
-)
-def g_audit_head_hashes(spark: SparkSession, d: str) -> DataFrame:
     """Last hash and number of entries of each feed's log."""
     return audit.chain_heads(audit.chain(table(spark, d, "drift_event"), "event_id", _LOG, "feed_id"), "event_id", "feed_id")
 
 
-@registry.add()
-def g_audit_breaks(spark: SparkSession, d: str) -> DataFrame:
-    """All breaks of the log of `g_audit_chain_verify`, with one entry in five removed and the hash of one in seven replaced."""
-    chained = audit.chain(table(spark, d, "drift_event"), "event_id", _LOG, "feed_id")
-    forged = chained.withColumn("status", F.when((F.col("severity") == "warning") & (F.col("status") == "open"), "closed").otherwise(F.col("status")))
-    forged = forged.withColumn("hash", F.when(F.col("event_id") % 7 == 0, F.lit(audit.GENESIS)).otherwise(F.col("hash"))).filter("event_id % 5 <> 0")
-    return audit.broken_entries(forged, "event_id", _LOG, "feed_id")
+@registry.add(
+    f"""WITH {_CHAIN_SQL}, n AS (SELECT feed_id, count(*) entries, count(*) FILTER (status IS DISTINCT FROM 'open') left_over, bool_or(severity = 'breaking' AND status IS DISTINCT FROM 'open') rehashed FROM c GROUP BY 1)
+SELECT feed_id, CASE WHEN left_over < entries THEN 'shorter' WHEN rehashed THEN 'other' END reason FROM n WHERE left_over < entries OR rehashed"""
+)
+def g_moved_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Logs without their open entries, the breaking ones made warnings, chained anew so that every link holds: their heads are not those that were anchored."""
+    log = table(spark, d, "drift_event")
+    anchors = audit.chain_heads(audit.chain(log, "event_id", _LOG, "feed_id"), "event_id", "feed_id")
+    forged = log.filter("status IS DISTINCT FROM 'open'").withColumn("severity", F.when(F.col("severity") == "breaking", "warning").otherwise(F.col("severity")))
+    return audit.moved_heads(audit.chain_heads(audit.chain(forged, "event_id", _LOG, "feed_id"), "event_id", "feed_id"), anchors, "feed_id")
 
 
 @registry.add()

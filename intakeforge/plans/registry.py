@@ -27,8 +27,6 @@ class Registry:
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ship(spark)
                 ensure_checkpoint_dir(spark)
-                # The JVM never compiles methods above this size; beyond it Spark's split, uncoupled code is faster.
-                spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
                 return f(spark, sf_dir)
 
             if key in self.queries:

@@ -21,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset and no folder was set by code (tests, local
-    runs on one machine) a folder of our own is made.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset and no folder was set by code, and all executors are
+    threads of this machine (tests, local runs), a folder of our own is made. On a cluster that is an error: a folder of one
+    machine would lose rows.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     folder = configured or os.path.join(tempfile.gettempdir(), f"intakeforge-checkpoints-{os.getpid()}")
     sc.setCheckpointDir(folder)
     return folder

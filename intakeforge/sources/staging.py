@@ -11,15 +11,13 @@ import zipfile
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from intakeforge.functions.names import dedupe_headers
 from intakeforge.functions.values import is_null_like, strip
 from intakeforge.operators import profiling, records
+from intakeforge.operators.casting import LINEAGE
 from intakeforge.operators.records import tokenize
 from intakeforge.session import cut
 
@@ -63,19 +61,6 @@ _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _DATE_STYLE = re.compile(r"[ymdhs]", re.I)
 
 
-def cell_text(value: object) -> str:
-    """None is empty, a date at midnight has no time, whole numbers no decimals, booleans are true and false."""
-    if value is None:
-        return ""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, datetime.datetime):
-        return value.date().isoformat() if value.time() == datetime.time() else value.isoformat(sep=" ")
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
-    return str(value)
-
-
 def read_book(data: bytes) -> list[tuple[str, list[list[str]]]]:
     """(sheet, rows of text) of a workbook, values only, without empty rows at the end."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -110,22 +95,33 @@ def read_book(data: bytes) -> list[tuple[str, list[list[str]]]]:
         return out
 
 
+_EPOCH = datetime.datetime(1899, 12, 30)
+
+
+def _number_text(number: float, is_date: bool) -> str:
+    """Whole numbers have no decimals and days no time."""
+    if not is_date:
+        return f"{number:.0f}" if number == int(number) else repr(number)
+    day = _EPOCH + datetime.timedelta(days=number)
+    return day.isoformat(" ")[: 10 if number == int(number) else None]
+
+
+#: The text of a workbook's cell by its kind, from its value, the shared texts, and whether its style is one of dates.
+_RENDER = {
+    "s": lambda v, shared, _: shared[int(v)],
+    "b": lambda v, *_: "true" if v == "1" else "false",
+    "n": lambda v, _, is_date: _number_text(float(v), is_date),
+}
+
+
 def _book_cell(c: ET.Element, shared: list[str], dates: list[bool]) -> str:
-    kind, v = c.get("t", "n"), c.find(f"{_SHEET}v")
+    kind = c.get("t", "n")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in c.iter(f"{_SHEET}t"))
-    if v is None or v.text is None:
+    value, style = c.findtext(f"{_SHEET}v"), int(c.get("s", 0))
+    if value is None:
         return ""
-    if kind == "s":
-        return shared[int(v.text)]
-    if kind == "b":
-        return cell_text(v.text == "1")
-    if kind in ("str", "e"):
-        return v.text
-    number, style = float(v.text), int(c.get("s", 0))
-    if style < len(dates) and dates[style]:
-        return cell_text(datetime.datetime(1899, 12, 30) + datetime.timedelta(days=number))
-    return cell_text(number)
+    return _RENDER.get(kind, lambda v, *_: v)(value, shared, style < len(dates) and dates[style])
 
 
 _PART = pa.schema([("path", pa.string()), ("source_file", pa.string()), ("sheet", pa.string()), ("content_hash", pa.string()), ("encoding", pa.string()), ("delimiter", pa.string()), ("chunk_no", pa.int64()), ("text", pa.string()), ("row_idx", pa.int32()), ("cells", pa.list_(pa.string())), ("error", pa.string())])
@@ -223,9 +219,22 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return grids(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _dedupe(headers: pd.Series) -> pd.Series:
-    return headers.map(lambda h: dedupe_headers(list(h)))
+def unique_names(names: Column, reserved: list[str] | None = None) -> Column:
+    """The names of an array made unique in their order, ignoring case and clear of ``reserved``: ``a``, ``a_2``, ``a_3``."""
+    start = F.struct(F.lit([r.lower() for r in reserved or []]).cast("array<string>").alias("taken"), F.array().cast("array<string>").alias("out"))
+
+    def add(acc: Column, name: Column) -> Column:
+        ways = F.transform(F.sequence(F.lit(1), F.size(acc["taken"]) + 1), lambda k: F.when(k == 1, name).otherwise(F.concat(name, F.lit("_"), k.cast("string"))))
+        free = F.get(F.filter(ways, lambda w: ~F.array_contains(acc["taken"], F.lower(w))), F.lit(0))
+        return F.struct(F.array_append(acc["taken"], F.lower(free)).alias("taken"), F.array_append(acc["out"], free).alias("out"))
+
+    return F.aggregate(names, start, add, lambda acc: acc["out"])
+
+
+def unique_headers(raw: Column) -> Column:
+    """Headers with single spaces, blanks named ``column_<position>``, unique and clear of the lineage columns."""
+    named = F.transform(raw, lambda h, i: F.coalesce(F.nullif(strip(F.regexp_replace(h, r"\s+", " ")), F.lit("")), F.concat(F.lit("column_"), (i + 1).cast("string"))))
+    return unique_names(named, LINEAGE)
 
 
 def stage(lines: DataFrame, header_row: int | None = None) -> DataFrame:
@@ -246,7 +255,7 @@ def stage(lines: DataFrame, header_row: int | None = None) -> DataFrame:
     filled = body.select("file", F.posexplode("cells").alias("j", "c")).filter(~is_null_like(F.col("c"))).groupBy("file").agg(F.collect_set("j").alias("filled"))
     names = j.filter("row_idx = header_row").select("file", F.col("cells").alias("raw")).join(used, "file").join(filled, "file")
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.col("width"), F.size("raw")) - 1), lambda i: (F.trim(F.coalesce(F.get("raw", i), F.lit(""))) != "") | F.array_contains("filled", i))
-    names = names.withColumn("at", at).withColumn("headers", _dedupe(F.transform(F.sequence(F.lit(0), F.greatest(F.col("width"), F.size("raw")) - 1), lambda i: F.coalesce(F.get("raw", i), F.lit("")))))
+    names = names.withColumn("at", at).withColumn("headers", unique_headers(F.transform(F.sequence(F.lit(0), F.greatest(F.col("width"), F.size("raw")) - 1), lambda i: F.coalesce(F.get("raw", i), F.lit("")))))
     names = names.select("file", "at", F.transform("at", lambda i: F.get("headers", i)).alias("headers"))
     out = body.join(names, "file")
     return out.select("source_file", "sheet", (F.col("row_idx") + 1).alias("row_number"), "content_hash", F.map_from_arrays("headers", F.transform("at", lambda i: F.coalesce(F.get("cells", i), F.lit("")))).alias("cells"))

@@ -13,6 +13,7 @@ from intakeforge.functions import cells as C
 from intakeforge.functions import names as N
 from intakeforge.functions import values as V
 from intakeforge.operators import audit, materialize, quality, resolving, schema_drift, versions
+from intakeforge.sources import staging
 
 
 def column(spark, values, expr):  # noqa: ANN001, ANN201
@@ -46,11 +47,37 @@ def test_null_like_and_masks(spark) -> None:  # noqa: ANN001
     assert column(spark, [None, "PO-123", "a@b", "Größe 12"], quality.mask) == [None, "A+-9+", "a@a", "Aa+ 9+"]
 
 
-def test_names() -> None:
-    assert N.normalize_name("Unit Price (USD)") == (["unit", "price"], ["usd"])
-    assert N.header_words("InvoiceNo") == ["invoice", "no"]
-    assert N.dedupe_headers(["id", "", "ID", "_sheet"]) == ["id", "column_2", "ID_2", "_sheet_2"]
-    assert N.extension_column_name("Größe %") == "ext_grosse" or N.extension_column_name("Größe %") == "ext_gro_e"
+@pytest.mark.parametrize(
+    ("header", "words", "hints"),
+    [
+        ("Unit Price (USD)", ["unit", "price"], ["usd"]),
+        ("InvoiceNo", ["invoice", "no"], []),
+        ("Amount (net)", ["amount", "net"], []),
+        ("Weight [kg]", ["weight"], ["kg"]),
+        ("tax %", ["tax"], ["percent"]),
+        ("Total(€)", ["total"], ["eur"]),
+        ("PO#", ["po", "number"], []),
+        ("price usd eur", ["price"], ["usd", "eur"]),
+        ("USD", ["usd"], []),
+        ("Ort/Straße é", ["ort", "stra", "e", "e"], []),
+        (None, [], []),
+    ],
+)
+def test_names(header: str, words: list[str], hints: list[str]) -> None:
+    got = N.normalize_name(header)
+    assert got[0] == words and sorted(got[1]) == sorted(hints)
+
+
+def test_short_forms_are_written_out() -> None:
+    assert N.expand(["po", "no"]) == ["purchase", "order", "number"] and N.expand(["date", "of", "po"], {"po": ["post"]}) == ["date", "post"]
+    assert N.expand([]) == N.expand(["the"]) == []
+
+
+def test_headers_are_unique(spark) -> None:  # noqa: ANN001
+    raw = [["id", "", "ID", "_sheet"], ["a", "a", "a_2", "A", " a  b "], [], ["", None, "column_1"]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, h array<string>")
+    got = [r.o for r in df.select("i", staging.unique_headers(F.col("h")).alias("o")).orderBy("i").collect()]
+    assert got == [["id", "column_2", "ID_2", "_sheet_2"], ["a", "a_2", "a_2_2", "A_3", "a b"], [], ["column_1", "column_2", "column_1_2"]]
 
 
 @pytest.mark.parametrize("seed", range(40))
