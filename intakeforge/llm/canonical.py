@@ -92,6 +92,11 @@ def is_short_form(token: str, word: str) -> bool:
     return all(c in rest for c in token)
 
 
+@F.pandas_udf(T.BooleanType())
+def _short_form(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([is_short_form(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
 def _same_digits(a: str, b: str) -> Column:
     """Other digits are another thing, never a misspelling."""
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
@@ -111,30 +116,36 @@ def short_forms(tokens: DataFrame, listed: DataFrame) -> DataFrame:
     three = F.flatten(F.transform(F.sequence(F.lit(2), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: F.concat(at(F.lit(1)), at(i), at(j)))))
     w = listed.filter("length(long) >= 4").withColumn("start", F.explode(F.array_distinct(F.concat(two, three))))
     j = t.hint("merge").join(w, "start").drop("start")
-    rest = F.aggregate(F.split(F.substr("token", F.lit(2)), ""), F.substr("long", F.lit(2)), lambda left, c: F.when((c == "") | left.isNull(), left).when(F.instr(left, c) > 0, F.substr(left, F.instr(left, c) + 1)))
-    return j.filter((F.length("long") >= F.length("token") + 2) & rest.isNotNull())
+    return j.filter(F.length("long") >= F.length("token") + 2).filter(_short_form("token", "long"))
+
+
+def _near_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, repaired): the best close word of each of ``tokens`` (token, n) among ``words`` (token, n, spec), where there is one."""
+    left = tokens.filter(F.length("token") >= 3).select("token", "n").withColumn("variant", F.explode(_deletions("token")))
+    right = words.filter(F.length("token") >= 3).select(F.col("token").alias("word"), F.col("n").alias("word_n"), F.col("spec").alias("word_spec")).withColumn("variant", F.explode(_deletions("word")))
+    # Sizes are estimated before the variants are exploded, so that neither side may be broadcast by them.
+    pairs = left.hint("merge").join(right, "variant").filter((F.col("token") != F.col("word")) & _same_digits("token", "word"))
+    expected = F.col("word_n") * F.when(F.col("word_spec") > 0, LIST_TYPO_RATE).otherwise(TYPO_RATE)
+    pairs = pairs.filter((F.col("n") == 0) | (F.col("n") <= expected + 2 * F.sqrt(expected))).select("token", "word", "word_n", "word_spec").distinct()
+    pairs = pairs.withColumn("distance", _distance("token", "word")).filter(F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1))
+    return pairs.groupBy("token").agg(F.min(F.struct("distance", (-F.col("word_spec")).alias("s"), (-F.col("word_n")).alias("k"), "word")).alias("b")).select("token", F.col("b.word").alias("repaired"))
 
 
 def token_repairs(counts: DataFrame) -> DataFrame:
-    """(token, repaired): every token of (token, n, spec), led to a close word of the vocabulary where it is none itself.
+    """(token, repaired, known): every token of (token, n, spec), led to a close word of the vocabulary where it is none itself.
 
     Close means distance 1 (2 from six letters on). Words of the reference list stay; others give way to a close word whose
     misspelling they can be by their counts among decided values: no more than the greatest rate of one misspelling yields,
-    within two standard deviations. So only shares count in a long history, and small counts are no proof in a short one; a
-    token that no decision holds gives way to any. The join is on shared deletions, so no token meets all others.
+    within two standard deviations. So only shares count in a long history, and small counts are no proof in a short one. A
+    token that no decision holds gives way to any word that stays. The join is on shared deletions, so no token meets all others.
     """
-    vocabulary = counts.filter("spec > 0 OR n > 0").select(F.col("token").alias("word"), F.col("n").alias("word_n"), F.col("spec").alias("word_spec"))
-    left = counts.filter((F.col("spec") == 0) & (F.length("token") >= 3)).withColumn("variant", F.explode(_deletions("token")))
-    right = vocabulary.filter(F.length("word") >= 3).withColumn("variant", F.explode(_deletions("word")))
-    # Sizes are estimated before the variants are exploded, so that neither side may be broadcast by them.
-    pairs = left.hint("merge").join(right, "variant").filter((F.col("token") != F.col("word")) & _same_digits("token", "word")).select("token", "n", "word", "word_n", "word_spec").distinct()
-    expected = F.col("word_n") * F.when(F.col("word_spec") > 0, LIST_TYPO_RATE).otherwise(TYPO_RATE)
-    pairs = pairs.filter((F.col("n") == 0) | (F.col("n") <= expected + 2 * F.sqrt(expected))).withColumn("distance", _distance("token", "word"))
-    pairs = pairs.filter(F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1))
     # A short token that abbreviates a word of the list is no misspelling of another short word.
     short = short_forms(counts.filter("spec = 0 AND length(token) <= 4").select("token"), counts.filter("spec > 0").select(F.col("token").alias("long"))).select("token").distinct()
-    pairs = pairs.join(short, "token", "left_anti")
-    best = pairs.groupBy("token").agg(F.min(F.struct("distance", (-F.col("word_spec")).alias("s"), (-F.col("word_n")).alias("k"), "word")).alias("b")).select("token", F.col("b.word").alias("repaired"))
+    open_ = cut(counts.filter("spec = 0").join(short, "token", "left_anti"))
+    # Rarer words cannot have a misspelling that was decided.
+    decided = cut(_near_words(open_.filter("n > 0"), counts.filter("spec > 0 OR n > 2")))
+    stays = counts.filter("spec > 0 OR n > 0").join(decided.select("token"), "token", "left_anti")
+    best = decided.unionByName(_near_words(open_.filter("n = 0"), stays))
     return counts.join(best, "token", "left").select("token", F.coalesce("repaired", "token").alias("repaired"), ((F.col("spec") > 0) | (F.col("n") > 0)).alias("known"))
 
 
@@ -265,8 +276,12 @@ def soft_tfidf(queries: DataFrame, entries: DataFrame) -> DataFrame:
     weights = close.groupBy("scope", "word").agg(F.max(F.struct("sim", "ew")).alias("b")).select("scope", "word", F.col("b.ew").alias("w"))
     qt = q.join(weights, ["scope", "word"], "left").join(sizes, "scope").withColumn("w", F.coalesce("w", F.log1p(F.col("total").cast("double"))))
     whole = Window.partitionBy("scope", "value")
-    qt = qt.withColumn("qn2", F.sum(F.col("w") * F.col("w")).over(whole)).select("scope", "value", "word", "w", "qsize", "qn2")
-    hits = qt.join(close, ["scope", "word"]).join(et.select("scope", "other", "id", "size", "target", "n"), ["scope", "other"])
+    heavier = whole.orderBy(F.desc("w"), "word").rowsBetween(Window.unboundedPreceding, -1)
+    qt = qt.withColumn("qn2", F.sum(F.col("w") * F.col("w")).over(whole)).withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("w")).over(heavier), F.lit(0.0))).select("scope", "value", "word", "w", "qsize", "qn2", "before")
+    alike = cut(qt.join(close, ["scope", "word"]))
+    # An entry that scores enough shares one of the heaviest words, those without which too little weight is left.
+    chosen = alike.filter(F.col("before") <= (1 - MIN_SCORE**2) * F.col("qn2")).join(et.select("scope", "other", "id"), ["scope", "other"]).select("scope", "value", "id").distinct()
+    hits = chosen.join(et.select("scope", "id", "other", "size", "target", "n"), ["scope", "id"]).join(alike.drop("before"), ["scope", "value", "other"])
     once = [F.first(c).alias(c) for c in ("qn2", "qsize", "size", "target", "n")]
     per_word = hits.groupBy("scope", "value", "id", "word").agg(F.max(F.col("sim") * F.col("w") * F.col("ew")).alias("part"), F.max(F.col("word") == F.col("other")).alias("is_same"), *once)
     dots = per_word.groupBy("scope", "value", "id").agg(F.sum("part").alias("dot"), F.count_if("is_same").alias("shared"), *once)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from intakeforge.functions.names import fold
 from intakeforge.functions.values import is_null_like
-from intakeforge.llm.canonical import deletions, edit_distance, is_short_form
+from intakeforge.llm.canonical import _short_form, deletions, edit_distance
 from intakeforge.session import cut
 
 # Legal forms of companies, and titles and fillers of names, written without dots.
@@ -40,6 +40,8 @@ QGRAM, ROWS = 3, 3
 #: Least overlap of q-grams at which pairs are to be met, and the share of those that has to be met.
 TUNED_AT, RECALL = 0.4, 0.97
 MIN_SIMILARITY = 0.8
+#: Pairs that meet by chance: far below the overlap that the bands are tuned for.
+LEAST_OVERLAP = 0.25
 
 _LEGAL, _FILL = frozenset(LEGAL), frozenset(FILLERS)
 _LETTERS = re.compile(r"(?<![^\W_])[a-z](?:[ /-]+[a-z])+(?![^\W_])")
@@ -137,6 +139,11 @@ def _bands(words: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _grams(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: sorted({xxhash.xxh32_intdigest(g) - (1 << 31) for g in qgrams(list(w))}))
+
+
 @F.pandas_udf(T.DoubleType())
 def _monge_elkan(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([monge_elkan(list(x), list(y)) for x, y in zip(a, b)])
@@ -261,11 +268,6 @@ def nearest_word(word: str, index: dict[str, list[str]]) -> str | None:
     return ranked[0][1] if ranked else None
 
 
-@F.pandas_udf(T.BooleanType())
-def _short_form(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([is_short_form(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
 # --- names ------------------------------------------------------------------------------------------------------------
 
 
@@ -306,13 +308,14 @@ def name_keys(rows: DataFrame, id_: str = "vendor_id", name: str = "vendor_name"
 
 def similar_texts(keys: DataFrame) -> DataFrame:
     """(text, other): pairs of different own words that meet in a band and are alike, each pair once, whatever qualifies them."""
-    node = cut(keys.groupBy("text").agg(F.first("words").alias("words")).withColumn("key", F.xxhash64("text")))
+    node = cut(keys.groupBy("text").agg(F.first("words").alias("words")).withColumn("key", F.xxhash64("text")).withColumn("grams", _grams("words")))
     band = node.select("key", F.explode(_bands("words")).alias("band"))
     # Sizes are estimated before the bands are exploded: without the hint a side of many times that size may be broadcast.
     pairs = band.hint("merge").join(band.select(F.col("key").alias("other"), "band"), "band").filter("key < other").select("key", "other").distinct()
-    right = node.select(F.col("key").alias("other"), F.col("text").alias("other_text"), F.col("words").alias("other_words"))
-    j = pairs.join(node, "key").join(right, "other")
-    return j.filter(_monge_elkan("words", "other_words") >= MIN_SIMILARITY).select("text", F.col("other_text").alias("other"))
+    right = node.select(F.col("key").alias("other"), F.col("text").alias("other_text"), F.col("words").alias("other_words"), F.col("grams").alias("other_grams"))
+    both = F.size(F.array_intersect("grams", "other_grams"))
+    j = pairs.join(node, "key").join(right, "other").filter(both >= LEAST_OVERLAP * (F.size("grams") + F.size("other_grams") - both))
+    return j.select("text", "words", "other_text", "other_words").filter(_monge_elkan("words", "other_words") >= MIN_SIMILARITY).select("text", F.col("other_text").alias("other"))
 
 
 def similar_keys(keys: DataFrame) -> DataFrame:
