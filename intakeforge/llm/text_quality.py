@@ -1,8 +1,8 @@
 """Per-document text statistics and the kind of a text: prose, list, table or junk.
 
 Every line gets a kind from its neighbours: tables by delimiters or column gaps that align vertically over several lines,
-lists by markers or by short lines of one make (line-length autocorrelation and indentation period tell them from wrapped
-prose), junk by words, symbols and repetition. The kind that holds most of the text is the kind of the document.
+lists by the period with which line edges of one make come back, or indents do (line-length autocorrelation tells these from
+wrapped prose), junk by words, symbols and repetition. The kind that holds most of the text is the kind of the document.
 """
 
 from __future__ import annotations
@@ -21,14 +21,13 @@ KINDS = ("prose", "list", "table", "junk")
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TOKEN = re.compile(r"\S+")
-_LETTER = re.compile(r"[^\W\d_]+")
-_SYMBOL = re.compile(r"(?:[^\w\s]|_)+")
-_MARKER = re.compile(r"^\s*(?:[-–—*•·▪◦‣+>o](?=\s)|\[[ xX✓]?\]|(?:\(?\d{1,3}|\(?[A-Za-z]|\(?[ivxIVX]{1,5})[.)](?=\s))\s*")
+#: Beyond ASCII: symbols, and digits.
+_WIDE_SYMBOL, _WIDE_DIGIT = re.compile(r"[^\x00-\x7f\w\s]"), re.compile(r"(?![0-9])\d")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _HEXDUMP = re.compile(r"^\s*[0-9a-fA-F]{4,16}[: ]\s*(?:[0-9a-fA-F]{2}\s+){3,}")
 _RULER = re.compile(r"^\s*([^\w\s])\1{4,}\s*$")
 _BORDER = re.compile(r"^\s*[+|][-+=|: ]{2,}[+|]\s*$")
 _SENTENCE_END = re.compile(r"[.!?…:;,]['\"”’)\]]*\s*$")
-_TRAILING_NUMBER = re.compile(r"^\s*\S.{0,200}?\s*[:=]\s*[+-]?[\d.,]+\s*%?$")
 _MARKUP = re.compile(r"&[a-z]{2,6};|</?[a-z]+ ?/?>|\\u[0-9a-f]{4}|%[0-9A-F]{2}|\{\{|\}\}")
 _GAP = re.compile(r"\S(\s{2,})(?=\S)")
 #: Delimiters of tables; a comma also stands in prose, so its alignment has to be on several cells.
@@ -37,12 +36,19 @@ _DELIMITERS = (("|", 1), ("\t", 1), (";", 1), (",", 2))
 
 def dense_length(text: str) -> int:
     """Characters that are no white space."""
-    return len("".join(text.split()))
+    return sum(map(len, text.split()))
 
 
-def run_length(pattern: re.Pattern[str], text: str) -> int:
-    """Characters in the pattern's matches."""
-    return sum(map(len, pattern.findall(text)))
+def count_symbols(text: str) -> int:
+    """Characters that are no letters, digits and white space; underscores count. ASCII signs are counted one by one, which is
+    far faster than to match them."""
+    n = sum(map(text.count, _SIGNS))
+    return n if text.isascii() else n + len(_WIDE_SYMBOL.findall(text))
+
+
+def count_digits(text: str) -> int:
+    n = sum(map(text.count, "0123456789"))
+    return n if text.isascii() else n + len(_WIDE_DIGIT.findall(text))
 
 
 def autocorrelation(lengths: list[int], lag: int) -> float:
@@ -57,15 +63,82 @@ def autocorrelation(lengths: list[int], lag: int) -> float:
     return sum((lengths[i] - mean) * (lengths[i + lag] - mean) for i in range(n - lag)) / var
 
 
-def indentation_period(lines: list[str], longest: int = 6) -> int:
-    """Least period (up to ``longest``) after which the indents repeat, 0 where they don't or there is no indent."""
+def least_period(values: list) -> int:
+    """Least number of places after which all values repeat, 0 where none does within half their number (prefix function)."""
+    n = len(values)
+    back = [0] * n
+    for i in range(1, n):
+        k = back[i - 1]
+        while k and values[i] != values[k]:
+            k = back[k - 1]
+        back[i] = k + (values[i] == values[k])
+    p = n - back[-1] if n else 0
+    return p if 0 < p <= n // 2 else 0
+
+
+def indentation_period(lines: list[str]) -> int:
+    """Least period after which the indents repeat, 0 where they don't, there are too few lines or there is no indent."""
     indents = [len(x) - len(x.lstrip()) for x in lines]
-    if len(indents) < 4 or not any(indents):
-        return 0
-    for p in range(1, min(longest, len(indents) // 2) + 1):
-        if all(indents[i] == indents[i - p] for i in range(p, len(indents))):
-            return p
-    return 0
+    return least_period(indents) if len(indents) >= 4 and any(indents) else 0
+
+
+def opening(line: str) -> str | None:
+    """The make of a line's first sign group: letters as ``a``, digits as ``9``, other signs as they are; None for a plain word.
+
+    A group is signs alone, or one short run of letters or digits that signs end or enclose: ``-``, ``9.``, ``(a)``, ``[]``.
+    A letter ``o`` that stands alone is a typed bullet.
+    """
+    line = line.lstrip()
+    if line[:1] == "[" and "]" in line[1:3]:
+        return "[]"
+    first, _, rest = line.partition(" ")
+    if not rest.strip() or len(first) > 6:
+        return None
+    core = first.strip("().]:")
+    if not any(c.isalnum() for c in first):
+        return first
+    if first == "o":
+        return first
+    if core.isalnum() and core != first and first[-1] in ").:]" and (core.isdigit() and len(core) <= 3 or len(core) == 1 or len(core) <= 4 and not core.lower().strip("ivxlc")):
+        return first.replace(core, "9" if core.isdigit() else "a", 1)
+    return None
+
+
+def closing(line: str) -> str | None:
+    """The make of a line's end: ``;``, or a number after a colon or an equals sign; None for any other."""
+    line = line.rstrip()
+    if line.endswith(";"):
+        return ";" if len(line) < 120 else None
+    head, sign, tail = line.rpartition(":" if ":" in line else "=")
+    tail = tail.strip().lstrip("+-").removesuffix("%").rstrip().replace(",", "").replace(".", "")
+    return ": 9" if sign and tail.isdigit() and head.strip() and len(head) < 200 else None
+
+
+def periodic(keys: list[str | None], least: int) -> list[bool]:
+    """Lines whose make comes back with its period, ``least`` times or more; with a period above 1 the lines between as well.
+
+    The period of a make is the most frequent distance of one of its lines to the next (the shortest of these on ties).
+    """
+    places: dict[str, list[int]] = {}
+    for i, k in enumerate(keys):
+        if k is not None:
+            places.setdefault(k, []).append(i)
+    out = [False] * len(keys)
+    for own in places.values():
+        if len(own) < least:
+            continue
+        gaps = Counter(b - a for a, b in zip(own, own[1:]))
+        period = min(gaps, key=lambda g: (-gaps[g], g))
+        run = [own[0]]
+        for a, b in zip(own, [*own[1:], -1]):
+            if b - a == period:
+                run.append(b)
+                continue
+            if len(run) >= (least if period == 1 else max(3, least)):
+                for i in range(run[0], run[-1] + 1):
+                    out[i] = True
+            run = [b]
+    return out
 
 
 def table_lines(lines: list[str]) -> list[bool]:
@@ -107,22 +180,11 @@ def table_lines(lines: list[str]) -> list[bool]:
 
 
 def list_lines(lines: list[str], taken: list[bool]) -> list[bool]:
-    """Lines with an item marker, or in a run of short lines that all end alike (``;``, or a number after a colon)."""
+    """Lines whose edges come back with a period, or whose indents do: items with a marker, of one ending, or nested ones."""
     n = len(lines)
-    marker = [not taken[i] and bool(_MARKER.match(lines[i])) for i in range(n)]
-    semi = [not taken[i] and lines[i].rstrip().endswith(";") and len(lines[i]) < 120 for i in range(n)]
-    number = [not taken[i] and bool(_TRAILING_NUMBER.match(lines[i])) for i in range(n)]
-    out = [False] * n
-    for flag in (marker, semi, number):
-        i = 0
-        while i < n:
-            j = i
-            while j < n and flag[j]:
-                j += 1
-            if j - i >= (2 if flag is marker else 3):
-                for k in range(i, j):
-                    out[k] = True
-            i = max(j, i + 1)
+    open_ = [None if t else opening(x) for x, t in zip(lines, taken)]
+    close = [None if t else closing(x) for x, t in zip(lines, taken)]
+    out = [(a or b) and not t for a, b, t in zip(periodic(open_, 2), periodic(close, 3), taken)]
     # Lines without markers whose indents repeat (nested items) are a list too, unless their lengths run on as prose does.
     free = [i for i in range(n) if not taken[i] and not out[i]]
     inner = [lines[i] for i in free]
@@ -132,15 +194,18 @@ def list_lines(lines: list[str], taken: list[bool]) -> list[bool]:
     return out
 
 
-def is_junk_text(text: str, common: frozenset[str], least_words: int = 12) -> bool:
-    """Whether a stretch of text is no language: blobs, markup, repetition, menus, words in no order or random signs."""
+def is_junk_text(text: str, common: frozenset[str], least_words: int = 12, words: list[str] | None = None) -> bool:
+    """Whether a stretch of text is no language: blobs, markup, repetition, menus, words in no order or random signs.
+
+    ``words`` are those of the text in lower case, where they are known already.
+    """
     dense = "".join(text.split())
     if not dense:
         return False
     tokens = _TOKEN.findall(text)
-    words = _WORD.findall(text.lower())
-    letters = run_length(_LETTER, dense)
-    symbols = run_length(_SYMBOL, dense)
+    words = _WORD.findall(text.lower()) if words is None else words
+    symbols = count_symbols(text)
+    letters = len(dense) - symbols - count_digits(text)
     if len(dense) >= 40 and symbols / len(dense) > 0.3 and letters / len(dense) < 0.6:
         return True
     if sum(len(m.group()) for m in _MARKUP.finditer(text)) > 0.3 * len(dense):
@@ -177,7 +242,7 @@ def analyse(text: str, common: frozenset[str]) -> tuple:
     lines = [x for x in text.splitlines() if x.strip()]
     words = _WORD.findall(text.lower())
     dense = dense_length(text)
-    symbols = run_length(_SYMBOL, text)
+    symbols = count_symbols(text)
     lengths = [len(x) for x in lines]
     tables = table_lines(lines)
     lists = list_lines(lines, tables)
@@ -201,10 +266,11 @@ def analyse(text: str, common: frozenset[str]) -> tuple:
     if rest:
         # A stretch is judged on its own where it is long enough, else with the other stretches.
         whole = "\n".join(rest)
+        all_words = words if len(rest) == 1 and weight["list"] + weight["table"] + weight["junk"] == 0 else None
         for part in rest:
             size = dense_length(part)
             alone = size >= 60 or len(_WORD.findall(part)) >= 12
-            weight["junk" if is_junk_text(part if alone else whole, common) else "prose"] += size
+            weight["junk" if is_junk_text(part if alone else whole, common, words=all_words) else "prose"] += size
     # A heading over a list or a table is part of it.
     if weight["prose"] and len(rest) == 1 and len(rest[0].split()) <= 3 and weight["list"] + weight["table"] > 0:
         weight["list" if weight["list"] >= weight["table"] else "table"] += weight["prose"]
