@@ -38,26 +38,35 @@ def _type_flags() -> dict[str, Column]:
     }
 
 
+def value_counts(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, value, n) of the distinct trimmed values, NULL for the null-like ones: each is parsed once, however often it occurs."""
+    return cells.withColumn("value", V.present(F.col("value"))).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cells_that(test: Column) -> Column:
+    return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+
+
 def parse_counts(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """n_present and how many present cells parse as integer, number, date and boolean (which also takes 0 and 1)."""
     by = [*(by or []), "column_name"]
-    p = V.with_is_date(cells.withColumn("value", V.present(F.col("value"))).filter("value IS NOT NULL"), "value", "is_date", wide=True)
+    p = V.with_is_date(value_counts(cells, by).filter("value IS NOT NULL"), "value", "is_date", wide=True)
     v = F.col("value")
     return p.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_present"),
-        F.count_if(V.parse_int(v).isNotNull()).alias("n_integer"),
-        F.count_if(V.numeric_value(v).isNotNull()).alias("n_number"),
-        F.count_if("is_date").alias("n_date"),
-        F.count_if(V.parse_bool(v).isNotNull() | v.isin("0", "1")).alias("n_boolean"),
+        F.sum("n").alias("n_present"),
+        _cells_that(V.parse_int(v).isNotNull()).alias("n_integer"),
+        _cells_that(V.numeric_value(v).isNotNull()).alias("n_number"),
+        _cells_that(F.col("is_date")).alias("n_date"),
+        _cells_that(V.parse_bool(v).isNotNull() | v.isin("0", "1")).alias("n_boolean"),
     )
 
 
 def infer_types(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """inferred_type by the ordered tests bool, int, float, percent, currency with a sign of money, date; else string or empty."""
     by = [*(by or []), "column_name"]
-    p = V.with_is_date(cells.withColumn("value", V.present(F.col("value"))), "value", "is_date", wide=True)
+    p = V.with_is_date(value_counts(cells, by), "value", "is_date", wide=True)
     flags = _type_flags()
-    a = p.groupBy(*by).agg(F.count("value").alias("n"), *[F.count_if(f).alias(f"n_{k}") for k, f in flags.items()])
+    a = p.groupBy(*by).agg(_cells_that(F.col("value").isNotNull()).alias("n"), *[_cells_that(f).alias(f"n_{k}") for k, f in flags.items()])
     rate = lambda k: F.col(f"n_{k}") / F.col("n") >= THRESHOLD
     kind = (
         F.when(F.col("n") == 0, "empty").when(rate("bool"), "bool").when(rate("int"), "int").when(rate("float"), "float").when(rate("percent"), "percent")

@@ -222,14 +222,28 @@ def quantile_edges(numbers: DataFrame, keys: list[str], bins: int = 10) -> DataF
     whole = Window.partitionBy(*keys)
     ranges = b.groupBy(*keys, "range").agg(F.sum("n").alias("rn"))
     ranges = ranges.select(*keys, "range", F.coalesce(F.sum("rn").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("rn").over(whole).alias("total"))
-    within = Window.partitionBy(*keys, "range").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = b.withColumn("upto", F.sum("n").over(within)).join(ranges, [*keys, "range"])
-    hi = F.col("before") + F.col("upto")
     at = [F.least(F.col("total") - 1, F.bround(F.col("total") * F.lit(i) / F.lit(bins))) for i in range(1, bins)]
-    hit = F.lit(False)
-    for i in at:
-        hit = hit | ((i >= hi - F.col("n")) & (i < hi))
-    return ranked.filter(hit).groupBy(*keys).agg(F.array_sort(F.collect_set("number")).alias("edges"))
+
+    def holds(low: Column, high: Column) -> Column:
+        hit = F.lit(False)
+        for i in at:
+            hit = hit | ((i >= low) & (i < high))
+        return hit
+
+    # Only ranges that hold one of the positions are sorted.
+    wanted = ranges.filter(holds(F.col("before"), F.col("before") + F.col("rn"))).select(*keys, "range", "before", "total")
+    within = Window.partitionBy(*keys, "range").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.col("upto")
+    ranked = b.join(wanted, [*keys, "range"]).withColumn("upto", F.sum("n").over(within))
+    return ranked.filter(holds(upto - F.col("n"), upto)).groupBy(*keys).agg(F.array_sort(F.collect_set("number")).alias("edges"))
+
+
+def bin_of(number: Column, edges: Column, bins: int = 10) -> Column:
+    """The number of edges below a number; spelled out, so that it is compiled with its stage."""
+    out = F.lit(0)
+    for i in range(bins - 1):
+        out = out + F.when(number > F.get(edges, F.lit(i)), 1).otherwise(0)
+    return out
 
 
 def psi(pairs: DataFrame, keys: list[str], floor: float = 1e-4) -> DataFrame:
@@ -254,7 +268,7 @@ def load_shifts(values: DataFrame, before: DataFrame, key: str = "source_object_
     numbers = values.filter(F.col("source_column").isin(QUANTILE_COLUMNS) & F.col("number").isNotNull()).groupBy(*K, "number").agg(F.sum("n").alias("n"))
     numbers = cut(numbers)
     edges = cut(quantile_edges(numbers, K))
-    binned = lambda rows: rows.withColumn("bin", F.size(F.filter("edges", lambda e: F.col("number") > e)).cast("string"))
+    binned = lambda rows: rows.withColumn("bin", bin_of(F.col("number"), F.col("edges")).cast("string"))
     own = binned(numbers.join(edges, K)).groupBy(*K, "bin").agg(F.sum("n").alias("expected"))
     expected = own.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", F.lit(0).cast("long").alias("actual"))
     old = edges.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", "edges")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from intakeforge.functions import cells as C
+from intakeforge.functions import values as V
 
 START, PLAIN, QUOTED, CLOSED, BROKEN = range(5)
 QUOTE, DELIMITER, NEWLINE, OTHER = range(4)
@@ -198,6 +199,41 @@ def failed_records(raw: DataFrame, objects: DataFrame) -> DataFrame:
     return read_records(raw, objects).filter(F.col("reason").isin("encoding", "quoting", "column_count", "bad_value")).select("raw_id", "reason")
 
 
+def typed_rows(read: DataFrame, objects: DataFrame) -> DataFrame:
+    """(raw_id, source_object_id, row_idx, reason, at, numbers, days, flags, texts): good records as typed values by header.
+
+    Objects have columns of their own, so that a row holds its values in one map per type: numbers (int, float, currency and percent,
+    the latter in percent units, brackets negate), days, flags (bool) and texts. Null-like cells are in none. A record that fails
+    has no maps. Headers that occur twice in an object count from the first.
+    """
+    lay = layouts(objects).select("source_object_id", "types")
+    names = objects.filter("source_object_id IS NOT NULL").groupBy("source_object_id").agg(F.max(F.struct("ingested_at", "columns_json")).alias("r")).select("source_object_id", F.from_json("r.columns_json", "array<string>").alias("names"))
+    j = read.join(lay.join(names, "source_object_id"), "source_object_id", "left")
+    cell = F.transform("cells", lambda c, i: F.struct(F.get("names", i).alias("k"), V.present(c).alias("v"), F.get("types", i).alias("t")))
+    good = F.when(F.col("reason").isNull(), F.filter(cell, lambda x: x["v"].isNotNull() & x["k"].isNotNull()))
+    j = j.withColumn("good", F.filter(good, lambda x, i: F.array_position(F.transform(good, lambda y: y["k"]), x["k"]) == i + 1))
+    kind = lambda x: F.substring_index(x["t"], ":", 1)
+
+    def day(x: Column) -> Column:
+        token = F.substring_index(x["t"], ":", -1)
+        out = F.when(F.lit(False), F.lit(None).cast("date"))
+        for t in V.CELL_DATE_TOKENS:
+            out = out.when(token == t, V.parse_date_as(x["v"], t))
+        return F.coalesce(out, V.cell_date(x["v"]))
+
+    def of(kinds: list[str], value) -> Column:  # noqa: ANN001
+        own = F.filter("good", lambda x: kind(x).isin(kinds))
+        return F.map_from_entries(F.transform(own, lambda x: F.struct(x["k"], value(x))))
+
+    typed = ["int", "float", "currency", "percent", "date", "bool"]
+    texts = F.filter("good", lambda x: ~F.coalesce(kind(x), F.lit("string")).isin(typed))
+    return j.select(
+        "raw_id", "source_object_id", "row_idx", "reason", "at",
+        of(["int", "float", "currency", "percent"], lambda x: V.cell_number(x["v"])).alias("numbers"), of(["date"], day).alias("days"),
+        of(["bool"], lambda x: F.lower(x["v"]).isin(V.TRUE_TOKENS)).alias("flags"), F.map_from_entries(F.transform(texts, lambda x: F.struct(x["k"], x["v"]))).alias("texts"),
+    )
+
+
 # --- whole files in chunks --------------------------------------------------------------------------------------------
 
 

@@ -12,15 +12,41 @@ from intakeforge.session import cut, table
 registry = Registry()
 
 
-@registry.add()
+_NULLS = "'', 'na', 'n/a', 'null', 'none', 'nan', '-', '--', '#n/a', 'nil'"
+_UNSIGNED = r"([0-9]{1,3}(,[0-9]{3})+|[0-9]+)([.][0-9]+)?"
+_MONEY = r"([$]|€|£|USD|EUR|GBP|CAD)"
+_AMOUNT = rf"[+-]?({_MONEY} ?)?{_UNSIGNED}( ?{_MONEY})?"
+_DATES = {
+    "ymd-": ("[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "%Y-%m-%d"),
+    "ymd/": ("[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}", "%Y/%m/%d"),
+    "mdy/": ("[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "%m/%d/%Y"),
+    "dmy/": ("[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "%d/%m/%Y"),
+    "dmy.": ("[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}", "%d.%m.%Y"),
+    "dmy-mon": ("[0-9]{1,2}-[A-Za-z]{3,}-[0-9]{4}", "%d-%b-%Y"),
+}
+_IS_DATE = {t: rf"(regexp_full_match(v, '{shape}') AND TRY_STRPTIME(regexp_replace(v, '-([A-Za-z]{{3}})[A-Za-z]*-', '-\1-'), '{fmt}') IS NOT NULL)" for t, (shape, fmt) in _DATES.items()}
+_FITS_SQL = f"""CASE kind WHEN 'int' THEN regexp_full_match(v, '[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)') WHEN 'float' THEN regexp_full_match(v, '[+-]?{_UNSIGNED}')
+  WHEN 'currency' THEN regexp_full_match(v, '{_AMOUNT}') OR regexp_full_match(v, '[(]{_AMOUNT}[)]') WHEN 'percent' THEN regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)? ?%') WHEN 'bool' THEN lower(v) IN ('true', 'false', 't', 'f', 'yes', 'no', 'y', 'n')
+  WHEN 'date' THEN CASE {" ".join(f"WHEN fmt = '{t}' THEN {test}" for t, test in _IS_DATE.items())} ELSE {" OR ".join(_IS_DATE.values())} END ELSE true END"""
+
+
+@registry.add(
+    f"""WITH o AS (SELECT source_object_id, COALESCE(delimiter, ',') d, COALESCE(header_row, 0) h, len(from_json(columns_json, '["VARCHAR"]')) nc, from_json(profile_json, '[{{"position":"INTEGER","inferred_type":"VARCHAR","date_format":"VARCHAR"}}]') p FROM source_object),
+r AS (SELECT raw_id, raw_text t, d, nc, p, '("([^"]|"")*"|[^"' || d || '][^' || d || ']*|)' c, '[' || d || ']' s FROM raw_records JOIN o USING (source_object_id) WHERE row_idx > h AND NOT regexp_full_match(raw_text, '\\s*')),
+g AS (SELECT raw_id, nc, p, regexp_matches(t, '[\\x{{FFFD}}\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]') undecoded, NOT regexp_matches(t, '^' || c || '(' || s || c || ')*$') broken, regexp_extract_all(d || t, s || c, 1) cells FROM r),
+v AS (SELECT raw_id, i, x.inferred_type kind, x.date_format fmt, regexp_replace(CASE WHEN starts_with(cells[i], '"') THEN replace(substring(cells[i], 2, length(cells[i]) - 2), '""', '"') ELSE cells[i] END, '^\\s+|\\s+$', '', 'g') v
+  FROM (SELECT raw_id, cells, unnest(range(1, nc + 1)) i, p FROM g WHERE NOT undecoded AND NOT broken AND len(cells) = nc), (SELECT unnest(p) x) WHERE x.position = i - 1),
+bad AS (SELECT DISTINCT raw_id FROM v WHERE lower(v) NOT IN ({_NULLS}) AND NOT {_FITS_SQL})
+SELECT raw_id, CASE WHEN undecoded THEN 'encoding' WHEN broken THEN 'quoting' WHEN len(cells) <> nc THEN 'column_count' ELSE 'bad_value' END reason FROM g WHERE undecoded OR broken OR len(cells) <> nc OR raw_id IN (SELECT raw_id FROM bad)"""
+)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return records.failed_records(table(spark, d, "raw_records"), table(spark, d, "source_object"))
 
 
 @registry.add()
 def p2_load(spark: SparkSession, d: str) -> DataFrame:
-    """Valid records as typed-checked cells and failed ones with reason and place, in one pass."""
-    return records.read_records(table(spark, d, "raw_records"), table(spark, d, "source_object")).select("raw_id", "source_object_id", "row_idx", "reason", "at", F.to_json("cells").alias("cells"))
+    """Valid records as typed rows and failed ones with reason and place, in one pass."""
+    return records.typed_rows(records.read_records(table(spark, d, "raw_records"), table(spark, d, "source_object")), table(spark, d, "source_object"))
 
 
 @registry.add()
@@ -41,10 +67,6 @@ def p4_unified_rows(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unified_rows(good, columns).select("raw_id", "source_object_id", F.to_json("cells").alias("cells"))
 
 
-_NULLS = "'', 'na', 'n/a', 'null', 'none', 'nan', '-', '--', '#n/a', 'nil'"
-_UNSIGNED = r"([0-9]{1,3}(,[0-9]{3})+|[0-9]+)([.][0-9]+)?"
-_MONEY = r"([$]|€|£|USD|EUR|GBP|CAD)"
-_AMOUNT = rf"[+-]?({_MONEY} ?)?{_UNSIGNED}( ?{_MONEY})?"
 _NUMBER_SQL = rf"""CASE WHEN regexp_full_match(cell, '[(]{_AMOUNT}[)]') THEN -abs(TRY_CAST(regexp_replace(cell, '[^0-9.+-]', '', 'g') AS DOUBLE))
   WHEN regexp_full_match(cell, '{_AMOUNT}') OR regexp_full_match(cell, '[+-]?[0-9]+([.][0-9]+)? ?%') THEN TRY_CAST(regexp_replace(cell, '[^0-9.+-]', '', 'g') AS DOUBLE) END"""
 _DATE_SQL = r"""COALESCE(
