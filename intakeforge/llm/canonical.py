@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,9 +75,10 @@ def _tokens(v: pd.Series) -> pd.Series:
     return v.map(tokens_of)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _deletions(v: pd.Series) -> pd.Series:
-    return v.map(deletions)
+    """Hashes of the `deletions`, which are shorter to join; what meets is compared letter by letter anyway."""
+    return v.map(lambda t: [xxhash.xxh64_intdigest(d) - (1 << 63) for d in deletions(t)])
 
 
 @F.pandas_udf(T.IntegerType())
@@ -121,13 +123,14 @@ def short_forms(tokens: DataFrame, listed: DataFrame) -> DataFrame:
 
 def _near_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(token, repaired): the best close word of each of ``tokens`` (token, n) among ``words`` (token, n, spec), where there is one."""
-    left = tokens.filter(F.length("token") >= 3).select("token", "n").withColumn("variant", F.explode(_deletions("token")))
-    right = words.filter(F.length("token") >= 3).select(F.col("token").alias("word"), F.col("n").alias("word_n"), F.col("spec").alias("word_spec")).withColumn("variant", F.explode(_deletions("word")))
+    left = tokens.filter(F.length("token") >= 3).select("token", F.explode(_deletions("token")).alias("variant"))
+    right = words.filter(F.length("token") >= 3).select(F.col("token").alias("word"), F.explode(_deletions("token")).alias("variant"))
     # Sizes are estimated before the variants are exploded, so that neither side may be broadcast by them.
-    pairs = left.hint("merge").join(right, "variant").filter((F.col("token") != F.col("word")) & _same_digits("token", "word"))
+    pairs = left.hint("merge").join(right, "variant").filter((F.col("token") != F.col("word")) & (F.abs(F.length("token") - F.length("word")) <= F.when(F.length("token") >= 6, 2).otherwise(1))).select("token", "word").distinct()
+    pairs = pairs.filter(_same_digits("token", "word")).withColumn("distance", _distance("token", "word")).filter(F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1))
+    pairs = pairs.join(tokens.select("token", "n"), "token").join(words.select(F.col("token").alias("word"), F.col("n").alias("word_n"), F.col("spec").alias("word_spec")), "word")
     expected = F.col("word_n") * F.when(F.col("word_spec") > 0, LIST_TYPO_RATE).otherwise(TYPO_RATE)
-    pairs = pairs.filter((F.col("n") == 0) | (F.col("n") <= expected + 2 * F.sqrt(expected))).select("token", "word", "word_n", "word_spec").distinct()
-    pairs = pairs.withColumn("distance", _distance("token", "word")).filter(F.col("distance") <= F.when(F.length("token") >= 6, 2).otherwise(1))
+    pairs = pairs.filter((F.col("n") == 0) | (F.col("n") <= expected + 2 * F.sqrt(expected)))
     return pairs.groupBy("token").agg(F.min(F.struct("distance", (-F.col("word_spec")).alias("s"), (-F.col("word_n")).alias("k"), "word")).alias("b")).select("token", F.col("b.word").alias("repaired"))
 
 
@@ -141,7 +144,7 @@ def token_repairs(counts: DataFrame) -> DataFrame:
     """
     # A short token that abbreviates a word of the list is no misspelling of another short word.
     short = short_forms(counts.filter("spec = 0 AND length(token) <= 4").select("token"), counts.filter("spec > 0").select(F.col("token").alias("long"))).select("token").distinct()
-    open_ = cut(counts.filter("spec = 0").join(short, "token", "left_anti"))
+    open_ = counts.filter("spec = 0").join(short, "token", "left_anti")
     # Rarer words cannot have a misspelling that was decided.
     decided = cut(_near_words(open_.filter("n > 0"), counts.filter("spec > 0 OR n > 2")))
     stays = counts.filter("spec > 0 OR n > 0").join(decided.select("token"), "token", "left_anti")
@@ -230,8 +233,10 @@ def map_values(queries: DataFrame, entries: DataFrame, history: DataFrame) -> Da
     empty = cut(empty_words(cut(_vote(reference, rp))))
     voted = cut(_vote(reference, _without(rp, empty)))
     q = cut(_without(_phrases(asked, repairs), empty))
-    found = cut(soft_tfidf(q, voted))
-    open_ = q.join(found.filter(F.col("score") >= 1).select("scope", "value").distinct(), ["scope", "value"], "left_anti")
+    # Wordings are far fewer than values: each is ranked once.
+    ranked = cut(soft_tfidf(q.select("scope", "phrase").distinct(), voted))
+    found = q.join(ranked, ["scope", "phrase"]).drop("phrase")
+    open_ = q.join(ranked.filter(F.col("score") >= 1).select("scope", "phrase").distinct(), ["scope", "phrase"], "left_anti")
 
     # Written together, or with a word too many letters apart: whole wordings by edit distance of their letters. Where all
     # words are known ones, different letters rather mean different words.
@@ -240,17 +245,20 @@ def map_values(queries: DataFrame, entries: DataFrame, history: DataFrame) -> Da
     spelled = _letters(reference.select("scope", "value", "tokens").distinct(), full).join(reference.drop("tokens"), ["scope", "value"])
     spelled = spelled.groupBy("scope", F.col("letters").alias("word"), "target").agg(F.sum("n").alias("n"))
     spelled = spelled.groupBy("scope", "word").agg(F.max(F.struct("n", "target")).alias("b")).select("scope", "word", F.col("b.target").alias("target"), F.col("b.n").alias("n"))
-    near = in_order.withColumn("variant", F.explode(_deletions("letters"))).hint("merge").join(spelled.withColumn("variant", F.explode(_deletions("word"))), ["scope", "variant"])
-    near = near.select("scope", "value", "letters", "all_known", "word", "target", "n").distinct().withColumn("distance", _distance("letters", "word"))
+    met = in_order.select("scope", "letters", F.explode(_deletions("letters")).alias("variant")).hint("merge").join(spelled.select("scope", "word", F.explode(_deletions("word")).alias("variant")), ["scope", "variant"])
+    met = met.filter((F.length("letters") >= 4) & (F.abs(F.length("letters") - F.length("word")) <= 2)).select("scope", "letters", "word").distinct().withColumn("distance", _distance("letters", "word"))
+    near = in_order.join(met, ["scope", "letters"]).join(spelled, ["scope", "word"])
     near = near.filter(_same_digits("letters", "word") & (F.length("letters") >= 4) & (F.col("distance") <= F.when(F.length("letters") >= 8, 2).otherwise(1)))
     near = near.select("scope", "value", "target", "n", (F.lit(0.999) - F.when(F.col("all_known"), 2).otherwise(1) * F.col("distance") / F.length("letters")).alias("score"), F.lit("letters").alias("how"))
 
-    best = near.unionByName(found).filter(F.col("score") >= MIN_SCORE).groupBy("scope", "value").agg(F.max(F.struct("score", "n", "target", "how")).alias("b")).select("scope", "value", F.col("b.target").alias("target"), F.col("b.score").alias("score"), F.col("b.how").alias("how"))
+    best = near.filter(F.col("score") >= MIN_SCORE).unionByName(found).groupBy("scope", "value").agg(F.max(F.struct("score", "n", "target", "how")).alias("b")).select("scope", "value", F.col("b.target").alias("target"), F.col("b.score").alias("score"), F.col("b.how").alias("how"))
     return queries.filter("scope IS NOT NULL AND value IS NOT NULL").select("scope", "value").distinct().join(best, ["scope", "value"], "left").select("scope", "value", F.coalesce("target", F.lit(NONE)).alias("target"), "score", F.coalesce("how", F.lit("unmatched")).alias("how"))
 
 
 def soft_tfidf(queries: DataFrame, entries: DataFrame) -> DataFrame:
-    """Scores of (scope, value, phrase) against (scope, phrase, target, n): soft cosine of IDF weights, 1 for equal wordings.
+    """Scores of distinct (scope, phrase) against (scope, phrase, target, n): soft cosine of IDF weights, 1 for equal wordings.
+
+    Output: scope, phrase, target, n, score, how; the best entry of each target only, and those that score too little are left out.
 
     Misspelt words were repaired before; words that stand for each other (`learned_synonyms`) and abbreviations of reference
     words count in part. IDF counts wordings; a word that nothing in the scope is close to weighs most, so that a value with a
@@ -263,7 +271,7 @@ def soft_tfidf(queries: DataFrame, entries: DataFrame) -> DataFrame:
     et = et.join(idf, ["scope", "other"])
     norms = et.groupBy("scope", "id").agg(F.sum(F.col("ew") * F.col("ew")).alias("en2"))
 
-    q = queries.select("scope", "value", F.size("phrase").alias("qsize"), F.explode("phrase").alias("word"))
+    q = queries.select("scope", F.col("phrase").alias("value"), F.size("phrase").alias("qsize"), F.explode("phrase").alias("word"))
     asked = q.select("scope", "word").distinct()
     same = asked.join(idf.withColumn("word", F.col("other")), ["scope", "word"]).select("scope", "word", "other", "ew", F.lit(1.0).alias("sim"))
     alike = asked.join(learned_synonyms(entries), "word").join(idf, ["scope", "other"]).select("scope", "word", "other", "ew", "sim")
@@ -288,7 +296,9 @@ def soft_tfidf(queries: DataFrame, entries: DataFrame) -> DataFrame:
     equal = (F.col("shared") == F.col("qsize")) & (F.col("shared") == F.col("size"))
     sure = F.when(F.col("n") >= SPEC_WEIGHT, 1.0).otherwise(1 - 0.1 / F.col("n"))
     score = F.when(equal, 1.0).otherwise(F.least(F.lit(0.998), sure * F.col("dot") / F.sqrt(F.col("qn2") * F.col("en2"))))
-    return dots.join(norms, ["scope", "id"]).select("scope", "value", "target", "n", score.alias("score"), F.lit("words").alias("how"))
+    scored = dots.join(norms, ["scope", "id"]).withColumn("score", score).filter(F.col("score") >= MIN_SCORE)
+    best = scored.groupBy("scope", "value", "target").agg(F.max(F.struct("score", "n")).alias("b"))
+    return best.select("scope", F.col("value").alias("phrase"), "target", "b.n", "b.score", F.lit("words").alias("how"))
 
 
 def map_proposals(proposals: DataFrame, feeds: DataFrame, specs: DataFrame) -> DataFrame:

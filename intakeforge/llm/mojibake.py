@@ -2,7 +2,8 @@
 
 For every text each chain (bytes by the wrong encoding, text by the right one, applied once or more) gives a candidate. A
 candidate is as long as zstandard makes it with the best of several per-language dictionaries of frequent words, plus the
-cost of its chain; the shortest one wins, and the text stays as it is where that is not shorter.
+cost of its chain; the shortest one wins, and the text stays as it is where that is not shorter. Texts of some 30 characters are
+too short for zstandard alone, which tells whole bytes: charges for strange signs and counts of words decide with it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intakeforge.session import cut
+
 # Letters beyond ASCII of the languages that get a dictionary of their own.
 ALPHABETS = {
     "german": "äöüßÄÖÜẞ",
@@ -38,6 +41,8 @@ BYTE_STEP_COST = 1.0
 #: Bytes that a character costs that no language and no typed text uses, and a capital inside a small word.
 STRANGE_COST, CAPITAL_COST = 3.5, 1.5
 LEAST_GAIN = 0.5
+#: Texts that one task judges, each some tenths of a millisecond: their bytes say nothing about the work.
+TEXTS_A_TASK = 20_000
 #: Bytes that each doubling of a word's count saves: zstandard alone charges all words of a dictionary about alike.
 COUNT_GAIN = 0.5
 #: Words and bytes of the dictionaries, which go to every task.
@@ -228,7 +233,8 @@ def find_garbled(rows: DataFrame, key: str = "line_id", columns: tuple[str, ...]
     beyond that bound they are joined to the texts that need them.
     """
     cells = rows.select(key, *columns).unpivot([key], list(columns), "column_name", "text").filter(suspicious(F.col("text")))
-    texts = cells.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    texts = cut(cells.groupBy("text").agg(F.count(F.lit(1)).alias("n")))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-texts.count() // TEXTS_A_TASK))
     counts = word_counts(texts, max_words + 1)
     whole, counts = len(counts) <= max_words, counts[:max_words]
     known = rows.sparkSession.sparkContext.broadcast((build_dictionaries(counts), dict(counts)))
@@ -256,7 +262,7 @@ def find_garbled(rows: DataFrame, key: str = "line_id", columns: tuple[str, ...]
         judged = texts.select("text", F.lit(None).cast("array<struct<word:string,n:bigint>>").alias("rare"))
     else:
         judged = texts.select("text").join(rare_counts(texts, known), "text", "left")
-    found = judged.mapInArrow(judge, "text string, chain string, restored string")
+    found = judged.repartition(tasks).mapInArrow(judge, "text string, chain string, restored string")
     return cells.join(found, "text").select(key, "column_name", "text", "chain", "restored")
 
 
