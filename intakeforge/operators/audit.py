@@ -89,6 +89,12 @@ def chain_heads(chained: DataFrame, id_: str, span: str) -> DataFrame:
     return chained.groupBy(span).agg(F.max_by("hash", id_).alias("head"), F.count(F.lit(1)).alias("entries"))
 
 
+def tail(entries: DataFrame, id_: str, span: str, k: int) -> DataFrame:
+    """The last ``k`` entries of each span with ``back``, 1 for the last; a report, ``k`` is part of it."""
+    w = Window.partitionBy(span).orderBy(F.desc(id_))
+    return entries.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= k)
+
+
 def moved_heads(heads: DataFrame, anchors: DataFrame, span: str) -> DataFrame:
     """(span, reason) of spans whose head is not the anchored one: ``shorter``, ``longer`` or ``other``; NULL spans are told apart."""
     old = anchors.select(F.col(span).alias("_span"), F.col("head").alias("_head"), F.col("entries").alias("_entries"))

@@ -158,6 +158,12 @@ def raw_table_name(feed: str, object_id: int) -> str:
     return f"raw_{'_'.join(kept.split())}_{object_id}"
 
 
+def raw_table_column(feed: Column, object_id: Column) -> Column:
+    """`raw_table_name` of columns."""
+    name = F.btrim(F.regexp_replace(F.lower(feed), "[^a-z0-9]+", "_"), F.lit("_"))
+    return F.concat(F.lit("raw_"), name, F.lit("_"), object_id.cast("string"))
+
+
 def read_staged(spark: SparkSession, folder: str) -> DataFrame:
     """Staged rows as they were written, NULL cells as empty text."""
     df = spark.read.parquet(folder)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intakeforge.functions import values as V
 from intakeforge.operators.casting import quoted
+from intakeforge.session import cut
 
 THRESHOLD = 0.95
 
@@ -67,12 +68,7 @@ def infer_types(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     p = V.with_is_date(value_counts(cells, by), "value", "is_date", wide=True)
     flags = _type_flags()
     a = p.groupBy(*by).agg(_cells_that(F.col("value").isNotNull()).alias("n"), *[_cells_that(f).alias(f"n_{k}") for k, f in flags.items()])
-    rate = lambda k: F.col(f"n_{k}") / F.col("n") >= THRESHOLD
-    kind = (
-        F.when(F.col("n") == 0, "empty").when(rate("bool"), "bool").when(rate("int"), "int").when(rate("float"), "float").when(rate("percent"), "percent")
-        .when(rate("currency") & (F.col("n_marker") > 0), "currency").when(rate("date"), "date").otherwise("string")
-    )
-    return a.select(*by, kind.alias("inferred_type"))
+    return a.select(*by, _inferred().alias("inferred_type"))
 
 
 def detect_date_formats(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -84,6 +80,14 @@ def detect_date_formats(cells: DataFrame, by: list[str]) -> DataFrame:
     return a.select(*by, F.when(best / F.col("n") >= THRESHOLD, token).alias("date_format"))
 
 
+def cell_types(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(column_name, cell_type, n): cells that are empty, numbers (also money and percent), dates or other text."""
+    by = [*(by or []), "column_name"]
+    p = V.with_is_date(value_counts(cells, by), "value", "is_date", wide=True)
+    kind = F.when(F.col("value").isNull(), "empty").when(V.numeric_value(F.col("value")).isNotNull(), "number").when(F.col("is_date"), "date").otherwise("string")
+    return p.groupBy(*by, kind.alias("cell_type")).agg(F.sum("n").alias("n"))
+
+
 def first_seen_sample(cells: DataFrame, order: str, by: list[str] | None = None, k: int = 5) -> DataFrame:
     """The first k distinct present values with their first place; a report, k is part of it."""
     by = [*(by or []), "column_name"]
@@ -115,6 +119,49 @@ def category_shares(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     return d.join(total, by).withColumn("share", F.col("n") / F.col("total")).drop("total")
 
 
+TOP_DISTINCT = 50
+
+
+def table_profile(cells: DataFrame, order: str) -> DataFrame:
+    """One row per column of a table in long form: counts, type, date layout, parse rates, samples, signatures, frequent values.
+
+    ``order`` tells which of the cells was seen first. Rates are of the present cells, NULL without any; ``null_rate`` is 1 for no rows.
+    ``samples`` are the first five distinct values, ``signatures`` the three most frequent ones with their shares; ``top_values`` has the
+    shares of all values of a column that is not numeric and has no more than 50. Each distinct value is parsed once.
+    """
+    by = ["column_name"]
+    base = cut(cells.withColumn("value", V.present(F.col("value"))).groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen")))
+    v = F.col("value")
+    flags = _type_flags() | {"number": V.numeric_value(v).isNotNull(), "boolean": V.parse_bool(v).isNotNull() | v.isin("0", "1")}
+    a = V.with_is_date(base, "value", "is_date", wide=True).groupBy(*by).agg(F.sum("n").alias("n_rows"), _cells_that(v.isNotNull()).alias("n"), F.count("value").alias("distinct_count"), *[_cells_that(f).alias(f"n_{k}") for k, f in flags.items()])
+    there = base.filter("value IS NOT NULL")
+    days = V.with_layout_flags(there.withColumn("value", V.strip_time(v)), "value").groupBy(*by).agg(*[_cells_that(F.col(f"_is_{i}")).alias(f"d_{i}") for i in range(len(V.DATE_TOKENS))])
+    w = Window.partitionBy(*by).orderBy("first_seen", "value")
+    seen = there.withColumn("_r", F.row_number().over(w)).filter("_r <= 5").groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "value"))), lambda x: x["value"]).alias("samples"))
+    sig = there.groupBy(*by, V.pattern_signature(v).alias("signature")).agg(F.sum("n").alias("k"), F.min("first_seen").alias("first_seen"))
+    sig = sig.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("k"), "first_seen", "signature"))).filter("_r <= 3").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_r", "signature", "k"))).alias("sig"))
+    few = there.join(a.filter((F.col("distinct_count") <= TOP_DISTINCT)).select(*by), by, "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", "n"))).alias("top"))
+    j = a.join(days, by, "left").join(seen, by, "left").join(sig, by, "left").join(few, by, "left")
+    rate = lambda k: F.when(F.col("n") > 0, F.col(f"n_{k}") / F.col("n"))
+    best = F.greatest(*[F.col(f"d_{i}") for i in range(len(V.DATE_TOKENS))])
+    token = F.coalesce(*[F.when(F.col(f"d_{i}") == best, F.lit(t)) for i, t in enumerate(V.DATE_TOKENS)])
+    kind = _inferred()
+    share = lambda pairs, k, x: F.map_from_entries(F.transform(pairs, lambda y: F.struct(y[k], y[x] / F.col("n"))))
+    return j.select(
+        *by, "n_rows", F.when(F.col("n_rows") > 0, 1 - F.col("n") / F.col("n_rows")).otherwise(1.0).alias("null_rate"), "distinct_count", kind.alias("inferred_type"),
+        F.when((kind == "date") & (best / F.col("n") >= THRESHOLD), token).alias("date_format"), rate("int").alias("rate_integer"), rate("number").alias("rate_number"), rate("date").alias("rate_date"), rate("boolean").alias("rate_boolean"),
+        "samples", share(F.col("sig"), "signature", "k").alias("signatures"), F.when(~kind.isin("int", "float", "percent", "currency"), share(F.col("top"), "value", "n")).alias("top_values"),
+    )
+
+
+def _inferred() -> Column:
+    rate = lambda k: F.col(f"n_{k}") / F.col("n") >= THRESHOLD
+    return (
+        F.when(F.col("n") == 0, "empty").when(rate("bool"), "bool").when(rate("int"), "int").when(rate("float"), "float").when(rate("percent"), "percent")
+        .when(rate("currency") & (F.col("n_marker") > 0), "currency").when(rate("date"), "date").otherwise("string")
+    )
+
+
 def header_scores(lines: DataFrame, file: str = "source_object_id", row: str = "row_idx", scan: int = 20, ahead: int = 15) -> DataFrame:
     """Score of each of the first ``scan`` lines of a file as its header; ``lines`` has the file, the row and ``cells``.
 

@@ -261,6 +261,26 @@ def f_detect_date_format(spark: SparkSession, d: str) -> DataFrame:
     return profiling.detect_date_formats(_cells(spark, d, ["invoice_date", "due_date"]), ["source_object_id", "column_name"])
 
 
+@registry.add(
+    f"""WITH {_CELLS_SQL}, a AS (SELECT column_name, count(*) n_rows, count(v) n, count(DISTINCT v) distinct_count, count(*) FILTER ({_IS_BOOL}) b, count(*) FILTER ({_IS_INT}) i, count(*) FILTER ({_IS_FLOAT}) f, count(*) FILTER ({_IS_PERCENT}) p,
+  count(*) FILTER ({_IS_MONEY}) c, count(*) FILTER ({_IS_MONEY} AND regexp_matches(v, '[$€£¥₹(]|USD|EUR|GBP|CAD|JPY|CHF|AUD|INR')) m, count(*) FILTER ({_IS_DATE}) d, count(*) FILTER ({_IS_FLOAT} OR {_IS_MONEY} OR {_IS_PERCENT}) nn,
+  count(*) FILTER ({_IS_BOOL} OR v IN ('0', '1')) bb, {", ".join(f"count(*) FILTER ({_shape(*_LAYOUTS[t])}) n{k}" for k, t in enumerate(V.DATE_TOKENS))} FROM cells GROUP BY 1),
+s AS (SELECT column_name, v, min(line_id) seen FROM cells WHERE v IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY seen, v) <= 5),
+t AS (SELECT column_name, string_agg(v, ' | ' ORDER BY seen, v) samples FROM s GROUP BY 1),
+k AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN b / n >= 0.95 THEN 'bool' WHEN i / n >= 0.95 THEN 'int' WHEN f / n >= 0.95 THEN 'float' WHEN p / n >= 0.95 THEN 'percent' WHEN c / n >= 0.95 AND m > 0 THEN 'currency' WHEN d / n >= 0.95 THEN 'date' ELSE 'string' END inferred_type,
+  greatest({", ".join(f"n{k}" for k in range(len(V.DATE_TOKENS)))}) best FROM a),
+q AS (SELECT column_name, string_agg(v || '=' || times, ' | ' ORDER BY times DESC, v) top FROM (SELECT column_name, v, count(*) times FROM cells WHERE v IS NOT NULL GROUP BY 1, 2) JOIN k USING (column_name) WHERE distinct_count <= 50 AND inferred_type NOT IN ('int', 'float', 'percent', 'currency') GROUP BY 1)
+SELECT column_name, n_rows, 1 - n / n_rows null_rate, distinct_count, inferred_type, CASE WHEN inferred_type = 'date' AND best / n >= 0.95 THEN CASE {" ".join(f"WHEN n{k} = best THEN '{t}'" for k, t in enumerate(V.DATE_TOKENS))} END END date_format,
+  i / n rate_integer, nn / n rate_number, d / n rate_date, bb / n rate_boolean, samples, top top_values FROM k LEFT JOIN t USING (column_name) LEFT JOIN q USING (column_name)"""
+)
+def a_table_profile(spark: SparkSession, d: str) -> DataFrame:
+    """The whole invoice table, one row per column."""
+    p = profiling.table_profile(_cells(spark, d), "line_id")
+    there = F.col("n_rows") * (1 - F.col("null_rate"))
+    top = F.array_sort(F.transform(F.map_entries("top_values"), lambda e: F.struct((-e["value"]).alias("o"), e["key"].alias("k"), F.round(e["value"] * there).cast("long").cast("string").alias("c"))))
+    return p.withColumn("samples", F.array_join("samples", " | ")).withColumn("top_values", F.array_join(F.transform(top, lambda x: F.concat(x["k"], F.lit("="), x["c"])), " | ")).drop("signatures")
+
+
 _SIGNATURE_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[0-9]+', '9', 'g'), '[A-Z]+', 'A', 'g'), '[a-z]+', 'a', 'g'), '[ ]+', ' ', 'g')"
 
 
@@ -605,6 +625,91 @@ def g_moved_heads(spark: SparkSession, d: str) -> DataFrame:
     return audit.moved_heads(audit.chain_heads(audit.chain(forged, "event_id", _LOG, "feed_id"), "event_id", "feed_id"), anchors, "feed_id")
 
 
+# --- small functions and lookups --------------------------------------------------------------------------------------
+
+
+@registry.add(f"WITH {_CELLS_SQL} SELECT column_name, CASE WHEN v IS NULL THEN 'empty' WHEN {_IS_FLOAT} OR {_IS_MONEY} OR {_IS_PERCENT} THEN 'number' WHEN {_IS_DATE} THEN 'date' ELSE 'string' END cell_type, count(*) n FROM cells GROUP BY ALL")
+def f_cell_type(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of every column by their kind."""
+    return profiling.cell_types(_cells(spark, d))
+
+
+@registry.add("SELECT event_id, substring(CAST(ts AS VARCHAR), 1, 10) AS day FROM events")
+def f_strip_time(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", V.strip_time(F.col("ts").cast("string")).alias("day"))
+
+
+@registry.add("SELECT feed_id, 'raw_' || trim(regexp_replace(lower(feed_name), '[^a-z0-9]+', '_', 'g'), '_') || '_' || feed_id raw_table FROM source_feed")
+def f_raw_table_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_feed").select("feed_id", loading.raw_table_column(F.col("feed_name"), F.col("feed_id")).alias("raw_table"))
+
+
+@registry.add(r"SELECT proposal_id, nullif(lower(trim(regexp_replace(decided_by, '\s+', ' ', 'g'))), '') actor FROM mapping_proposal")
+def f_actor_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mapping_proposal").select("proposal_id", audit.actor_key(F.col("decided_by")).alias("actor"))
+
+
+@registry.add("SELECT tier, count(*) n FROM mapping_proposal GROUP BY 1")
+def a_tier_tally(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mapping_proposal").groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registry.add(f"WITH {_VERSIONS_SQL} SELECT source_object_id, prev prev_object_id FROM versions WHERE prev IS NOT NULL")
+def w_previous_object(spark: SparkSession, d: str) -> DataFrame:
+    """The object of the same feed just before each, re-sends left out."""
+    return with_previous(distinct_deliveries(table(spark, d, "source_object"))).select("source_object_id", "prev_object_id").filter("prev_object_id IS NOT NULL")
+
+
+_LATEST_SQL = "latest AS (SELECT feed_id, arg_max(source_object_id, (ingested_at, source_object_id)) source_object_id FROM source_object GROUP BY 1)"
+
+
+@registry.add(f"WITH {_LATEST_SQL} SELECT * FROM latest")
+def w_latest_object(spark: SparkSession, d: str) -> DataFrame:
+    return _latest(spark, d)
+
+
+def _latest(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_object").groupBy("feed_id").agg(F.max_by("source_object_id", F.struct("ingested_at", "source_object_id")).alias("source_object_id"))
+
+
+@registry.add(
+    f"""WITH {_LATEST_SQL}, have AS (SELECT feed_id, unnest(from_json(columns_json, '["VARCHAR"]')) col FROM source_object JOIN latest USING (feed_id, source_object_id)),
+m AS (SELECT DISTINCT feed_id, source_column, target_field FROM mapping_proposal JOIN source_feed USING (feed_id) WHERE status = 'accepted' AND target_field IS NOT NULL AND source_column IS NOT NULL)
+SELECT m.feed_id, source_column, target_field FROM m WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.feed_id = m.feed_id AND col = source_column)"""
+)
+def u_missing_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Mapped columns that the latest object of their feed does not have: a load by that mapping must not run."""
+    latest = _latest(spark, d).join(table(spark, d, "source_object").select("source_object_id", "columns_json"), "source_object_id")
+    have = latest.select("feed_id", F.explode(F.from_json("columns_json", "array<string>")).alias("source_column"))
+    return _mapping(spark, d).select("feed_id", "source_column", "target_field").distinct().join(have, ["feed_id", "source_column"], "left_anti")
+
+
+@registry.add("SELECT feed_id FROM source_feed f WHERE EXISTS (SELECT 1 FROM source_feed g JOIN mapping_proposal m USING (feed_id) WHERE g.schema_name = f.schema_name AND g.feed_id <> f.feed_id AND m.status = 'accepted')")
+def j_shared_schema(spark: SparkSession, d: str) -> DataFrame:
+    """Feeds whose schema another feed with an accepted mapping loads too."""
+    feeds = table(spark, d, "source_feed").select("feed_id", "schema_name")
+    users = feeds.join(table(spark, d, "mapping_proposal").filter("status = 'accepted'").select("feed_id"), "feed_id", "left_semi").groupBy("schema_name").agg(F.min("feed_id").alias("first"), F.max("feed_id").alias("last"))
+    # Another feed is there if the least or the greatest one is another: no pairs of feeds are needed.
+    return feeds.join(users, "schema_name").filter("feed_id <> first OR feed_id <> last").select("feed_id")
+
+
+@registry.add(
+    """WITH o AS (SELECT feed_id, count(*) objects, count(raw_table) staged, max(ingested_at) last_seen FROM source_object GROUP BY 1), e AS (SELECT feed_id, count(*) FILTER (status = 'open') open_events, count(*) FILTER (status = 'open' AND severity = 'breaking') open_breaking FROM drift_event GROUP BY 1)
+SELECT f.feed_id, COALESCE(objects, 0) objects, COALESCE(staged, 0) staged, CAST(last_seen AS VARCHAR) last_seen, COALESCE(open_events, 0) open_events, COALESCE(open_breaking, 0) open_breaking FROM source_feed f LEFT JOIN o USING (feed_id) LEFT JOIN e USING (feed_id)"""
+)
+def g_feed_status(spark: SparkSession, d: str) -> DataFrame:
+    """Objects, staged ones and open drift of every feed."""
+    o = table(spark, d, "source_object").groupBy("feed_id").agg(F.count(F.lit(1)).alias("objects"), F.count("raw_table").alias("staged"), F.max("ingested_at").cast("string").alias("last_seen"))
+    e = table(spark, d, "drift_event").groupBy("feed_id").agg(F.count_if(F.col("status") == "open").alias("open_events"), F.count_if((F.col("status") == "open") & (F.col("severity") == "breaking")).alias("open_breaking"))
+    return table(spark, d, "source_feed").select("feed_id").join(o, "feed_id", "left").join(e, "feed_id", "left").fillna(0, ["objects", "staged", "open_events", "open_breaking"])
+
+
+@registry.add("SELECT feed_id, event_id, CAST(row_number() OVER (PARTITION BY feed_id ORDER BY event_id DESC) AS INT) back FROM drift_event QUALIFY back <= 3")
+def g_log_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The last three entries of each feed's log; three is the report."""
+    return audit.tail(table(spark, d, "drift_event"), "event_id", "feed_id", 3).select("feed_id", "event_id", "back")
+
+
 @registry.add()
 def s_header_score(spark: SparkSession, d: str) -> DataFrame:
     """The header row found in the raw records of each object."""
