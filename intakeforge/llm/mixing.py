@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,24 +18,30 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Sources of the mix, which are apportioned on the driver; more is an error, not a cut.
 MAX_SOURCES = 10_000
 BLOCK_TOKENS, SHARD_TOKENS = 256, 4_000_000
+#: Shards of a source at most, which are ranked together; beyond, shards grow instead.
+MAX_SHARDS = 65_536
 
 _ENCODERS: dict = {}
 
 
 def encoder(path: str):  # noqa: ANN201
-    """The byte-level BPE of a ranks file, once per worker."""
+    """The byte-level BPE of a ranks file that was shipped to the workers, once per worker."""
     if path not in _ENCODERS:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[path] = tiktoken.Encoding("mix", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[path]
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """Adds ``n_tokens`` of the whole text, 0 for NULL or empty text; text that looks like a special token is plain text."""
+    """Adds ``n_tokens`` of the whole text, 0 for NULL or empty text; text that looks like a special token is plain text.
+
+    The tokenizer's file is read by the driver only and goes to the workers with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
@@ -105,7 +113,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = [{"source": r.source, "target_share": r.target_share or 0.0, "max_repeats": r.max_repeats or 0, "n_tokens": r.n_tokens} for r in sizes]
     blocks = apportion(rows, total_tokens, block)
-    plan = [(r["source"], max(1, -(-r["n_tokens"] // shard_tokens)), blocks.get(r["source"], 0), r["max_repeats"], r["n_tokens"]) for r in rows]
+    plan = [(r["source"], min(MAX_SHARDS, max(1, -(-r["n_tokens"] // shard_tokens))), blocks.get(r["source"], 0), r["max_repeats"], r["n_tokens"]) for r in rows]
     quota = spark.createDataFrame(plan, "source string, shards long, blocks long, max_repeats int, source_tokens long")
     d = counted.join(quota, "source").filter("blocks > 0")
     d = cut(d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards"))).select("doc_id", "source", "n_tokens", "shard"))

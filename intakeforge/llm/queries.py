@@ -94,3 +94,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @registry.add()
 def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_quality.text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@registry.add(
+    rf"""WITH c AS (SELECT list(DISTINCT lower(word)) common FROM common_words WHERE word IS NOT NULL),
+d AS (SELECT CAST(doc_id AS BIGINT) doc_id, text, regexp_extract_all(lower(text), '[\p{{L}}\p{{Nl}}\p{{No}}]+(?:[''’-][\p{{L}}\p{{Nl}}\p{{No}}]+)*') w, regexp_replace(text, '{_BLANK}', '', 'g') dense,
+  list_filter(regexp_split_to_array(text, '{_BREAKS}'), lambda x: NOT regexp_full_match(x, '{_BLANK}*')) l FROM documents WHERE NOT regexp_full_match(text, '{_BLANK}*'))
+SELECT doc_id, CAST(len(w) AS INT) n_words, CAST(len(l) AS INT) n_lines, CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) END mean_word_length,
+  CASE WHEN dense <> '' THEN len(regexp_extract_all(dense, '[^\p{{L}}\p{{N}}]')) / length(dense) END symbol_ratio,
+  CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:;,][''"”’)\]]*{_BLANK}*$'))) / len(l) END punctuated_lines,
+  CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(common, x))) / len(w) END common_share FROM d, c"""
+)
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Those statistics that are counts and shares of words, signs and lines."""
+    return p9_statistics(spark, d).select("doc_id", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_share")
