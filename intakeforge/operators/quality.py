@@ -218,20 +218,24 @@ def quantile_edges(numbers: DataFrame, keys: list[str], bins: int = 10) -> DataF
     them, so that a group of any size is never sorted in one task.
     """
     v = F.col("number")
-    b = numbers.withColumn("range", F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 64))
+    b = numbers.withColumn("range", F.floor(F.signum(v) * F.log2(1 + F.abs(v)) * 16))
     whole = Window.partitionBy(*keys)
     ranges = b.groupBy(*keys, "range").agg(F.sum("n").alias("rn"))
     ranges = ranges.select(*keys, "range", F.coalesce(F.sum("rn").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("rn").over(whole).alias("total"))
-    at = [F.least(F.col("total") - 1, F.bround(F.col("total") * F.lit(i) / F.lit(bins))) for i in range(1, bins)]
+    # Half to even in whole numbers: i * total / bins is never a double.
+    names = [f"_at_{i}" for i in range(1, bins)]
+    for i, name in enumerate(names, 1):
+        whole_, rest = F.expr(f"({i} * total) div {bins}"), F.expr(f"({i} * total) % {bins}")
+        ranges = ranges.withColumn(name, F.least(F.col("total") - 1, whole_ + F.when(2 * rest > bins, 1).when(2 * rest == bins, whole_ % 2).otherwise(0)))
 
     def holds(low: Column, high: Column) -> Column:
         hit = F.lit(False)
-        for i in at:
-            hit = hit | ((i >= low) & (i < high))
+        for name in names:
+            hit = hit | ((F.col(name) >= low) & (F.col(name) < high))
         return hit
 
     # Only ranges that hold one of the positions are sorted.
-    wanted = ranges.filter(holds(F.col("before"), F.col("before") + F.col("rn"))).select(*keys, "range", "before", "total")
+    wanted = ranges.filter(holds(F.col("before"), F.col("before") + F.col("rn"))).select(*keys, "range", "before", *names)
     within = Window.partitionBy(*keys, "range").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.col("upto")
     ranked = b.join(wanted, [*keys, "range"]).withColumn("upto", F.sum("n").over(within))
