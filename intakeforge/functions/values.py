@@ -44,10 +44,15 @@ CELL_PERCENT = r"^[+-]?\d+(?:\.\d+)? ?%$"
 SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def _visible_ends(c: Column) -> Column:
+    """Whether a text begins and ends with a visible ASCII sign."""
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return visible(c) & visible(F.right(c, F.lit(1)))
+
+
 def strip(c: Column) -> Column:
     """Outer white space of any kind removed. Most cells begin and end with a visible ASCII sign and pass as they are."""
-    visible = lambda x: F.ascii(x).between(33, 126)
-    return F.when(visible(c) & visible(F.right(c, F.lit(1))), c).otherwise(F.btrim(c, F.lit(SPACES)))
+    return F.when(_visible_ends(c), c).otherwise(F.btrim(c, F.lit(SPACES)))
 
 
 def is_null_like(c: Column) -> Column:
@@ -65,13 +70,21 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9.+-]", "")
 
 
-def cell_number(c: Column) -> Column:
-    """A number, currency or percent of the intake grammar as double; brackets negate; NULL if it is none."""
-    s = strip(c)
-    negative = s.startswith("(")
-    value = F.expr("try_cast(NULL as double)")
+_BARE = r"^[+-]?[0-9]+(?:[.][0-9]+)?$"
+
+
+def trimmed_number(s: Column) -> Column:
+    """A number, currency or percent of the intake grammar as double, of a trimmed cell; brackets negate; NULL if it is none.
+
+    Most numbers are bare digits and pass by the first, simple pattern.
+    """
     value = F.when(s.rlike(CELL_CURRENCY) | s.rlike(CELL_PERCENT), _plain(s).try_cast("double"))
-    return F.when(negative, -F.abs(value)).otherwise(value)
+    return F.when(s.rlike(_BARE), s.try_cast("double")).otherwise(F.when(s.startswith("("), -F.abs(value)).otherwise(value))
+
+
+def cell_number(c: Column) -> Column:
+    """`trimmed_number` of a cell with its outer white space."""
+    return trimmed_number(strip(c))
 
 
 def cell_date(c: Column) -> Column:

@@ -32,7 +32,8 @@ _UPPER, _LOWER, _DIGITS = "BCDEFGHIJKLMNOPQRSTUVWXYZ", "bcdefghijklmnopqrstuvwxy
 def mask(c: Column) -> Column:
     """Character-class mask of the whole value, runs marked by ``+``: ``PO-123`` is ``A+-9+``. NULL stays NULL."""
     s = F.translate(c, _UPPER + _LOWER + _DIGITS, "A" * 25 + "a" * 25 + "9" * 9)
-    s = F.regexp_replace(s, r"[\p{L}&&[^Aa]]", "a")
+    # Of ASCII cells all letters are translated.
+    s = F.when(F.octet_length(s) == F.length(s), s).otherwise(F.regexp_replace(s, r"[\p{L}&&[^Aa]]", "a"))
     return F.regexp_replace(s, r"([9Aa\s])\1+", "$1+")
 
 
@@ -60,7 +61,7 @@ def _typed(cells: DataFrame, role: str | None, masked: bool) -> DataFrame:
     cell, name = F.col("cell"), F.col("source_column")
     number, parsed, conform = F.lit(None).cast("double"), F.lit(False), F.lit(False)
     if role == "number":
-        cells = cells.withColumn("number", V.cell_number(cell))
+        cells = cells.withColumn("number", V.trimmed_number(cell))
         number, parsed = F.col("number"), F.col("number").isNotNull()
     elif role == "date":
         cells, parsed = V.with_is_date(cells, "cell", "is_date"), F.coalesce("is_date", F.lit(False))
@@ -178,7 +179,7 @@ def full_profile(values: DataFrame, profiles: DataFrame, key: str = "source_obje
     part = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
     slashed = cell.rlike(V.date_shape("mdy/"))
     plain = F.when(cell.rlike("^[0-9]{1,4}[-/.]"), F.coalesce(*[V.parse_date_as(cell, t) for t in V.CELL_DATE_TOKENS if t not in ("mdy/", "dmy/")]))
-    t = values.withColumn("number", V.cell_number(cell)).withColumn("mask", mask(cell))
+    t = values.withColumn("number", V.trimmed_number(cell)).withColumn("mask", mask(cell))
     t = t.withColumn("plain", plain).withColumn("mdy", F.when(slashed, V.parse_date_as(cell, "mdy/"))).withColumn("dmy", F.when(slashed, V.parse_date_as(cell, "dmy/")))
     us, eu = F.coalesce("plain", "mdy", "dmy"), F.coalesce("plain", "dmy", "mdy")
     by_mask = t.groupBy(*K, "mask").agg(
