@@ -200,6 +200,34 @@ def with_extension_names(resolved: DataFrame) -> DataFrame:
     return resolved.join(named.select("source_object_id", "x.*"), ["source_object_id", "col_name"], "left")
 
 
+UNCITED_CAP = 0.5
+_RESPONSE = "mappings array<struct<source_column:string,target_field:string,confidence:double,rationale:string,evidence:array<string>>>, broken string"
+
+
+def validated_responses(responses: DataFrame, columns: DataFrame, fields: DataFrame, held: DataFrame, cap: float = MODEL_CAP) -> tuple[DataFrame, DataFrame]:
+    """(mappings, rejected) of a model's answers in JSON, which are taken for nothing more than text.
+
+    ``responses``: feed_id, text; ``columns``: feed_id, schema_name, col_name asked for; ``fields``: schema_name, field_name; ``held``:
+    feed_id, field_name that is taken. Code fences around the JSON go. An answer that is no object with a list of mappings, or has a
+    mapping without column, is rejected whole, with its feed. Columns that were not asked for and repeated ones are dropped;
+    unknown and taken fields are cleared; a confidence without evidence is 0.5 at most, any one ``cap`` at most and 0 at least.
+    """
+    body = F.regexp_replace(F.trim("text"), r"^```[A-Za-z]*\s*|\s*```$", "")
+    r = responses.select("feed_id", F.from_json(body, _RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r.broken").isNotNull() | F.col("r.mappings").isNull() | F.exists("r.mappings", lambda m: m["source_column"].isNull())
+    rejected = r.filter(bad).select("feed_id")
+    m = r.filter(~bad).select("feed_id", F.posexplode("r.mappings").alias("at", "m")).select("feed_id", "at", "m.*")
+    asked = columns.select("feed_id", "schema_name", F.col("col_name").alias("source_column")).distinct()
+    m = m.join(asked, ["feed_id", "source_column"]).withColumn("_r", F.row_number().over(Window.partitionBy("feed_id", "source_column").orderBy("at"))).filter("_r = 1")
+    known = fields.select("schema_name", F.col("field_name").alias("target_field"), F.lit(True).alias("known")).distinct()
+    taken = held.select("feed_id", F.col("field_name").alias("target_field"), F.lit(True).alias("taken")).distinct()
+    m = m.join(known, ["schema_name", "target_field"], "left").join(taken, ["feed_id", "target_field"], "left")
+    target = F.when(F.col("known") & F.col("taken").isNull(), F.col("target_field"))
+    limit = F.when(F.coalesce(F.size("evidence") > 0, F.lit(False)), cap).otherwise(min(cap, UNCITED_CAP))
+    confidence = F.when(target.isNotNull(), F.greatest(F.lit(0.0), F.least(limit, F.coalesce("confidence", F.lit(0.0))))).otherwise(0.0)
+    return m.select("feed_id", "source_column", target.alias("target_field"), confidence.alias("confidence"), "rationale"), rejected
+
+
 def metrics(resolved: DataFrame, truth: DataFrame) -> DataFrame:
     """Per tier: columns, mapped, correct and wrong ones, decoys mapped, and those a reviewer has to decide, with precision.
 

@@ -41,7 +41,8 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows as a table written to the shared checkpoint folder, from which the plan goes on.
 
     A table rather than ``checkpoint()``, whose files hold serialized rows: later readers get columns, sizes for their joins
-    and cheap scans. It outlives lost executors as well, and goes with the application.
+    and cheap scans. It outlives lost executors as well, and goes with the application, or with `release` where a long one has
+    read its results.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
@@ -49,9 +50,22 @@ def cut(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_CUTS: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that `cut` wrote so far, and returns their number: frames that read them can't be read again."""
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)
+
+
 _SHIPPED: set[str] = set()
 
 

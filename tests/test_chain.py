@@ -201,3 +201,42 @@ def test_staged_tables(spark, tmp_path) -> None:  # noqa: ANN001
     assert rows(loading.read_staged(spark, folder)) == [("", "b", "2"), ("a", "", "1")]
     objects = spark.createDataFrame([(1,), (2,), (None,)], "source_object_id long")
     assert rows(loading.unfinished(objects, spark.createDataFrame([(1,), (None,)], "source_object_id long"))) == [(2,), (None,)]
+
+
+def test_answers_of_a_model_are_only_text(spark) -> None:  # noqa: ANN001
+    import json
+
+    answer = {"mappings": [
+        {"source_column": "A", "target_field": "amount", "confidence": 0.99, "evidence": ["x"]},
+        {"source_column": "A", "target_field": "day", "confidence": 0.9, "evidence": ["x"]},
+        {"source_column": "B", "target_field": "day", "confidence": 0.7},
+        {"source_column": "C", "target_field": "made_up", "confidence": 0.7, "evidence": ["x"]},
+        {"source_column": "D", "target_field": "taken", "confidence": 0.7, "evidence": ["x"]},
+        {"source_column": "E", "target_field": None},
+        {"source_column": "never asked", "target_field": "amount", "confidence": 0.9},
+    ]}
+    texts = [(1, f"```json\n{json.dumps(answer)}\n```"), (2, "I cannot do that"), (3, None), (4, '{"mappings": [{"target_field": "day"}]}'), (5, '{"mappings": []}'), (6, '{"mappings": 7}')]
+    columns = spark.createDataFrame([(1, "s", c) for c in "ABCDE"], "feed_id long, schema_name string, col_name string")
+    fields = spark.createDataFrame([("s", f) for f in ("amount", "day", "taken")], "schema_name string, field_name string")
+    held = spark.createDataFrame([(1, "taken")], "feed_id long, field_name string")
+    found, rejected = chain.validated_responses(spark.createDataFrame(texts, "feed_id long, text string"), columns, fields, held)
+    assert rows(found.select("source_column", "target_field", "confidence")) == [("A", "amount", 0.75), ("B", "day", 0.5), ("C", None, 0.0), ("D", None, 0.0), ("E", None, 0.0)]
+    assert rows(rejected) == [(2,), (3,), (4,), (6,)]
+
+
+def test_schemas_are_checked_as_a_whole(spark, tmp_path) -> None:  # noqa: ANN001
+    import json
+
+    from intakeforge.sources import schemas
+
+    good = {"name": "s", "key": ["id"], "fields": [{"name": "id", "type": "integer", "required": True}, {"name": "cur", "aliases": ["ccy"], "allowed": ["EUR"], "pattern": "[A-Z]+"}]}
+    (tmp_path / "s.json").write_text(json.dumps(good))
+    got = [tuple(r)[:9] for r in schemas.read_schemas(spark, str(tmp_path)).orderBy("field_name").collect()]
+    assert got == [("s", "cur", "string", False, None, ["ccy"], ["EUR"], "[A-Z]+", False), ("s", "id", "integer", True, None, [], None, None, True)]
+    bad = good | {"key": ["no"], "fields": [{"name": "id", "type": "blob"}, {"name": "id", "pattern": "("}, {"name": ""}]}
+    with pytest.raises(schemas.SchemaError) as e:
+        schemas.parse_schema(json.dumps(bad))
+    assert all(x in str(e.value) for x in ("occurs twice", "unknown type blob", "key field no", "broken pattern", "has no name"))
+    for text in ("", "[]", '{"name": "x"}'):
+        with pytest.raises(schemas.SchemaError):
+            schemas.parse_schema(text)

@@ -147,3 +147,15 @@ def test_chain_finds_tampering_and_removal(spark) -> None:  # noqa: ANN001
     hashed = forged.withColumn("payload", audit.payload_hash(["a", "b"])).withColumn("hash", audit.link_hash(F.col("previous"), F.col("payload")))
     assert rows(audit.broken_entries(hashed, "id", ["a", "b"], "feed").select("id", "reason")) == [(4, "previous")]
     assert rows(audit.broken_entries(c.filter("id <> 2"), "id", ["a", "b"], "feed").select("id", "reason")) == [(3, "previous")]
+
+
+def test_cut_tables_can_be_released(spark) -> None:  # noqa: ANN001
+    import os
+
+    from intakeforge import session
+
+    session.release(spark)
+    df = session.cut(spark.range(3).withColumnRenamed("id", "x"))
+    path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert rows(df) == [(0,), (1,), (2,)] and os.path.isdir(path)
+    assert session.release(spark) == 1 and not os.path.exists(path) and session.release(spark) == 0
