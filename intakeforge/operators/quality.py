@@ -115,6 +115,17 @@ def value_table(rows: DataFrame, key: str = "source_object_id") -> DataFrame:
     return _union([_typed(c, role, role is not None) for role, c in counted])
 
 
+def present_counts(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The rows of `mask_profile` for columns of which only the null share is asked: present cells have the mask ``*``.
+
+    Counted side by side in one row per load, so that no cell becomes a row.
+    """
+    a = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.count(V.present(F.col(c))).alias(c) for c in columns]).unpivot([key, "_n"], columns, "source_column", "_k")
+    both = F.array(F.struct(F.lit(None).cast("string").alias("mask"), (F.col("_n") - F.col("_k")).alias("n")), F.struct(F.lit("*").alias("mask"), F.col("_k").alias("n")))
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
+    return a.select(key, "source_column", F.explode(both).alias("m")).filter("m.n > 0").select(key, "source_column", "m.mask", "m.n", *[zero.alias(c) for c in ("parsed", "conform", "numbers", "outside")], none.alias("low"), none.alias("high"))
+
+
 def load_profile(masks: DataFrame, key: str = "source_object_id") -> DataFrame:
     """One row per load and column from its masks: rows, nulls, parse rate, shares of violations, range, dominant mask.
 
@@ -215,7 +226,7 @@ def full_profile(values: DataFrame, profiles: DataFrame, key: str = "source_obje
 def quantile_edges(numbers: DataFrame, keys: list[str], bins: int = 10) -> DataFrame:
     """``edges``, the distinct values at positions min(n-1, round_half_even(i*n/bins)) of each sorted group.
 
-    ``numbers`` has the keys, ``number`` and its count ``n``. Ranks are found in two levels, over value ranges and inside
+    ``numbers`` has the keys, ``number`` and its count ``n``; a number may have several rows. Ranks are found in two levels, over value ranges and inside
     them, so that a group of any size is never sorted in one task.
     """
     v = F.col("number")
@@ -270,14 +281,16 @@ def load_shifts(values: DataFrame, before: DataFrame, key: str = "source_object_
     """
     K = [key, "source_column"]
     prev = before.select(F.col(key), F.col("prev_object_id")).filter("prev_object_id IS NOT NULL")
-    numbers = values.filter(F.col("source_column").isin(QUANTILE_COLUMNS) & F.col("number").isNotNull()).groupBy(*K, "number").agg(F.sum("n").alias("n"))
-    numbers = cut(numbers)
+    numbers = values.filter(F.col("source_column").isin(QUANTILE_COLUMNS) & F.col("number").isNotNull()).select(*K, "number", "n")
     edges = cut(quantile_edges(numbers, K))
-    binned = lambda rows: rows.withColumn("bin", bin_of(F.col("number"), F.col("edges")).cast("string"))
-    own = binned(numbers.join(edges, K)).groupBy(*K, "bin").agg(F.sum("n").alias("expected"))
-    expected = own.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", F.lit(0).cast("long").alias("actual"))
-    old = edges.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", "edges")
-    actual = binned(numbers.join(old, K)).groupBy(*K, "bin").agg(F.sum("n").alias("actual")).select(key, "source_column", "bin", F.lit(0).cast("long").alias("expected"), "actual")
+    # Every number is binned once by the edges of its own load, for the load after it, and by those of the load before.
+    old = edges.select(F.col(key).alias("prev_object_id"), "source_column", F.col("edges").alias("old_edges")).join(prev, "prev_object_id").select(*K, "old_edges")
+    number = F.col("number")
+    binned = numbers.join(edges.join(old, K, "left"), K).select(*K, "n", bin_of(number, F.col("edges")).cast("string").alias("own"), F.when(F.col("old_edges").isNotNull(), bin_of(number, F.col("old_edges")).cast("string")).alias("bin"))
+    binned = cut(binned.groupBy(*K, "own", "bin").agg(F.sum("n").alias("n")))
+    zero = F.lit(0).cast("long")
+    expected = binned.select(F.col(key).alias("prev_object_id"), "source_column", F.col("own").alias("bin"), F.col("n").alias("expected"), zero.alias("actual")).join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", "actual")
+    actual = binned.filter("bin IS NOT NULL").select(*K, "bin", zero.alias("expected"), F.col("n").alias("actual"))
     shares = values.filter(F.col("source_column").isin(SHARE_COLUMNS) & F.col("cell").isNotNull()).select(*K, F.col("cell").alias("value"), "n")
     e2 = shares.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", F.col("value").alias("bin"), F.col("n").alias("expected"), F.lit(0).cast("long").alias("actual"))
     a2 = shares.join(prev, key).select(key, "source_column", F.col("value").alias("bin"), F.lit(0).cast("long").alias("expected"), F.col("n").alias("actual"))
@@ -294,7 +307,9 @@ def invoice_issues(rows: DataFrame, before: DataFrame) -> DataFrame:
     # Read several times below, and far smaller than the rows: computed once, in the shared checkpoint folder. Of columns
     # without a test of their values only the null share counts, so that their masks aren't built.
     values = cut(value_table(rows))
-    others = mask_profile(rows, columns=[c for c in TEXT_COLUMNS if c not in VALUE_COLUMNS], masked=False)
+    rest = [c for c in TEXT_COLUMNS if c not in VALUE_COLUMNS]
+    tested = [c for c in rest if any(c in own for own in ROLES.values())]
+    others = mask_profile(rows, columns=tested).unionByName(present_counts(rows, key, [c for c in rest if c not in tested]))
     prof = cut(load_profile(cut(_by_mask(values, key, F.col("n")).unionByName(others))))
     distinct = values.filter(F.col("source_column").isin(DISTINCT_COLUMNS) & F.col("cell").isNotNull()).groupBy(*K).agg(F.count(F.lit(1)).alias("n_distinct"))
     now = prof.join(distinct, K, "left").withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
