@@ -250,7 +250,8 @@ def quantile_edges(numbers: DataFrame, keys: list[str], bins: int = 10) -> DataF
     wanted = ranges.filter(holds(F.col("before"), F.col("before") + F.col("rn"))).select(*keys, "range", "before", *names)
     within = Window.partitionBy(*keys, "range").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.col("upto")
-    ranked = b.join(wanted, [*keys, "range"]).withColumn("upto", F.sum("n").over(within))
+    # Hashed by partition: a few rows of each group, which would be broadcast by their compressed size.
+    ranked = b.join(wanted.hint("shuffle_hash"), [*keys, "range"]).withColumn("upto", F.sum("n").over(within))
     return ranked.filter(holds(upto - F.col("n"), upto)).groupBy(*keys).agg(F.array_sort(F.collect_set("number")).alias("edges"))
 
 
@@ -286,7 +287,7 @@ def load_shifts(values: DataFrame, before: DataFrame, key: str = "source_object_
     # Every number is binned once by the edges of its own load, for the load after it, and by those of the load before.
     old = edges.select(F.col(key).alias("prev_object_id"), "source_column", F.col("edges").alias("old_edges")).join(prev, "prev_object_id").select(*K, "old_edges")
     number = F.col("number")
-    binned = numbers.join(edges.join(old, K, "left"), K).select(*K, "n", bin_of(number, F.col("edges")).cast("string").alias("own"), F.when(F.col("old_edges").isNotNull(), bin_of(number, F.col("old_edges")).cast("string")).alias("bin"))
+    binned = numbers.join(edges.join(old, K, "left").hint("shuffle_hash"), K).select(*K, "n", bin_of(number, F.col("edges")).cast("string").alias("own"), F.when(F.col("old_edges").isNotNull(), bin_of(number, F.col("old_edges")).cast("string")).alias("bin"))
     binned = cut(binned.groupBy(*K, "own", "bin").agg(F.sum("n").alias("n")))
     zero = F.lit(0).cast("long")
     expected = binned.select(F.col(key).alias("prev_object_id"), "source_column", F.col("own").alias("bin"), F.col("n").alias("expected"), zero.alias("actual")).join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", "actual")
