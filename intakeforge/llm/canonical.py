@@ -241,16 +241,14 @@ def map_values(queries: DataFrame, entries: DataFrame, history: DataFrame) -> Da
     # Written together, or with a word too many letters apart: whole wordings by edit distance of their letters. Where all
     # words are known ones, different letters rather mean different words.
     full = repairs.join(empty.select(F.col("word").alias("repaired"), F.lit(True).alias("empty")), "repaired", "left").select("token", "known", F.col("empty").isNotNull().alias("empty"))
-    in_order = _letters(asked.join(open_.select("scope", "value"), ["scope", "value"]), full)
+    in_order = cut(_letters(asked.join(open_.select("scope", "value"), ["scope", "value"]), full))
     spelled = _letters(reference.select("scope", "value", "tokens").distinct(), full).join(reference.drop("tokens"), ["scope", "value"])
     spelled = spelled.groupBy("scope", F.col("letters").alias("word"), "target").agg(F.sum("n").alias("n"))
-    spelled = spelled.groupBy("scope", "word").agg(F.max(F.struct("n", "target")).alias("b")).select("scope", "word", F.col("b.target").alias("target"), F.col("b.n").alias("n"))
-    as_known = spelled.select("scope", F.col("word").alias("letters"), "word", "target", "n")
-    rest = in_order.join(as_known.select("scope", "letters"), ["scope", "letters"], "left_anti")
+    spelled = cut(spelled.groupBy("scope", "word").agg(F.max(F.struct("n", "target")).alias("b")).select("scope", "word", F.col("b.target").alias("target"), F.col("b.n").alias("n")))
     variants = lambda df, c: df.select("scope", c).distinct().select("scope", c, F.explode(_deletions(c)).alias("v")).select("scope", c, F.xxhash64("scope", "v").alias("variant"))
-    met = variants(rest, "letters").hint("merge").join(variants(spelled, "word").withColumnRenamed("scope", "other"), "variant").filter("scope = other")
+    met = variants(in_order, "letters").hint("merge").join(variants(spelled, "word").withColumnRenamed("scope", "other"), "variant").filter("scope = other")
     met = met.filter((F.length("letters") >= 4) & (F.abs(F.length("letters") - F.length("word")) <= 2)).select("scope", "letters", "word").distinct().withColumn("distance", _distance("letters", "word"))
-    near = rest.join(met, ["scope", "letters"]).join(spelled, ["scope", "word"]).unionByName(in_order.join(as_known, ["scope", "letters"]).withColumn("distance", F.lit(0)))
+    near = in_order.join(met, ["scope", "letters"]).join(spelled, ["scope", "word"])
     near = near.filter(_same_digits("letters", "word") & (F.length("letters") >= 4) & (F.col("distance") <= F.when(F.length("letters") >= 8, 2).otherwise(1)))
     near = near.select("scope", "value", "target", "n", (F.lit(0.999) - F.when(F.col("all_known"), 2).otherwise(1) * F.col("distance") / F.length("letters")).alias("score"), F.lit("letters").alias("how"))
 
