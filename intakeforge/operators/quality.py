@@ -290,7 +290,9 @@ def load_shifts(values: DataFrame, before: DataFrame, key: str = "source_object_
     binned = numbers.join(edges.join(old, K, "left").hint("shuffle_hash"), K).select(*K, "n", bin_of(number, F.col("edges")).cast("string").alias("own"), F.when(F.col("old_edges").isNotNull(), bin_of(number, F.col("old_edges")).cast("string")).alias("bin"))
     binned = cut(binned.groupBy(*K, "own", "bin").agg(F.sum("n").alias("n")))
     zero = F.lit(0).cast("long")
-    expected = binned.select(F.col(key).alias("prev_object_id"), "source_column", F.col("own").alias("bin"), F.col("n").alias("expected"), zero.alias("actual")).join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", "actual")
+    expected = binned.select(F.col(key).alias("prev_object_id"), "source_column", F.col("own").alias("bin"), F.col("n").alias("expected"), zero.alias("actual"))
+    # Its file is far smaller than its rows, so that it would be broadcast by the file's size.
+    expected = expected.hint("merge").join(prev, "prev_object_id").select(key, "source_column", "bin", "expected", "actual")
     actual = binned.filter("bin IS NOT NULL").select(*K, "bin", zero.alias("expected"), F.col("n").alias("actual"))
     shares = values.filter(F.col("source_column").isin(SHARE_COLUMNS) & F.col("cell").isNotNull()).select(*K, F.col("cell").alias("value"), "n")
     e2 = shares.withColumnRenamed(key, "prev_object_id").join(prev, "prev_object_id").select(key, "source_column", F.col("value").alias("bin"), F.col("n").alias("expected"), F.lit(0).cast("long").alias("actual"))
