@@ -9,12 +9,15 @@ and equal qualifiers, and names are clustered into stars.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +45,10 @@ TUNED_AT, RECALL = 0.4, 0.97
 MIN_SIMILARITY = 0.8
 #: Pairs that meet by chance: far below the overlap that the bands are tuned for.
 LEAST_OVERLAP = 0.25
+#: Names of more words are compared without a bound from their letters.
+BOUNDED_WORDS = 4
+#: Rows and pairs of rows that a task holds at once, besides those of one band.
+ROWS_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 18
 
 _LEGAL, _FILL = frozenset(LEGAL), frozenset(FILLERS)
 _LETTERS = re.compile(r"(?<![^\W_])[a-z](?:[ /-]+[a-z])+(?![^\W_])")
@@ -67,6 +74,11 @@ def spare_words(name: str) -> list[str]:
     return re.findall(r"\w+", text) or [text.strip() or name]
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a `name_keys` text, which a space parts; one of signs alone is a single word (see `spare_words`)."""
+    return text.split(" ") if re.search(r"\w", text) else [text]
+
+
 @lru_cache(maxsize=1 << 17)
 def similarity(a: str, b: str) -> float:
     """1 minus the edit distance by the longer length."""
@@ -120,6 +132,7 @@ def signature(words: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h[:, None] * a[None, :] + b[None, :]) >> np.uint64(16)).min(axis=0)
 
 
+MET = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("size", T.IntegerType())])
 PARSED = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("spare", T.ArrayType(T.StringType()))])
 
 
@@ -128,25 +141,137 @@ def _split(names: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(name_words(n), spare_words(n)) for n in names], columns=["tokens", "spare"])
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _bands(words: pd.Series) -> pd.Series:
+@F.pandas_udf(MET)
+def _bands(texts: pd.Series) -> pd.DataFrame:
+    """The bands of a name's words, a bitmap of their q-grams in two parts, and the number of these."""
     n = bands_for()
     a, b = _permutations(n * ROWS)
     out = []
-    for w in words:
-        s = signature(list(w), a, b).reshape(n, ROWS)
-        out.append([xxhash.xxh64_intdigest(s[i].tobytes(), seed=i) - (1 << 63) for i in range(n)])
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _grams(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: sorted({xxhash.xxh32_intdigest(g) - (1 << 31) for g in qgrams(list(w))}))
+    for t in texts:
+        words = words_of(t)
+        s, grams, bits = signature(words, a, b).reshape(n, ROWS), qgrams(words), 0
+        for g in grams:
+            bits |= 1 << (xxhash.xxh32_intdigest(g) & 127)
+        out.append(([xxhash.xxh64_intdigest(s[i].tobytes(), seed=i) - (1 << 63) for i in range(n)], (bits >> 64) - (1 << 63), (bits & ((1 << 64) - 1)) - (1 << 63), len(grams)))
+    return pd.DataFrame(out, columns=["bands", "high", "low", "size"])
 
 
 @F.pandas_udf(T.DoubleType())
 def _monge_elkan(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([monge_elkan(list(x), list(y)) for x, y in zip(a, b)])
+    return pd.Series([monge_elkan(words_of(x), words_of(y)) for x, y in zip(a, b)])
+
+
+# --- pairs that meet --------------------------------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=1 << 16)
+def _grams(text: str) -> frozenset[str]:
+    return frozenset(qgrams(words_of(text)))
+
+
+@lru_cache(maxsize=1 << 16)
+def letters(text: str) -> tuple[int, ...]:
+    """Number of words, then a bitmap of the letters of each word and the words' lengths; zeros for names of many words."""
+    w = words_of(text)
+    if len(w) > BOUNDED_WORDS:
+        return (0,) * (1 + 2 * BOUNDED_WORDS)
+    rest = [0] * (BOUNDED_WORDS - len(w))
+    return (len(w), *[sum({1 << (ord(c) % 63) for c in x}) for x in w], *rest, *map(len, w), *rest)
+
+
+def most_alike(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
+    """At least the Monge-Elkan similarity of each pair of names with ``n_a`` and ``n_b`` words, from rows of `letters`.
+
+    A word needs an edit for each letter that only it has, and for each place by which it is longer; swaps change neither.
+    """
+    at = lambda x, i: (x[:, 1 + i], x[:, 1 + BOUNDED_WORDS + i])
+
+    def alike(x: tuple, y: tuple) -> np.ndarray:
+        apart = np.maximum(np.bitwise_count(x[0] & ~y[0]), np.bitwise_count(y[0] & ~x[0]))
+        longer = np.maximum(x[1], y[1])
+        return 1 - np.maximum(apart, np.abs(x[1] - y[1])) / np.maximum(longer, 1)
+
+    best = {(0, i): np.zeros(len(a)) for i in range(n_a)} | {(1, j): np.zeros(len(a)) for j in range(n_b)}
+    for side, x, y, n_x, n_y in ((0, a, b, n_a, n_b), (1, b, a, n_b, n_a)):
+        for i in range(n_x):
+            w = at(x, i)
+            for j in range(n_y):
+                v = at(y, j)
+                if side == 0:
+                    s = alike(w, v)
+                    best[0, i], best[1, j] = np.maximum(best[0, i], s), np.maximum(best[1, j], s)
+                for k in range(j + 1, n_y):
+                    u = at(y, k)
+                    n = v[1] + u[1]
+                    s = np.where((np.abs(n - w[1]) <= 0.25 * n) & (w[1] > np.maximum(v[1], u[1])), alike(w, (v[0] | u[0], n)), 0)
+                    for one in ((side, i), (1 - side, j), (1 - side, k)):
+                        best[one] = np.maximum(best[one], s)
+    return np.minimum(sum(best[0, i] for i in range(n_a)) / n_a, sum(best[1, j] for j in range(n_b)) / n_b)
+
+
+def _alike_rows(texts: np.ndarray, high: np.ndarray, low: np.ndarray, size: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (left, right) of one band that can be alike; ``end``: the row after the last of each row's band.
+
+    What is left out here has too few q-grams in common, or can't be similar enough: the tests that follow would drop it too.
+    """
+    known = np.array([letters(t) for t in texts], dtype=np.int64).reshape(len(texts), 1 + 2 * BOUNDED_WORDS)
+    others = end - np.arange(len(texts)) - 1
+    upto = np.cumsum(others)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(upto, upto[start] - others[start] + PAIRS_AT_ONCE, side="right")))
+        n = others[start:stop]
+        left = np.repeat(np.arange(start, stop), n)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        start = stop
+        # Bits that differ come from q-grams that only one of the two has.
+        apart = np.bitwise_count(high[left] ^ high[right]).astype(np.int64) + np.bitwise_count(low[left] ^ low[right])
+        total = size[left] + size[right]
+        ok = total - apart >= LEAST_OVERLAP * (total + apart)
+        left, right = left[ok], right[ok]
+        shape = known[left, 0] * (BOUNDED_WORDS + 1) + known[right, 0]
+        for x in np.unique(shape):
+            n_a, n_b = divmod(int(x), BOUNDED_WORDS + 1)
+            l, r = left[shape == x], right[shape == x]
+            if n_a and n_b:
+                ok = most_alike(known[l], known[r], n_a, n_b) >= MIN_SIMILARITY - 1e-9
+                l, r = l[ok], r[ok]
+            yield l, r
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of texts that share a band and enough q-grams, of rows sorted by band and text: the first before the other."""
+    held: list[pa.RecordBatch] = []
+    rows, least = 0, ROWS_AT_ONCE
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < least:
+                continue
+        if not rows:
+            continue
+        t = pa.Table.from_batches(held)
+        band = t["band"].to_numpy()
+        first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        # The last band may go on in the next batch.
+        whole = rows if batch is None else int(first[-1])
+        held, rows = t.slice(whole).to_batches(), rows - whole
+        least = max(ROWS_AT_ONCE, 2 * rows)
+        end = np.repeat(np.r_[first[1:], len(band)], np.diff(np.r_[first, len(band)]))[:whole]
+        t = t.slice(0, whole)
+        texts = np.array(t["text"].to_pylist(), dtype=object)
+        bits = [t[c].to_numpy().view(np.uint64) for c in ("high", "low")]
+        for left, right in _alike_rows(texts, *bits, t["size"].to_numpy().astype(np.int64), end):
+            pairs = set()
+            for a, b in zip(texts[left], texts[right]):
+                x, y = _grams(a), _grams(b)
+                both = len(x & y)
+                if a != b and both >= LEAST_OVERLAP * (len(x) + len(y) - both):
+                    pairs.add((a, b))
+            if pairs:
+                a, b = zip(*pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["text", "other"])
 
 
 # --- qualifiers -------------------------------------------------------------------------------------------------------
@@ -307,15 +432,15 @@ def name_keys(rows: DataFrame, id_: str = "vendor_id", name: str = "vendor_name"
 
 
 def similar_texts(keys: DataFrame) -> DataFrame:
-    """(text, other): pairs of different own words that meet in a band and are alike, each pair once, whatever qualifies them."""
-    node = cut(keys.groupBy("text").agg(F.first("words").alias("words")).withColumn("key", F.xxhash64("text")).withColumn("grams", _grams("words")))
-    band = node.select("key", F.explode(_bands("words")).alias("band"))
-    # Sizes are estimated before the bands are exploded: without the hint a side of many times that size may be broadcast.
-    pairs = band.hint("merge").join(band.select(F.col("key").alias("other"), "band"), "band").filter("key < other").select("key", "other").distinct()
-    right = node.select(F.col("key").alias("other"), F.col("text").alias("other_text"), F.col("words").alias("other_words"), F.col("grams").alias("other_grams"))
-    both = F.size(F.array_intersect("grams", "other_grams"))
-    j = pairs.join(node, "key").join(right, "other").filter(both >= LEAST_OVERLAP * (F.size("grams") + F.size("other_grams") - both))
-    return j.select("text", "words", "other_text", "other_words").filter(_monge_elkan("words", "other_words") >= MIN_SIMILARITY).select("text", F.col("other_text").alias("other"))
+    """(text, other): pairs of different own words that meet in a band and are alike, each pair once, whatever qualifies them.
+
+    Names that meet by chance, whose number grows as the square of that of the names, are dropped where they meet, so that
+    only pairs that are nearly alike are exchanged.
+    """
+    band = keys.select("text").distinct().withColumn("met", _bands("text")).select("text", "met.high", "met.low", "met.size", F.explode("met.bands").alias("band"))
+    pairs = band.repartition("band").sortWithinPartitions("band", "text").mapInArrow(_meet, "text string, other string").distinct()
+    # A pair meets in many bands: without the mark its similarity would be taken before the pairs are made distinct.
+    return pairs.filter(_monge_elkan.asNondeterministic()("text", "other") >= MIN_SIMILARITY)
 
 
 def similar_keys(keys: DataFrame) -> DataFrame:
